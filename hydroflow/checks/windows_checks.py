@@ -269,5 +269,3 @@ def fil_4(spark, d):
 def flagship(spark, d):
     from hydroflow.checks import catalog
     return catalog.flagship(spark, d)
-
-

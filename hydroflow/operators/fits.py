@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from hydroflow import config as C
 from hydroflow.functions.meteo import harmonic_row, harmonic_value
@@ -19,7 +20,10 @@ from hydroflow.functions.scalars import clip, m3_to_Mm3, mm_over_lake_to_Mm3
 from hydroflow.operators.fill import interpolate_rows
 from hydroflow.operators.windows import circular_mean
 
-DOYS = F.sequence(F.lit(1), F.lit(366))
+
+
+def _year_days() -> Column:
+    return F.explode(F.sequence(F.lit(1), F.lit(366)))
 
 
 # polynomials and lines ---------------------------------------------------------
@@ -72,7 +76,7 @@ def fit_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 # harmonics -----------------------------------------------------------------------
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _solve(gram: pd.Series, right: pd.Series) -> pd.Series:
     out = []
     for g, r in zip(gram, right):
@@ -111,12 +115,13 @@ def with_harmonic(df: DataFrame, fit: DataFrame, keys: Sequence[str], doy: str,
 
 
 def anomaly(df: DataFrame, keys: Sequence[str], doy: str, value: str, fit: DataFrame,
-            out: str = "anomaly_z", variance_fit: DataFrame | None = None) -> DataFrame:
+            out: str = "anomaly_z", variance_fit: DataFrame | None = None,
+            harmonics: int = 3) -> DataFrame:
     """(value - normal) / sigma, with one sigma per key or a seasonal one."""
-    centred = with_harmonic(df, fit, keys, doy, "_normal").withColumn(
+    centred = with_harmonic(df, fit, keys, doy, "_normal", harmonics).withColumn(
         "_resid", F.col(value) - F.col("_normal"))
     if variance_fit is not None:
-        sigma_of = with_harmonic(centred, variance_fit, keys, doy, "_var")
+        sigma_of = with_harmonic(centred, variance_fit, keys, doy, "_var", harmonics)
         sigma = F.sqrt(clip("_var", low=1e-9))
         return sigma_of.withColumn(out, F.col("_resid") / sigma).drop("_normal", "_resid", "_var")
     spread = centred.groupBy(*keys).agg(F.stddev_pop("_resid").alias("_sd"))
@@ -129,8 +134,8 @@ def fit_variance(df: DataFrame, keys: Sequence[str], doy: str, value: str, fit:
                  harmonics: int = 3) -> DataFrame:
     """Harmonic fit of the squared residuals."""
     residual = F.col(value) - F.col("_normal")
-    return fit_harmonic(with_harmonic(df, fit, keys, doy, "_normal"), keys, doy,
-                        residual * residual, harmonics)
+    centred = with_harmonic(df, fit, keys, doy, "_normal", harmonics)
+    return fit_harmonic(centred, keys, doy, residual * residual, harmonics)
 
 
 def fit_rain(df: DataFrame, keys: Sequence[str], doy: str, rain: str,
@@ -159,40 +164,41 @@ def fit_clear_sky(df: DataFrame, keys: Sequence[str], doy: str, span: str,
 def doy_table(fit: DataFrame, keys: Sequence[str], columns: dict[str, str],
               harmonics: int = 3) -> DataFrame:
     """Evaluate coefficient columns on every day of year 1..366."""
-    days = fit.withColumn("doy", F.explode(DOYS))
+    days = fit.withColumn("doy", _year_days())
     return days.select(*keys, "doy", *[harmonic_value("doy", c, harmonics).alias(name)
                                        for name, c in columns.items()])
 
 
 def climatology(deep: DataFrame, modern: DataFrame, keys: Sequence[str],
-                modern_start: str = C.MODERN_START) -> DataFrame:
+                modern_start: str = C.MODERN_START, harmonics: int = 3) -> DataFrame:
     """Normals per day of year: weather from the deep record, outflow from the modern one."""
     record = deep.withColumn("doy", F.dayofyear("date")) \
                  .withColumn("dtr", F.col("temp_max_C") - F.col("temp_min_C"))
     recent = modern.where(F.col("date") >= F.lit(modern_start).cast("date")) \
                    .withColumn("doy", F.dayofyear("date"))
-    fits = fit_rain(record, keys, "doy", "rainfall_mm")
+    fits = fit_rain(record, keys, "doy", "rainfall_mm", harmonics=harmonics)
     for name in ("temp_max_C", "temp_min_C", "dtr", "et0_mm"):
-        fits = fits.join(fit_harmonic(record, keys, "doy", name, out=f"_{name}").drop("n_fitted"),
-                         list(keys), "left")
-    fits = fits.join(fit_clear_sky(record, keys, "doy", "dtr")
+        fit = fit_harmonic(record, keys, "doy", name, harmonics, f"_{name}").drop("n_fitted")
+        fits = fits.join(fit, list(keys), "left")
+    fits = fits.join(fit_clear_sky(record, keys, "doy", "dtr", harmonics=harmonics)
                      .select(*keys, F.col("coefficients").alias("_clear")), list(keys), "left")
-    fits = fits.join(fit_harmonic(recent, keys, "doy", "outflow_m3", out="_outflow").drop("n_fitted"),
-                     list(keys), "left")
+    outflow = fit_harmonic(recent, keys, "doy", "outflow_m3", harmonics, "_outflow")
+    fits = fits.join(outflow.drop("n_fitted"), list(keys), "left")
     table = doy_table(fits, keys, {
         "temp_max_clim": "_temp_max_C", "temp_min_clim": "_temp_min_C", "dtr_clim": "_dtr",
         "dtr_clearsky": "_clear", "et0_clim": "_et0_mm", "p_wet_clim": "p_wet",
-        "amount_clim": "amount", "outflow_clim": "_outflow"})
+        "amount_clim": "amount", "outflow_clim": "_outflow"}, harmonics)
     return (table.withColumn("p_wet_clim", clip("p_wet_clim", 0.0, 1.0))
             .withColumn("amount_clim", clip("amount_clim", low=0.0)))
 
 
-def inflow_climatology(gold: DataFrame, keys: Sequence[str]) -> DataFrame:
+def inflow_climatology(gold: DataFrame, keys: Sequence[str], harmonics: int = 3) -> DataFrame:
     """Normals of the inflow that closes the water balance on complete days."""
     complete = gold.dropna(subset=["volume_change_Mm3", "et0_mm", "outflow_m3"])
     inflow = (F.col("volume_change_Mm3") + mm_over_lake_to_Mm3("et0_mm") + m3_to_Mm3("outflow_m3"))
-    fit = fit_harmonic(complete.withColumn("doy", F.dayofyear("date")), keys, "doy", inflow)
-    return doy_table(fit, keys, {"inflow_clim_Mm3": "coefficients"})
+    dated = complete.withColumn("doy", F.dayofyear("date"))
+    fit = fit_harmonic(dated, keys, "doy", inflow, harmonics)
+    return doy_table(fit, keys, {"inflow_clim_Mm3": "coefficients"}, harmonics)
 
 
 # quantile mapping -------------------------------------------------------------------
@@ -255,7 +261,7 @@ def recession_rates(daily: DataFrame, keys: Sequence[str], date: str, level: str
     if exclude_years is not None:
         series = [*keys, "test_year"]
         sites = sites.withColumn("test_year", F.explode(F.array(*map(F.lit, exclude_years))))
-    spine = sites.withColumn("doy", F.explode(DOYS))
+    spine = sites.withColumn("doy", _year_days())
     filled = spine.join(totals, [*keys, "doy"], "left")
     if exclude_years is not None:
         own = steps.withColumnRenamed("_year", "test_year")

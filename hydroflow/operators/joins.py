@@ -34,21 +34,20 @@ def as_of(anchors: DataFrame, states: DataFrame, keys: Sequence[str], date: str,
           state_date: str, columns: Sequence[str]) -> DataFrame:
     """Last state with all ``columns`` valid at or before each anchor date.
 
-    Anchors and states are merged into one daily series per key and the last
-    valid state is carried forward: one shuffle, no range join. States are
-    reduced to one row per day first, so the series is bounded by the calendar.
+    The distinct anchor days and the states, one row per day each, are merged into
+    a series per key and the last valid state is carried forward: no range join,
+    and a window bounded by the calendar however many anchors share a day.
     """
     valid = states.dropna(subset=list(columns))
-    daily = valid.groupBy(*keys, F.col(state_date).alias("_d")).agg(
-        F.max_by(F.struct(F.col(state_date).alias(state_date), *columns), state_date).alias("_state"))
-    marked = anchors.withColumn("_d", F.col(date)).withColumn("_anchor", F.lit(True)) \
-                    .withColumn("_order", F.lit(1))
-    merged = marked.unionByName(daily.withColumn("_order", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy("_d", "_order") \
-              .rowsBetween(Window.unboundedPreceding, 0)
-    carried = merged.withColumn("_found", F.last("_state", ignorenulls=True).over(w))
+    daily = valid.groupBy(*keys, F.col(state_date).alias(date)).agg(
+        F.max(F.struct(state_date, *columns)).alias("_state"))
+    days = anchors.groupBy(*keys, date).agg(F.lit(True).alias("_asked"))
+    merged = days.join(daily, [*keys, date], "full")
+    w = Window.partitionBy(*keys).orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
+    carried = merged.withColumn("_found", F.last("_state", ignorenulls=True).over(w)) \
+                    .where("_asked").select(*keys, date, "_found")
     found = [F.col("_found")[c].alias(c) for c in (state_date, *columns)]
-    return carried.where("_anchor").select(*anchors.columns, *found)
+    return anchors.join(carried, [*keys, date], "left").select(*anchors.columns, *found)
 
 
 def latest_state(states: DataFrame, keys: Sequence[str], date: str, columns: Sequence[str],

@@ -35,7 +35,8 @@ def parse_daily_arrays(payloads: DataFrame, keys: Sequence[str], body: str,
     fields = ", ".join(f"`{v}`: array<double>" for v in metrics)
     schema = f"struct<daily: struct<time: array<string>, {fields}>>"
     days = payloads.select(*keys, F.from_json(body, schema).alias("p")).select(*keys, "p.daily.*")
-    zipped = F.arrays_zip("time", *metrics)
+    # arrays_zip is null as soon as one array is: a variable not delivered becomes an empty one
+    zipped = F.arrays_zip("time", *[F.coalesce(v, F.array().cast("array<double>")).alias(v) for v in metrics])
     rows = days.where(F.col("time").isNotNull()).select(*keys, F.explode(zipped).alias("z"))
     fills = [F.struct(F.lit(name).alias("metric"), (F.col(f"z.{variable}") * F.lit(factor)).alias("value"))
              for variable, (names, factor) in metrics.items() for name in names]
