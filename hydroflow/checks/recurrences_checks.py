@@ -86,7 +86,7 @@ LINE = -213.0
                   rates r WHERE r.site = a.site AND r.doy = dayofyear(anchor_date + CAST(k AS INT)))
     SELECT site, scenario, anchor_date, min(date) FILTER (WHERE anchor_level + moved <= {LINE}) AS crossing_date,
            CAST(min(date) FILTER (WHERE anchor_level + moved <= {LINE}) - anchor_date AS INT) AS days_to_line
-    FROM path GROUP BY ALL""")
+    FROM path GROUP BY site, scenario, anchor_date""")
 def rec_5(spark, d):
     daily = daily_levels(spark, d)
     rates = fits.recession_rates(daily, SITE, "date", "level_m", 1996)

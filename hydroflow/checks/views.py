@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hydroflow.config import SiteConfig
+from hydroflow.plans.gold import add_training_lags, build_gold
+from hydroflow.session import write_and_read
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -173,3 +175,15 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_views(*views: str) -> str:
     return "WITH " + ",\n".join(views) + "\n"
+
+
+def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold table of the lineitem lakes, built by the library's own plan."""
+    days = weather(spark, sf_dir)
+    rain = days.select("site", "date", (F.col("rainfall_mm") / 7).alias("precip_intensity_mm_hr"))
+    return build_gold(silver(spark, sf_dir), flows(spark, sf_dir), days, rain, CONFIG, LEVEL_TO_VOLUME)
+
+
+def frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold with training lags, written once per call so that many fits share it."""
+    return write_and_read(add_training_lags(gold(spark, sf_dir)), "frame")

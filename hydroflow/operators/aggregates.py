@@ -85,8 +85,8 @@ def six_hourly_to_daily(steps: DataFrame, keys: Sequence[str], requested: DataFr
 def pivot_wide(df: DataFrame, keys: Sequence[str], name: str, value: str,
                names: Sequence[str], drop_empty_rows: bool = True) -> DataFrame:
     """Long to wide with a given column list; rows without any value are dropped."""
-    wide = df.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
-    return wide.dropna("all", subset=list(names)) if drop_empty_rows else wide
+    cells = df.where(F.col(value).isNotNull() & F.col(name).isin(*names)) if drop_empty_rows else df
+    return cells.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
 
 
 def non_empty_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:

@@ -6,7 +6,7 @@ or leads are fitted by the same job.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,7 @@ from hydroflow import config as C
 from hydroflow.functions.meteo import harmonic_row, harmonic_value
 from hydroflow.functions.scalars import clip, m3_to_Mm3, mm_over_lake_to_Mm3
 from hydroflow.operators.fill import interpolate_rows
+from hydroflow.operators.selects import complete_cases
 from hydroflow.operators.windows import circular_mean
 
 
@@ -85,26 +86,45 @@ def _solve(gram: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def fit_harmonic(df: DataFrame, keys: Sequence[str], doy: str, value: str | Column,
-                 harmonics: int = 3, out: str = "coefficients") -> DataFrame:
-    """Least-squares harmonic regression on the day of year, one coefficient array per key.
+def fit_harmonics(df: DataFrame, keys: Sequence[str], doy: str, values: Mapping[str, Column],
+                  harmonics: int = 3) -> DataFrame:
+    """Harmonic regressions of several values on the day of year, in one pass over the rows.
 
     Rows are first summed per (key, doy), so the normal equations are built from
-    at most 366 rows per key whatever the size of the record. Nulls are dropped.
+    at most 366 rows per key and value whatever the size of the record. Nulls are
+    dropped value by value. Result: (keys, one coefficient array per value).
     """
-    y = F.col(value) if isinstance(value, str) else value
-    sums = (df.select(*keys, F.col(doy).alias("_doy"), y.alias("_y")).where(F.col("_y").isNotNull())
-            .groupBy(*keys, "_doy").agg(F.count("_y").alias("_n"), F.sum("_y").alias("_sy")))
+    long = _fit_long(df, keys, doy, values, harmonics)
+    return long.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_name") == name, F.col("coefficients"))).alias(name) for name in values])
+
+
+def _fit_long(df: DataFrame, keys: Sequence[str], doy: str, values: Mapping[str, Column],
+              harmonics: int) -> DataFrame:
+    sums = df.groupBy(*keys, F.col(doy).alias("_doy")).agg(*[
+        F.struct(F.lit(name).alias("_name"), F.count(y).alias("_n"), F.sum(y).alias("_sy"))
+        .alias(f"_v{i}") for i, (name, y) in enumerate(values.items())])
+    by_value = sums.select(*keys, "_doy", F.explode(F.array(
+        *[f"_v{i}" for i in range(len(values))])).alias("_v")).select(*keys, "_doy", "_v.*")
     row = harmonic_row("_doy", harmonics)
     size = len(row)
-    named = sums.select(*keys, "_n", "_sy", *[c.alias(f"_b{i}") for i, c in enumerate(row)])
+    named = by_value.where("_n > 0").select(
+        *keys, "_name", "_n", "_sy", *[c.alias(f"_b{i}") for i, c in enumerate(row)])
     cells = [F.sum(F.col("_n") * F.col(f"_b{i}") * F.col(f"_b{j}")).alias(f"g{i}_{j}")
              for i in range(size) for j in range(i, size)]
     right = [F.sum(F.col("_sy") * F.col(f"_b{i}")).alias(f"r{i}") for i in range(size)]
-    normal = named.groupBy(*keys).agg(*cells, *right, F.sum("_n").alias("n_fitted"))
+    normal = named.groupBy(*keys, "_name").agg(*cells, *right, F.sum("_n").alias("n_fitted"))
     gram = F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for i in range(size) for j in range(size)])
-    return normal.select(*keys, "n_fitted",
-                         _solve(gram, F.array(*[F.col(f"r{i}") for i in range(size)])).alias(out))
+    solved = _solve(gram, F.array(*[F.col(f"r{i}") for i in range(size)]))
+    return normal.select(*keys, "_name", "n_fitted", solved.alias("coefficients"))
+
+
+def fit_harmonic(df: DataFrame, keys: Sequence[str], doy: str, value: str | Column,
+                 harmonics: int = 3, out: str = "coefficients") -> DataFrame:
+    """One harmonic regression per key: (keys, n_fitted, coefficient array)."""
+    y = F.col(value) if isinstance(value, str) else value
+    fit = _fit_long(df, keys, doy, {"y": y}, harmonics)
+    return fit.select(*keys, "n_fitted", F.col("coefficients").alias(out))
 
 
 def with_harmonic(df: DataFrame, fit: DataFrame, keys: Sequence[str], doy: str, out: str,
@@ -141,10 +161,12 @@ def fit_variance(df: DataFrame, keys: Sequence[str], doy: str, value: str, fit:
 def fit_rain(df: DataFrame, keys: Sequence[str], doy: str, rain: str,
              wet_mm: float = C.WET_DAY_MM, harmonics: int = 3) -> DataFrame:
     """Two-part rain normals: chance of a wet day, amount on wet days. Null rain is a dry day."""
-    wet = F.coalesce((F.col(rain) > wet_mm).cast("double"), F.lit(0.0))
-    chance = fit_harmonic(df, keys, doy, wet, harmonics, "p_wet").drop("n_fitted")
-    amount = fit_harmonic(df.where(F.col(rain) > wet_mm), keys, doy, rain, harmonics, "amount")
-    return chance.join(amount.drop("n_fitted"), list(keys), "left")
+    return fit_harmonics(df, keys, doy, _rain_parts(rain, wet_mm), harmonics)
+
+
+def _rain_parts(rain: str, wet_mm: float = C.WET_DAY_MM) -> dict[str, Column]:
+    is_wet = F.col(rain) > wet_mm
+    return {"p_wet": F.coalesce(is_wet.cast("double"), F.lit(0.0)), "amount": F.when(is_wet, F.col(rain))}
 
 
 def fit_clear_sky(df: DataFrame, keys: Sequence[str], doy: str, span: str,
@@ -176,14 +198,12 @@ def climatology(deep: DataFrame, modern: DataFrame, keys: Sequence[str],
                  .withColumn("dtr", F.col("temp_max_C") - F.col("temp_min_C"))
     recent = modern.where(F.col("date") >= F.lit(modern_start).cast("date")) \
                    .withColumn("doy", F.dayofyear("date"))
-    fits = fit_rain(record, keys, "doy", "rainfall_mm", harmonics=harmonics)
-    for name in ("temp_max_C", "temp_min_C", "dtr", "et0_mm"):
-        fit = fit_harmonic(record, keys, "doy", name, harmonics, f"_{name}").drop("n_fitted")
-        fits = fits.join(fit, list(keys), "left")
-    fits = fits.join(fit_clear_sky(record, keys, "doy", "dtr", harmonics=harmonics)
-                     .select(*keys, F.col("coefficients").alias("_clear")), list(keys), "left")
+    weather = {f"_{n}": F.col(n) for n in ("temp_max_C", "temp_min_C", "dtr", "et0_mm")}
+    fits = fit_harmonics(record, keys, "doy", {**weather, **_rain_parts("rainfall_mm")}, harmonics)
+    clear = fit_clear_sky(record, keys, "doy", "dtr", harmonics=harmonics)
     outflow = fit_harmonic(recent, keys, "doy", "outflow_m3", harmonics, "_outflow")
-    fits = fits.join(outflow.drop("n_fitted"), list(keys), "left")
+    fits = (fits.join(clear.select(*keys, F.col("coefficients").alias("_clear")), list(keys), "left")
+            .join(outflow.drop("n_fitted"), list(keys), "left"))
     table = doy_table(fits, keys, {
         "temp_max_clim": "_temp_max_C", "temp_min_clim": "_temp_min_C", "dtr_clim": "_dtr",
         "dtr_clearsky": "_clear", "et0_clim": "_et0_mm", "p_wet_clim": "p_wet",
@@ -194,7 +214,7 @@ def climatology(deep: DataFrame, modern: DataFrame, keys: Sequence[str],
 
 def inflow_climatology(gold: DataFrame, keys: Sequence[str], harmonics: int = 3) -> DataFrame:
     """Normals of the inflow that closes the water balance on complete days."""
-    complete = gold.dropna(subset=["volume_change_Mm3", "et0_mm", "outflow_m3"])
+    complete = complete_cases(gold, ["volume_change_Mm3", "et0_mm", "outflow_m3"])
     inflow = (F.col("volume_change_Mm3") + mm_over_lake_to_Mm3("et0_mm") + m3_to_Mm3("outflow_m3"))
     dated = complete.withColumn("doy", F.dayofyear("date"))
     fit = fit_harmonic(dated, keys, "doy", inflow, harmonics)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hydroflow.operators.selects import complete_cases
+
 
 def unique_or_error(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of a lookup table; reading them raises an error if a key occurs twice."""
@@ -27,7 +29,8 @@ def lookup_join(spine: DataFrame, source: DataFrame, keys: Sequence[str],
 
 def matched_pairs(predictions: DataFrame, observations: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join of predictions and observations, complete rows only."""
-    return predictions.join(observations, list(keys)).dropna()
+    pairs = predictions.join(observations, list(keys))
+    return complete_cases(pairs, pairs.columns)
 
 
 def as_of(anchors: DataFrame, states: DataFrame, keys: Sequence[str], date: str,
@@ -38,7 +41,7 @@ def as_of(anchors: DataFrame, states: DataFrame, keys: Sequence[str], date: str,
     a series per key and the last valid state is carried forward: no range join,
     and a window bounded by the calendar however many anchors share a day.
     """
-    valid = states.dropna(subset=list(columns))
+    valid = complete_cases(states, columns)
     daily = valid.groupBy(*keys, F.col(state_date).alias(date)).agg(
         F.max(F.struct(state_date, *columns)).alias("_state"))
     days = anchors.groupBy(*keys, date).agg(F.lit(True).alias("_asked"))
@@ -53,7 +56,7 @@ def as_of(anchors: DataFrame, states: DataFrame, keys: Sequence[str], date: str,
 def latest_state(states: DataFrame, keys: Sequence[str], date: str, columns: Sequence[str],
                  until: Column | None = None) -> DataFrame:
     """The last complete state per key (up to a date), by one map-side aggregate."""
-    valid = states.dropna(subset=list(columns))
+    valid = complete_cases(states, columns)
     if until is not None:
         valid = valid.where(F.col(date) <= until)
     row = F.max_by(F.struct(date, *columns), date).alias("_s")
@@ -89,18 +92,19 @@ def expand_horizons(daily: DataFrame, keys: Sequence[str], date: str, horizons:
     taken = [F.col(date).alias("_date")] + [F.col(a).alias(b) for a, b in future.items()]
     if within:
         taken.append(F.col(within).alias("_within"))
-    ahead = daily.withColumn("_ahead", F.collect_list(F.struct(*taken)).over(w))
-    exploded = ahead.withColumn(horizon, F.explode(F.array(*[F.lit(int(h)) for h in horizons])))
-    target = F.date_add(F.col(date), F.col(horizon))
-
-    def wanted(r: Column) -> Column:
-        hit = r["_date"] == target
-        return hit & (r["_within"] == F.col(within)) if within else hit
-
-    picked = exploded.withColumn("_t", F.get(F.filter("_ahead", wanted), F.lit(0)))
     kept = [*keys, date, *anchor] + ([within] if within and within not in anchor else [])
-    return picked.select(*kept, horizon, F.col("_t._date").alias("target_date"),
-                         *[F.col("_t")[b].alias(b) for b in future.values()])
+    ahead = daily.select(*kept, F.collect_list(F.struct(*taken)).over(w).alias("_ahead"))
+
+    def at(h: int) -> Column:
+        def wanted(r: Column) -> Column:
+            hit = r["_date"] == F.date_add(F.col(date), h)
+            return hit & (r["_within"] == F.col(within)) if within else hit
+        return F.struct(F.lit(h).alias("h"), F.get(F.filter("_ahead", wanted), F.lit(0)).alias("t"))
+
+    # the explode ends the projection: each feature below is a field access, not a search
+    each = ahead.select(*kept, F.explode(F.array(*[at(int(h)) for h in horizons])).alias("_e"))
+    return each.select(*kept, F.col("_e.h").alias(horizon), F.col("_e.t._date").alias("target_date"),
+                       *[F.col(f"_e.t.{b}").alias(b) for b in future.values()])
 
 
 def in_periods(df: DataFrame, year: str, periods: Sequence[tuple[str, int, int]],
