@@ -288,7 +288,8 @@ def ensemble_run(spark, d):
 
 BOARD_SQL = """folds AS (SELECT o_orderpriority AS model, o_orderstatus AS fold, corr(o_totalprice, o_custkey) AS s2_r2,
     avg(o_totalprice) / 9973 AS s2_mae, CASE WHEN o_orderpriority <> '1-URGENT' THEN stddev_pop(o_totalprice) / 1e6 END AS drift_m,
-    CASE WHEN o_orderpriority < '4' THEN corr(o_totalprice, o_orderkey) END AS s1_r2 FROM orders GROUP BY ALL),
+    CASE WHEN o_orderpriority < '4' THEN corr(o_totalprice, o_orderkey) END AS s1_r2 FROM orders
+    GROUP BY o_orderpriority, o_orderstatus),
   board AS (SELECT model, round_even(avg(s2_r2), 3) AS cv_vol_r2_mean, round_even(avg(s2_mae), 3) AS cv_vol_mae_mean,
     round_even(avg(drift_m), 4) AS cv_7d_drift_mean_m, round_even(avg(s1_r2), 3) AS cv_inflow_r2_mean FROM folds GROUP BY ALL)"""
 
@@ -318,7 +319,7 @@ def evl_12(spark, d):
 
 @query("evl_12_fold_matrix", V.with_views(BOARD_SQL) + """
     SELECT fold, max(s2_r2) FILTER (WHERE model = '2-HIGH') AS "2-HIGH", max(s2_r2) FILTER (WHERE model = '5-LOW') AS "5-LOW"
-    FROM folds GROUP BY ALL""")
+    FROM folds GROUP BY ALL""", "2-HIGH 5-LOW")
 def evl_12b(spark, d):
     rows = fold_scores(spark, d).where(F.col("model").isin("2-HIGH", "5-LOW"))
     return E.fold_matrix(rows, ["2-HIGH", "5-LOW"])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,26 +61,41 @@ def interpolate(df: DataFrame, keys: Sequence[str], date: str, value: str, out:
 
 def interpolate_rows(df: DataFrame, keys: Sequence[str], order: str, value: str,
                      out: str | None = None, edges: str = "both") -> DataFrame:
-    """Linear interpolation by row position.
+    """Linear interpolation of one column by row position, see ``interpolate_columns``."""
+    return interpolate_columns(df, keys, order, {value: out or value}, edges)
+
+
+def interpolate_columns(df: DataFrame, keys: Sequence[str], order: str, columns: Mapping[str, str],
+                        edges: str = "both") -> DataFrame:
+    """Linear interpolation by row position of several columns (input to output name).
 
     ``edges="both"`` extends the outer values and sets an empty series to 0;
-    ``edges="forward"`` extends the last value only and leaves leading nulls.
+    ``edges="forward"`` extends the last value only and leaves leading nulls. All
+    columns share one pass forward and one backward.
     """
     forward = Window.partitionBy(*keys).orderBy(order)
     backward = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    numbered = df.withColumn("_row", F.row_number().over(forward))
-    here = F.when(F.col(value).isNotNull(),
-                  F.struct(F.col(value).alias("v"), F.col("_row").alias("r")))
     rows_so_far = (Window.unboundedPreceding, 0)
-    framed = (numbered
-              .withColumn("_prev", F.last(here, True).over(forward.rowsBetween(*rows_so_far)))
-              .withColumn("_next", F.last(here, True).over(backward.rowsBetween(*rows_so_far))))
-    prev, nxt = F.col("_prev"), F.col("_next")
-    line = prev["v"] + (nxt["v"] - prev["v"]) * F.try_divide(
-        (F.col("_row") - prev["r"]).cast("double"), (nxt["r"] - prev["r"]).cast("double"))
-    outer = [nxt["v"], F.lit(0.0)] if edges == "both" else []
-    filled = F.coalesce(F.col(value), line, prev["v"], *outer)
-    return framed.withColumn(out or value, filled).drop("_row", "_prev", "_next")
+
+    def here(value: str) -> Column:
+        return F.when(F.col(value).isNotNull(),
+                      F.struct(F.col(value).alias("v"), F.col("_row").alias("r")))
+
+    numbered = df.withColumn("_row", F.row_number().over(forward))
+    framed = numbered.withColumns({
+        f"_prev_{v}": F.last(here(v), True).over(forward.rowsBetween(*rows_so_far)) for v in columns})
+    framed = framed.withColumns({
+        f"_next_{v}": F.last(here(v), True).over(backward.rowsBetween(*rows_so_far)) for v in columns})
+
+    def filled(value: str) -> Column:
+        prev, nxt = F.col(f"_prev_{value}"), F.col(f"_next_{value}")
+        line = prev["v"] + (nxt["v"] - prev["v"]) * F.try_divide(
+            (F.col("_row") - prev["r"]).cast("double"), (nxt["r"] - prev["r"]).cast("double"))
+        outer = [nxt["v"], F.lit(0.0)] if edges == "both" else []
+        return F.coalesce(F.col(value), line, prev["v"], *outer)
+
+    helpers = [f"_{side}_{v}" for side in ("prev", "next") for v in columns]
+    return framed.withColumns({o: filled(v) for v, o in columns.items()}).drop("_row", *helpers)
 
 
 def resample_daily(df: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:

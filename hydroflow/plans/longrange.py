@@ -12,7 +12,7 @@ from hydroflow.config import SiteConfig
 from hydroflow.functions.meteo import cloud_index, hargreaves, hargreaves_calibrated
 from hydroflow.functions.scalars import level_from_volume, m3_to_Mm3, mm_over_lake_to_Mm3, wet_season
 from hydroflow.operators import aggregates, fits, joins, recurrences
-from hydroflow.operators.fill import interpolate_rows
+from hydroflow.operators.fill import interpolate_columns
 
 SITE = ("site",)
 FOLD = ("site", "fold")
@@ -67,9 +67,7 @@ def change_samples(df: DataFrame, keys: Sequence[str], leads: Sequence[int] = C.
     test year.
     """
     weather = ("cloud_index", "dtr", "tmax_anom_z", "et0_hs")
-    filled = df
-    for name in weather:
-        filled = interpolate_rows(filled, keys, "date", name, f"_{name}")
+    filled = interpolate_columns(df, keys, "date", {name: f"_{name}" for name in weather})
     w = Window.partitionBy(*keys).orderBy("date")
     options = []
     for lead in leads:

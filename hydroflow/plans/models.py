@@ -373,7 +373,7 @@ def longrange_predictions(samples: DataFrame, test_years: Sequence[int], learner
     ``samples`` comes from ``longrange.change_samples``, complete cases only are used.
     """
     usable = complete_cases(samples, [*C.LONGRANGE_BUCKET, "target"])
-    known = climatology_predictor(usable)
+    known = write_and_read(climatology_predictor(usable), "longrange")
     out = []
     for year in test_years:
         fold = known.where(F.col("fold") == int(year))
