@@ -22,10 +22,25 @@ def daily_spine(df: DataFrame, keys: Sequence[str], date: str = "date",
             .select(*keys, days.alias(date)).withColumn("doy", F.dayofyear(date)))
 
 
-def on_spine(df: DataFrame, keys: Sequence[str], date: str = "date",
-             start=None, end=None) -> DataFrame:
-    """The series with its missing days added as rows of nulls."""
-    return daily_spine(df, keys, date, start, end).join(df, [*keys, date], "left")
+def densify(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+    """Add the days missing between the rows of a daily series as rows of nulls.
+
+    Each row spreads over the days up to the next row, so the series is read once
+    and no spine is joined; the windows that follow reuse its partitioning.
+    """
+    following = F.lead(date).over(Window.partitionBy(*keys).orderBy(date))
+    until = F.greatest(F.date_sub(following, 1), F.col(date))
+    spread = df.withColumn("_until", until).withColumn(
+        "_day", F.explode(F.sequence(date, "_until", F.expr("interval 1 day"))))
+    own = F.col("_day") == F.col(date)
+    rest = [c for c in df.columns if c not in keys and c != date]
+    return spread.select(*keys, F.col("_day").alias(date),
+                         *[F.when(own, F.col(c)).alias(c) for c in rest])
+
+
+def on_spine(df: DataFrame, keys: Sequence[str], date: str = "date") -> DataFrame:
+    """The series on its dense daily spine, with the day of year."""
+    return densify(df, keys, date).withColumn("doy", F.dayofyear(date))
 
 
 def interpolate(df: DataFrame, keys: Sequence[str], date: str, value: str, out: str | None = None,

@@ -13,11 +13,11 @@ from hydroflow.operators.selects import complete_cases
 def unique_or_error(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of a lookup table; reading them raises an error if a key occurs twice."""
     rest = [c for c in df.columns if c not in keys]
-    grouped = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                                    F.first(F.struct(*rest)).alias("_row"))
-    checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(
-        F.raise_error(F.lit("duplicate lookup key")).cast(grouped.schema["_row"].dataType))
-    return grouped.select(*keys, checked.alias("_row")).select(*keys, "_row.*")
+    failure = F.raise_error(F.lit("duplicate lookup key")).cast("long")
+    single = F.when(F.count(F.lit(1)) > 1, failure).otherwise(F.lit(1))
+    # the maximum of one value is that value, and unlike first(struct) it hash-aggregates
+    grouped = df.groupBy(*keys).agg(single.alias("_n"), *[F.max(c).alias(c) for c in rest])
+    return grouped.where(F.col("_n") == 1).drop("_n")
 
 
 def lookup_join(spine: DataFrame, source: DataFrame, keys: Sequence[str],

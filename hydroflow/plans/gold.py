@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroflow import config as C
@@ -12,7 +12,6 @@ from hydroflow.config import SiteConfig
 from hydroflow.functions.meteo import penman_monteith, seasonality, vpd
 from hydroflow.functions.scalars import polyval
 from hydroflow.operators import aggregates, fill, quality
-from hydroflow.operators.joins import lookup_join
 from hydroflow.operators.selects import union_aligned
 from hydroflow.operators.windows import (
     difference, lags, peak_intensity, rolling_mean, rolling_sum)
@@ -142,22 +141,45 @@ def build_gold(silver: DataFrame, flows: DataFrame, levels: DataFrame, intensity
 
     ``silver`` is (site, station, date, metric, value), ``flows`` (site, station,
     date, flow_m3), ``levels`` (site, date, level_m), ``intensity`` (site, date,
-    precip_intensity_mm_hr). All sources are keyed by (site, date), so the joins
-    and the windows that follow share one partitioning by site.
+    precip_intensity_mm_hr). The spine runs over the days of the weather, or from
+    ``start`` to ``end``.
+
+    The sources are stacked and merged by one aggregate on (site, date) instead of
+    being joined one after the other; everything after it works on one
+    partitioning by site, where a site has one row a day.
     """
-    weather = weather_columns(silver, config)
-    spine = fill.daily_spine(weather, SITE, "date", start, end)
     day = [*SITE, "date"]
-    df = spine.join(weather, day, "left")
-    df = lookup_join(df, intensity.select(*day, "precip_intensity_mm_hr"), day, check_unique)
-    df = lookup_join(df, levels.select(*day, "level_m"), day, check_unique)
-    df = df.join(flow_columns(flows, config), day, "left")
-    df = df.withColumns(seasonality("doy", config.latitude))
+    sources = [weather_columns(silver, config).withColumn("_has_weather", F.lit(True)),
+               intensity.select(*day, "precip_intensity_mm_hr"), levels.select(*day, "level_m"),
+               flow_columns(flows, config)]
+    if start or end:  # edge days of the spine, empty rows where no source has them
+        edges = F.array(*[F.lit(e).cast("date") for e in (start, end) if e])
+        sources.append(silver.select(*SITE).distinct().withColumn("date", F.explode(edges)))
+    stacked = union_aligned(sources)
+    merged = stacked.groupBy(*day).agg(*[
+        _single(c, check_unique) if c in ("level_m", "precip_intensity_mm_hr") else F.max(c).alias(c)
+        for c in stacked.columns if c not in day])
+    whole = Window.partitionBy(*SITE)
+    weather_day = F.when(F.col("_has_weather"), F.col("date"))
+    first = F.lit(start).cast("date") if start else F.min(weather_day).over(whole)
+    last = F.lit(end).cast("date") if end else F.max(weather_day).over(whole)
+    inside = merged.withColumns({"_first": first, "_last": last}) \
+                   .where(F.col("date").between(F.col("_first"), F.col("_last"))) \
+                   .drop("_first", "_last", "_has_weather")
+    df = fill.on_spine(inside, SITE).withColumns(seasonality("doy", config.latitude))
     df = add_flow(add_level(add_antecedent(add_evaporation(df, config)), level_to_volume))
     order = [c for c in df.columns if c not in C.GOLD_TARGETS and c != "doy"]
     return df.select(*order, *C.GOLD_TARGETS)
 
 
+def _single(column: str, check: bool):
+    """The one value a day has; two values are an error."""
+    if not check:
+        return F.max(column).alias(column)
+    failure = F.raise_error(F.lit(f"duplicate daily value of {column}")).cast("double")
+    return F.when(F.count(column) > 1, failure).otherwise(F.max(column)).alias(column)
+
+
 def add_training_lags(gold: DataFrame, keys: Sequence[str] = SITE) -> DataFrame:
     """Rain lags and the empty stage-one column the model jobs need."""
     return gold.withColumns(lags("rainfall_mm", keys, "date", 3, "rainfall_lag{}_mm")) \

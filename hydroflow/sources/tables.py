@@ -119,8 +119,8 @@ def parse_sheet_lines(lines: DataFrame) -> DataFrame:
     """Positional sheet lines to the columns of a flow row (station name in column 3)."""
     schema = "id string, station_code string, station string, date string, " \
              "flow_m3 string, flow_rate string"
-    parsed = lines.where(F.trim("line") != "").select(F.from_csv("line", schema).alias("r"))
-    return parsed.select("r.*")
+    # inline ends the projection: a plain "r.*" would parse the line again for every field
+    return lines.where(F.trim("line") != "").select(F.inline(F.array(F.from_csv("line", schema))))
 
 
 def normalize_sheet_rows(raw: DataFrame, translations: Mapping[str, str],
