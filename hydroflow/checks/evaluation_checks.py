@@ -233,7 +233,7 @@ def evl_8(spark, d):
 @query("evl_9_roc_auc", """
     WITH s AS (SELECT lang, n_chars AS score, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
     r AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY score) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS rk FROM s)
-    SELECT lang, (sum(rk) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / (sum(quality) * (count(*) - sum(quality))) AS auc,
+    SELECT lang, (sum(rk) FILTER (WHERE quality = 1) - sum(quality) * (sum(quality) + 1) / 2) / nullif(sum(quality) * (count(*) - sum(quality)), 0) AS auc,
            CAST(sum(quality) AS BIGINT) AS n_pos, CAST(count(*) - sum(quality) AS BIGINT) AS n_neg FROM r GROUP BY ALL""", "auc")
 def evl_9(spark, d):
     scored = V.table(spark, d, "documents").select("doc_id", "lang", F.col("n_chars").alias("score")).join(
@@ -251,8 +251,8 @@ def evl_9(spark, d):
         CAST(rainfall_mm > 1 AS INT) AS wet, round(ci - 0.5 * resid / stddev_pop(resid) OVER (PARTITION BY site), 12) AS score FROM sc)"""])
     + """, ranks AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY score) + (count(*) OVER (PARTITION BY site, score) - 1) / 2.0 AS rk FROM z),
     ws AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY score) + (count(*) OVER (PARTITION BY site, score) - 1) / 2.0 AS rk FROM z WHERE season),
-    o AS (SELECT site, (sum(rk) FILTER (WHERE wet = 1) - sum(wet) * (sum(wet) + 1) / 2) / (sum(wet) * (count(*) - sum(wet))) AS auc FROM ranks GROUP BY ALL),
-    s AS (SELECT site, (sum(rk) FILTER (WHERE wet = 1) - sum(wet) * (sum(wet) + 1) / 2) / (sum(wet) * (count(*) - sum(wet))) AS auc,
+    o AS (SELECT site, (sum(rk) FILTER (WHERE wet = 1) - sum(wet) * (sum(wet) + 1) / 2) / nullif(sum(wet) * (count(*) - sum(wet)), 0) AS auc FROM ranks GROUP BY ALL),
+    s AS (SELECT site, (sum(rk) FILTER (WHERE wet = 1) - sum(wet) * (sum(wet) + 1) / 2) / nullif(sum(wet) * (count(*) - sum(wet)), 0) AS auc,
                  corr(ci, rainfall_mm) AS c FROM ws GROUP BY ALL)
     SELECT o.site, o.auc AS overall_auc, s.auc AS wet_season_auc, c AS wet_season_cloud_rain_corr, 0.6::DOUBLE AS auc_threshold,
            CASE WHEN s.auc >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM o JOIN s ON o.site = s.site""",

@@ -61,12 +61,17 @@ def winner(board: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def against_baseline(board: DataFrame, baseline: str, keys: Sequence[str] = ()) -> DataFrame:
     """Score differences of every model to the baseline; a missing score counts as zero."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    out = board
-    for score, name in (("cv_vol_r2_mean", "r2_delta"), ("cv_vol_mae_mean", "mae_delta")):
-        base = F.max(F.when(F.col("model") == baseline, F.coalesce(score, F.lit(0.0)))).over(w)
-        out = out.withColumn(name, F.coalesce(F.col(score), F.lit(0.0)) - F.coalesce(base, F.lit(0.0)))
-    return out
+    scores = {"r2_delta": "cv_vol_r2_mean", "mae_delta": "cv_vol_mae_mean"}
+    base = board.where(F.col("model") == baseline).select(
+        *keys, *[F.coalesce(c, F.lit(0.0)).alias(f"_{n}") for n, c in scores.items()])
+    if keys:
+        joined = board.join(base, list(keys), "left")
+        reference = {n: F.coalesce(f"_{n}", F.lit(0.0)) for n in scores}
+    else:
+        joined = board
+        reference = {n: F.coalesce(base.select(f"_{n}").scalar(), F.lit(0.0)) for n in scores}
+    return joined.withColumns({n: F.coalesce(c, F.lit(0.0)) - reference[n] for n, c in scores.items()}) \
+                 .drop(*[f"_{n}" for n in scores])
 
 
 def refresh_entry(board: DataFrame, fresh: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
