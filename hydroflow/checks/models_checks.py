@@ -68,7 +68,7 @@ CHECKED = ["temp_mean_C", "humidity_pct", "radiation_MJm2", "et0_mm", "rainfall_
 
 
 @query("gold_features", V.with_views(*GOLD_SQL) + f"SELECT site, date, {', '.join(CHECKED)} FROM gold",
-       " ".join(CHECKED))
+       " ".join(f"{c}:4" if c.startswith("volume") else c for c in CHECKED))
 def gold_features(spark, d):
     return V.gold(spark, d).select("site", "date", *CHECKED)
 
@@ -126,9 +126,8 @@ def mdl_7(spark, d):
                                ("volume_direct", C.VOLUME_DIRECT_FEATURES))])
 
 
-def history_and_forecast(spark, d):
+def history_and_forecast(gold):
     """Per site the last seven days of the record as the forecast, the 52 before as the history."""
-    gold = V.gold(spark, d)
     last = gold.groupBy("site").agg(F.max("date").alias("_last"))
     age = F.datediff("_last", "date")
     marked = gold.join(last, "site").withColumn("_age", age).drop("_last")
@@ -155,13 +154,13 @@ FORECAST_CHECKED = ["et0_mm", "rainfall_7d_mm", "rainfall_30d_mm", "rainfall_45d
 @query("mdl_8_forecast_features", V.with_views(*FORECAST_SQL)
        + f"SELECT site, date, {', '.join(FORECAST_CHECKED)} FROM fr WHERE ahead", " ".join(FORECAST_CHECKED))
 def mdl_8(spark, d):
-    history, forecast = history_and_forecast(spark, d)
+    history, forecast = history_and_forecast(V.gold(spark, d))
     return G.forecast_features(history, forecast, V.CONFIG).select("site", "date", *FORECAST_CHECKED)
 
 
 @query("mdl_9_rec_7_week_forecast")
 def mdl_9(spark, d):
-    _, path = final_models(spark, d)
-    history, forecast = history_and_forecast(spark, d)
+    frame, path = final_models(spark, d)
+    history, forecast = history_and_forecast(frame)
     features = G.forecast_features(history, forecast, V.CONFIG)
     return M.run_forecast(features, history, M.load_models(path), V.CONFIG)

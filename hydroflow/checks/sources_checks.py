@@ -241,10 +241,11 @@ def src_15(spark, d):
 
 
 @query("src_16_export_layout", WEATHER + """
-    SELECT site, date, CAST(printf('%.11e', inflow_m3 / 7) AS DOUBLE) AS inflow, CAST(printf('%.11e', level_m) AS DOUBLE)
-           AS level_m FROM weather""", "inflow level_m", digits=9)
+    SELECT site, date, CAST(printf('%.11e', sqrt(inflow_m3)) AS DOUBLE) AS inflow,
+           CAST(printf('%.11e', ln(outflow_m3)) AS DOUBLE) AS level_m FROM weather""", "inflow level_m", digits=9)
 def src_16(spark, d):
-    rows = V.weather(spark, d).select("level_m", "site", "date", (F.col("inflow_m3") / 7).alias("inflow"))
+    rows = V.weather(spark, d).select(F.log("outflow_m3").alias("level_m"), "site", "date",
+                                      F.sqrt("inflow_m3").alias("inflow"))
     return K.export_layout(rows)
 
 

@@ -219,7 +219,8 @@ def simulate_week(frame: DataFrame, first: PipelineModel, second: PipelineModel,
     own2 = ("predicted_inflow_m3", "level_m", "volume_change_lag1_Mm3", "volume_change_lag2_Mm3")
     weather2 = [f for f in C.VOLUME_FEATURES if f not in own2]
     weather = list(dict.fromkeys([*weather1, *weather2]))
-    state = weeks_ahead(frame, [*weather, C.VOLUME_TARGET], keys).where(anchors) \
+    # written once: the seven days are then planned over a table, not over the feature windows
+    state = write_and_read(weeks_ahead(frame, [*weather, C.VOLUME_TARGET], keys).where(anchors), "weeks") \
         .withColumn("_path", F.array().cast(
             "array<struct<horizon_h:int,predicted:double,inflow:double,actual:double>>"))
     for h in C.HORIZONS:
@@ -319,8 +320,9 @@ def run_forecast(features: DataFrame, history: DataFrame, models: dict[str, Pipe
     present = [F.col(c).cast("double").alias(c) if c in features.columns
                else F.lit(None).cast("double").alias(c) for c in weather]
     coming = F.sort_array(F.collect_list(F.struct("date", *present)))  # days of one forecast
-    state = features.groupBy(*keys).agg(coming.alias("_ahead")).where(F.size("_ahead") >= days) \
-        .join(anchor_state(history, keys), list(keys)) \
+    ready = features.groupBy(*keys).agg(coming.alias("_ahead")).where(F.size("_ahead") >= days) \
+        .join(anchor_state(history, keys), list(keys))
+    state = write_and_read(ready, "anchors") \
         .withColumn("_path", F.array().cast("array<struct<day:int,date:date,rain_mm:double,"
                                             "temp_mean_C:double,inflow_m3:double,dvol:double>>"))
     for h in range(1, days + 1):
