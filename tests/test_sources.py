@@ -28,16 +28,16 @@ def test_sensor_files_with_different_headers(spark, tmp_path):
 
 def test_flow_csv_rules(spark, tmp_path):
     f = tmp_path / "flow.csv"
-    f.write_text("1,7,x, JORD-A ,05/03/2020,0,0,2019\n"       # missing marker
-                 "2,7,x,JORD-A,06/03/2020,0,0.0,2019\n"        # a real zero
-                 "3,7,x,JORD-A,07/03/2020,12.5,1,2019,extra\n"  # over-long: skipped
-                 "4,7,x,JORD-A,08/03/2020,3\n"                 # short: padded
+    f.write_text("1,7,x, RIV-A ,05/03/2020,0,0,2019\n"       # missing marker
+                 "2,7,x,RIV-A,06/03/2020,0,0.0,2019\n"        # a real zero
+                 "3,7,x,RIV-A,07/03/2020,12.5,1,2019,extra\n"  # over-long: skipped
+                 "4,7,x,RIV-A,08/03/2020,3\n"                 # short: padded
                  "5,7,x,OUT,08/03/2020,3,1,2019\n"
-                 "6,7,x,JORD-A,99/03/2020,3,1,2019\n")
+                 "6,7,x,RIV-A,99/03/2020,3,1,2019\n")
     raw = S.read_flow_csv(spark, [str(f)])
-    got = S.normalize_flow_rows(raw, {"JORD-A": "A"}, ["OUT"]).orderBy("date").collect()
+    got = S.normalize_flow_rows(raw, {"RIV-A": "A"}, ["OUT"]).orderBy("date").collect()
     assert [(r.station, r.date.day, r.flow_m3) for r in got] == [("A", 5, None), ("A", 6, 0.0), ("A", 8, 3.0)]
-    numeric = S.normalize_flow_rows(raw, {"JORD-A": "A"}, ["OUT"], rate_mode="numeric").orderBy("date").collect()
+    numeric = S.normalize_flow_rows(raw, {"RIV-A": "A"}, ["OUT"], rate_mode="numeric").orderBy("date").collect()
     assert [r.flow_m3 for r in numeric] == [None, None, 3.0]
 
 
