@@ -6,6 +6,7 @@ import os
 import uuid
 
 import numpy as np
+import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,6 @@ from hydroflow.session import scratch_path, shared_dir, write_and_read  # noqa:
 
 #: White space between words, the same set in every operator that counts words.
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,9 +40,26 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in text.split(" ") if w]
 
 
-def ascii_lower(text: str) -> str:
-    """Lower-case A-Z and nothing else."""
-    return text.lower() if text.isascii() else text.translate(ASCII_LOWER)
+def lower_words(text: str | None) -> list[bytes]:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of a text in UTF-8, with A-Z in lower case and nothing else changed."""
+    return text.encode().lower().split() if text else []
+
+
+class WordHashes(dict):
+    """A 64-bit hash per word, kept for the words a worker has met; ``least`` keeps small numbers free for other uses."""
+
+    def __init__(self, least: int = 0, most: int = 1_000_000):
+        super().__init__()
+        self.least, self.most = least, most
+
+    def __missing__(self, word: bytes) -> int:
+        found = max(self.least, xxhash.xxh3_64_intdigest(word))
+        if len(self) < self.most:
+            self[word] = found
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 class SharedFolder:
@@ -56,14 +72,24 @@ class SharedFolder:
         return fs.FileSystem.from_uri(self.uri if "://" in self.uri or self.uri.startswith("file:") else
                                       "file://" + os.path.abspath(self.uri))
 
-    def write(self, name: str, data: bytes) -> str:
-        """Write under a name of its own, so that a second attempt of a task never meets a half-written file."""
+    def write(self, name: str, data: bytes, fixed: bool = False) -> str:
+        """Write a file and return its name, which no other file has.
+
+        ``fixed`` keeps the given name: for files whose content a repeated task makes again byte for byte.
+        The file is put in place whole in either case.
+        """
         files, base = self._at()
         files.create_dir(base, recursive=True)
         path = f"{name}-{uuid.uuid4().hex}"
         with files.open_output_stream(f"{base}/{path}", compression=None) as out:
             out.write(data)
-        return path
+        if not fixed:
+            return path
+        if files.get_file_info(f"{base}/{name}").type == fs.FileType.NotFound:
+            files.move(f"{base}/{path}", f"{base}/{name}")
+        else:
+            files.delete_file(f"{base}/{path}")
+        return name
 
     def read(self, path: str) -> bytes:
         files, base = self._at()

@@ -98,11 +98,14 @@ def _narrow(rows: DataFrame, nodes: list[Node]) -> None:
         F.sum("size").alias("bytes"), F.min("key").alias("first"), F.max("key").alias("last"), F.min("wanted").alias("wanted"))
     upto = F.sum("bytes").over(Window.partitionBy("node").orderBy("cell"))
     cells = cells.withColumn("upto", upto).filter(F.col("upto") >= F.col("wanted"))
-    found = cells.groupBy("node").agg(F.min(F.struct("cell", "first", "last", F.expr("upto - bytes").alias("before"))).alias("c"))
+    found = cells.groupBy("node").agg(F.min(F.struct("cell", "first", "last", F.expr("upto - bytes").alias("before"), "upto")).alias("c"))
     by_first = {n.first: n for n in nodes}
     for r in found.collect():
         n = by_first[r["node"]]
+        short, over = n.target - n.before - r["c"]["before"], n.before + r["c"]["upto"] - n.target
         n.low, n.high, n.before = r["c"]["first"], r["c"]["last"], n.before + r["c"]["before"]
+        if n.low == n.high and short < over:  # nearer to the target without the last key
+            n.low = n.high = n.low - 1
 
 
 def kd_shards(docs: DataFrame, shards: int) -> DataFrame:
@@ -111,8 +114,7 @@ def kd_shards(docs: DataFrame, shards: int) -> DataFrame:
     ids = rows.agg(F.min("id_raw").alias("lo"), F.max("id_raw").alias("hi")).first()
     low, width = (ids["lo"] or 0), max(1, (ids["hi"] or 0) - (ids["lo"] or 0))
     rows = rows.withColumn("id_at", F.floor((F.col("id_raw") - low) / F.lit(float(width)) * (SPAN - 1)).cast("long"))
-    rows = write_and_read(rows.drop("id_raw"), "kd-metadata")
-    rows = rows.withColumn("node", F.lit(0).cast("int"))
+    rows = write_and_read(rows.drop("id_raw").withColumn("node", F.lit(0)), "kd-metadata")
     leaves, nodes = [], [Node(0, shards)]
     while nodes:
         leaves += [n for n in nodes if n.shards == 1]
@@ -124,8 +126,8 @@ def kd_shards(docs: DataFrame, shards: int) -> DataFrame:
             _narrow(rows, wide)
         if nodes:
             right = F.when(F.col("key") > F.col("lo"), F.col("right"))
-            rows = _with_boxes(rows, nodes).withColumn("node", F.coalesce(right, F.col("node"))).drop(
-                "dim", "lo", "hi", "wanted", "right", "key")
+            rows = write_and_read(_with_boxes(rows, nodes).withColumn("node", F.coalesce(right, F.col("node"))).drop(
+                "dim", "lo", "hi", "wanted", "right", "key"), "kd-level")
         nodes = [m for n in nodes for m in (Node(n.first, n.left), Node(n.first + n.left, n.shards - n.left))]
     return with_slots(rows.withColumnRenamed("node", "shard"))
 

@@ -9,8 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroflow.llm import kd_sharding, packing, warc_archive, wavelet
-from hydroflow.llm.common import scratch_path, table
+from hydroflow.llm import (backoff_lm, decontamination, kd_sharding, ngram_join, packing, quality_llr, quality_qda, toxicity,
+                           warc_archive, wavelet)
+from hydroflow.llm.common import fold_is, scratch_path, table
+
+#: Scores from here on count as label 1.
+LEAST_SCORE = 0.7
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,6 +62,55 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_table(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op4_quality_discriminant")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_qda.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_is("doc_id", 4, 2))
+    return scored.withColumn("predicted", (F.col("score") >= LEAST_SCORE).cast("int"))
+
+
 @query("op5_packing")
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_ngram_join", """
+WITH words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+rows AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM rows a JOIN rows b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+          WHERE 100 * n_both >= 80 * (len(x.s) + len(y.s) - n_both)),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  WITH RECURSIVE r(v, u) AS (SELECT a, b FROM edges UNION SELECT r.v, e.b FROM r JOIN edges e ON r.u = e.a)
+  SELECT v, min(u) AS least FROM r GROUP BY v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(reach.least, doc_id)) AS component_id
+FROM sets LEFT JOIN reach ON v = doc_id""")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_likelihood")
+def likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality_llr.trusted_documents(table(spark, sf_dir, "labels"))
+    return quality_llr.likelihood(table(spark, sf_dir, "documents"), trusted).drop("ratio")
+
+
+@query("op8_decontamination")
+def decontaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_backoff_scores")
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_lm.score(table(spark, sf_dir, "documents"), fold_is("doc_id", 5, 1))
+
+
+@query("op10_toxicity")
+def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_is("doc_id", 3, 1))
+    return scored.withColumn("predicted", (F.col("score") >= LEAST_SCORE).cast("int"))

@@ -75,14 +75,12 @@ def headers(pages: DataFrame) -> DataFrame:
 def payloads(pages: DataFrame) -> DataFrame:
     """Each payload once: digest, bytes.
 
-    Only the pages that hold a payload's first copy keep their bytes; equal rows of one
-    page id are reduced to one row after that.
+    Each task reduces its own pages to one per digest before payloads are shuffled, so a payload
+    that a third of all pages share moves once per task.
     """
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select("page_id", payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    first = digests(pages).groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    held = rows.join(first, (rows["digest"] == first["digest"]) & rows["page_id"].eqNullSafe(first["first_id"]), "left_semi")
-    return held.groupBy("digest").agg(F.first("payload").alias("payload"))
+    rows = pages.select(payload.alias("payload")).select(F.sha2("payload", 256).alias("digest"), "payload")
+    return rows.groupBy("digest").agg(F.first("payload").alias("payload"))
 
 
 def write_archive(pages: DataFrame, folder: str) -> None:
