@@ -28,7 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroflow.llm.common import SharedFolder, WordHashes, lower_words, mix64, scratch_path, write_and_read
+from hydroflow.llm.common import (SharedFolder, WordHashes, lower_words, mix64, scratch_path, small, squeezed, unsmall, unsqueezed,
+                                  write_and_read)
 
 #: Tokens in a block and entries in a bucket, about.
 BLOCK_TOKENS, BUCKET_ENTRIES = 4_000_000, 2_000_000
@@ -39,24 +40,6 @@ END, BEGIN = np.uint64(1), np.uint64(2)
 _WORDS = WordHashes(least=3)
 
 
-def _squeezed(x: np.ndarray) -> bytes:
-    """Rising 64-bit numbers as differences, bytes of the same rank side by side, which Spark's compression likes."""
-    return np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unsqueezed(b: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
-
-
-def _small(x: np.ndarray) -> bytes:
-    """Numbers below 2 ** 32, laid out as in ``_squeezed``."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _unsmall(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
-
-
 def _pair_keys(words: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
     return mix64(mix64(words[heads]) + words[tails])
 
@@ -82,7 +65,7 @@ def _segments(block: str, kind: str, bucket: np.ndarray, keys: np.ndarray, count
         at = by[edges[q]:edges[q + 1]]
         if len(at):
             own, index = np.unique(heads[at], return_inverse=True) if heads is not None else (np.zeros(0, np.uint64), np.zeros(0, int))
-            yield block, q, kind, _squeezed(keys[at]), _small(counts[at]), _squeezed(own), _small(index)
+            yield block, q, kind, squeezed(keys[at]), small(counts[at]), squeezed(own), small(index)
 
 
 def _pairs(ids: np.ndarray, ends: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,7 +103,7 @@ class Block:
     def file(self) -> bytes:
         """Words, and the texts as numbers of words."""
         out = io.BytesIO()
-        np.savez(out, words=self.words, ids=np.frombuffer(_small(self.ids), np.uint8), ends=self.ends, held_out=np.array(self.held_out, bool),
+        np.savez(out, words=self.words, ids=np.frombuffer(small(self.ids), np.uint8), ends=self.ends, held_out=np.array(self.held_out, bool),
                  doc_ids=np.array([d or 0 for d in self.doc_ids], np.int64), no_id=np.array([d is None for d in self.doc_ids], bool))
         return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
@@ -128,7 +111,7 @@ class Block:
     def read(data: bytes) -> dict[str, np.ndarray]:
         found = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data)))
         found = {k: found[k] for k in found.files}
-        found["ids"] = _unsmall(found["ids"].tobytes())
+        found["ids"] = unsmall(found["ids"].tobytes())
         return found | dict(zip(("heads", "tails", "pair_of"), _pairs(found["ids"], found["ends"], len(found["words"]) - 1)))
 
 
@@ -166,22 +149,22 @@ def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
     word, how often kept bigrams occur and how many there are; ``sums`` holds counts of counts.
     """
     kind, bucket = frame["kind"].iloc[0], int(frame["bucket"].iloc[0])
-    keys = [_unsqueezed(b) for b in frame["keys"]]
+    keys = [unsqueezed(b) for b in frame["keys"]]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     totals = np.zeros(len(distinct), np.int64)
-    np.add.at(totals, at, np.concatenate([_unsmall(b) for b in frame["counts"]]))
+    np.add.at(totals, at, np.concatenate([unsmall(b) for b in frame["counts"]]))
     rows, start = [], 0
     for block, k in zip(frame["block"], keys):
-        rows.append((kind, block, bucket, _squeezed(k) if kind == "word" else b"", _small(totals[at[start:start + len(k)]]), b"", 0, 0, 0, 0))
+        rows.append((kind, block, bucket, squeezed(k) if kind == "word" else b"", small(totals[at[start:start + len(k)]]), b"", 0, 0, 0, 0))
         start += len(k)
     words = totals[distinct != BEGIN] if kind == "word" else totals
     rows.append(("sums " + kind, "", bucket, b"", b"", b"", int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())))
     if kind == "pair":
         heads = np.empty(len(distinct), np.uint64)
-        heads[at] = np.concatenate([_unsqueezed(h)[_unsmall(i)] for h, i in zip(frame["heads"], frame["head_at"])])
+        heads[at] = np.concatenate([unsqueezed(h)[unsmall(i)] for h, i in zip(frame["heads"], frame["head_at"])])
         kept = totals >= LEAST_COUNT
         own, index = np.unique(heads[kept], return_inverse=True)
-        rows.append(("kept", "", bucket, _squeezed(own), _small(np.bincount(index, minlength=len(own))),
+        rows.append(("kept", "", bucket, squeezed(own), small(np.bincount(index, minlength=len(own))),
                      np.bincount(index, weights=totals[kept], minlength=len(own)).astype("<i8").tobytes(), 0, 0, 0, 0))
     return pd.DataFrame(rows, columns=["kind", "block", "bucket", "keys", "counts", "sums", "total", "types", "ones", "twos"])
 
@@ -194,9 +177,9 @@ def _spread_kept(buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for keys, counts, sums in zip(batch["keys"], batch["counts"], batch["sums"]):
-                k, n, s = _unsqueezed(keys), _unsmall(counts), np.frombuffer(sums, "<i8")
+                k, n, s = unsqueezed(keys), unsmall(counts), np.frombuffer(sums, "<i8")
                 bucket = _bucket_of(k, buckets)
-                rows = [("", q, "kept", _squeezed(k[m]), _small(n[m]), s[m].tobytes()) for q in range(buckets) if (m := bucket == q).any()]
+                rows = [("", q, "kept", squeezed(k[m]), small(n[m]), s[m].tobytes()) for q in range(buckets) if (m := bucket == q).any()]
                 yield pd.DataFrame(rows, columns=["block", "bucket", "kind", "keys", "counts", "sums"])
     return run
 
@@ -206,15 +189,15 @@ def _answer_kept(frame: pd.DataFrame) -> pd.DataFrame:
     kept, asked = frame[frame["kind"] == "kept"], frame[frame["kind"] == "word"]
     rows = []
     if len(kept):
-        keys = np.concatenate([_unsqueezed(b) for b in kept["keys"]])
+        keys = np.concatenate([unsqueezed(b) for b in kept["keys"]])
         distinct, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([_unsmall(b) for b in kept["counts"]]))
+        n = np.bincount(at, weights=np.concatenate([unsmall(b) for b in kept["counts"]]))
         s = np.bincount(at, weights=np.concatenate([np.frombuffer(b, "<i8") for b in kept["sums"]]))
         for block, b in zip(asked["block"], asked["keys"]):
-            own = _unsqueezed(b)
+            own = unsqueezed(b)
             i = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
             hit = distinct[i] == own
-            rows.append(("kept", block, int(frame["bucket"].iloc[0]), b"", _small(np.where(hit, n[i], 0)), np.where(hit, s[i], 0).astype("<i8").tobytes()))
+            rows.append(("kept", block, int(frame["bucket"].iloc[0]), b"", small(np.where(hit, n[i], 0)), np.where(hit, s[i], 0).astype("<i8").tobytes()))
     return pd.DataFrame(rows, columns=["kind", "block", "bucket", "keys", "counts", "sums"])
 
 
@@ -258,7 +241,7 @@ def _aligned(rows: pd.DataFrame, bucket: np.ndarray, column: str, kind: str) ->
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(int(bucket.max()) + 2)) if len(bucket) else np.zeros(1, int)
     for r in rows[rows["kind"] == kind].itertuples():
-        values = _unsmall(r.counts) if column == "counts" else np.frombuffer(r.sums, "<i8")
+        values = unsmall(r.counts) if column == "counts" else np.frombuffer(r.sums, "<i8")
         out[by[edges[r.bucket]:edges[r.bucket + 1]]] = values
     return out
 

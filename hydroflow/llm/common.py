@@ -106,3 +106,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Rising 64-bit numbers as differences, bytes of the same rank side by side, which Spark's compression likes."""
+    return np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unsqueezed(b: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(b, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel(), dtype=np.uint64)
+
+
+def small(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, laid out as in ``squeezed``."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unsmall(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)

@@ -3,22 +3,20 @@
 A document's set holds the hashes (64 bits) of its distinct five-word shingles. Documents with equal sets are one
 class from the start; the rest of the work is on one set per class.
 
-1. Quick links. A set gives ``QUICK_KEYS`` min-hashes. Sets with a common key meet in a chunk of bounded size,
-   where a trie finds links; most near copies are joined here.
-2. Complete search. Sets are ordered by how frequent their shingles are, rare ones first (then by hash).
-   Two sets that link must share a shingle among the first ``n - ceil(0.8 n) + 1`` of this order.
-   A shingle is looked at only if sets of different classes share it there; groups of shingles with the
-   same members are one group. Members of a group meet in chunks, and chunks in pairs if there are several,
-   so a group of any size is compared whole and no task holds more than two chunks.
-
-In a chunk, sets are stored in a trie in the reverse of that order, most frequent first, so that
-near copies share long paths. A set runs down the trie with the overlap that the path shares;
+1. Quick links. A set gives ``QUICK_KEYS`` keys of ``KEY_HASHES`` min-hashes each. Sets with a common key meet in a chunk
+   of bounded size, where a trie finds links; most near copies are joined here.
+2. Complete search. A set that links to another class finds at least 80 % of its shingles there. Of the shingles
+   in half of the hash space, every set is told how many are held by sets of other classes; sets for which that is too few
+   to link with anything are done, which most are. The others are ordered, shingles that no other class holds and rare
+   ones first: two sets that link share a shingle among the first ``n - ceil(0.8 n) + 1``. Groups of shingles with the same
+   members are one group. Members of a group meet in chunks, and chunks in pairs if there are several, so a group of
+   any size is compared whole and no task holds more than two chunks.
+
+In a chunk, sets are stored in a trie with the chunk's most frequent shingles first, so that near
+copies share long paths. A set runs down the trie with the overlap that the path shares;
 a subtree is left when the lengths that remain cannot reach the needed overlap, or when all its
 sets already are in the class of the set that runs.
 
-Which shingles count as frequent comes from a table of at most ``FREQUENT`` shingles; it changes only how much work
-there is, any order gives the same links.
-
 Defined results: null, empty or blank texts have size 0 and are linked with nothing; with fewer than five
 words the whole sequence is the one shingle; rows with equal texts are one class, whatever
 their ids; a null doc_id never is a class id unless the class has no other; an empty table gives no
@@ -32,23 +30,26 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroflow.llm.common import WordHashes, lower_words, mix64, write_and_read
+from hydroflow.llm.common import (SharedFolder, WordHashes, lower_words, mix64, scratch_path, small, squeezed, unsmall, unsqueezed,
+                                  write_and_read)
 from hydroflow.llm.components import components
 
 #: Words of a shingle; links need 100 * common >= PERCENT * union.
 SHINGLE, PERCENT = 5, 80
-QUICK_KEYS = 4
-#: Shingles that the order knows as frequent, and the sets of one count of them.
-FREQUENT, COUNTED_SHINGLES, LEAST_COUNT = 1 << 17, 2_000_000, 4
+QUICK_KEYS, KEY_HASHES = 6, 3
+#: Shingles that a task sends out together, and entries of a bucket, about.
+BLOCK_SHINGLES, BUCKET_SHINGLES = 2_000_000, 4_000_000
 #: Shingles of all sets in a chunk, about.
 CHUNK_SHINGLES = 500_000
 #: Bits of the tables that let rows of interest through; fixed, so that what is sent to tasks is bounded.
 FILTER_BITS = 1 << 23
 
 _WORDS = WordHashes()
+#: Odd factors, one per place in a shingle.
+FACTORS = mix64(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -59,9 +60,9 @@ def shingles(text: str | None) -> np.ndarray:
     h = _WORDS.of(words)
     size = min(SHINGLE, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
-    for k in range(size):
-        out = mix64(out + h[k:k + len(out)])
-    return np.unique(out)
+    for k, factor in enumerate(FACTORS[:size]):
+        out += h[k:k + len(out)] * factor
+    return np.unique(mix64(out))
 
 
 def needed(x: int, y: int) -> int:
@@ -69,73 +70,29 @@ def needed(x: int, y: int) -> int:
     return -(-PERCENT * (x + y) // (100 + PERCENT))
 
 
-def prefix_length(n: int) -> int:
-    return n - -(-PERCENT * n // 100) + 1
-
-
-class Order:
-    """Rare shingles first: by the logarithm of a known count, then by hash."""
-
-    def __init__(self, frequent: np.ndarray, classes: np.ndarray):
-        self.frequent, self.classes = frequent, classes
-
-    def sort(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return hashes
-        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
-        kind = np.where(self.frequent[at] == hashes, self.classes[at], 0)
-        return hashes[np.argsort(kind, kind="stable")]
-
-
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def describe(rows: DataFrame) -> DataFrame:
+    """row_key, doc_id, size, signature of the set and min-hash keys of each document."""
+    bins = np.arange(QUICK_KEYS * KEY_HASHES, dtype=np.uint64) * np.uint64((1 << 64) // (QUICK_KEYS * KEY_HASHES))
 
-
-def frequent_shingles(rows: DataFrame) -> Order:
-    """The FREQUENT shingles with the largest counts, among those that some task met LEAST_COUNT times in a count of its own."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def counted():
-            tokens, counts = np.unique(np.concatenate(held), return_counts=True)
-            many = counts >= LEAST_COUNT
-            return pd.DataFrame({"token": _signed(tokens[many]), "n": counts[many]})
-
-        for batch in batches:
-            for text in batch["text"]:
-                held.append(shingles(text))
-                size += len(held[-1])
-            if size >= COUNTED_SHINGLES:
-                yield counted()
-                held, size = [], 0
-        if held:
-            yield counted()
-
-    counts = rows.select("text").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
-    tokens = top["token"].to_numpy(np.int64).view(np.uint64)
-    by_hash = np.argsort(tokens)
-    return Order(tokens[by_hash], 1 + np.log2(top["n"].to_numpy(float)[by_hash]).astype(np.int64) if len(top) else np.zeros(0, np.int64))
-
-
-def describe(rows: DataFrame, order: Order) -> DataFrame:
-    """row_key, doc_id, size, signature of the set, min-hash keys and ordered prefix of each document."""
-    sent = rows.sparkSession.sparkContext.broadcast(order)
-    salts = mix64(np.arange(1, QUICK_KEYS + 1, dtype=np.uint64))
+    def quick_keys(s: np.ndarray) -> list[int]:
+        """The smallest hash from each bin's start on (the first of all after the last), ``KEY_HASHES`` to a key."""
+        least = s[np.searchsorted(s, bins) % len(s)].reshape(QUICK_KEYS, KEY_HASHES)
+        out = np.arange(QUICK_KEYS, dtype=np.uint64)
+        for k in range(KEY_HASHES):
+            out = mix64(out + least[:, k])
+        return out.view(np.int64).tolist()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for text in batch["text"]:
                 s = shingles(text)
-                n = len(s)
-                keys = [int((mix64(s ^ salt).min() ^ np.uint64(k)).astype(np.int64)) for k, salt in enumerate(salts)] if n else []
-                signature = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64))
-                out.append((n, signature, keys, sent.value.sort(s)[:prefix_length(n)].tobytes() if n else b""))
-            frame = pd.DataFrame(out, columns=["n", "signature", "keys", "prefix"])
+                keys = quick_keys(s) if len(s) else []
+                out.append((len(s), int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)), keys))
+            frame = pd.DataFrame(out, columns=["n", "signature", "keys"])
             yield pd.concat([batch[["row_key", "doc_id"]].astype({"doc_id": "Int64"}).reset_index(drop=True), frame], axis=1)
 
-    return rows.mapInPandas(run, "row_key long, doc_id long, n long, signature long, keys array<long>, prefix binary")
+    return rows.mapInPandas(run, "row_key long, doc_id long, n long, signature long, keys array<long>")
 
 
 class Trie:
@@ -260,10 +217,8 @@ def _sets_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.select("row_key", "text").mapInPandas(run, "row_key long, set binary").dropDuplicates(["row_key"])
 
 
-def _meet(rows: DataFrame, members: DataFrame) -> DataFrame:
+def _meet(sets: DataFrame, members: DataFrame) -> DataFrame:
     """Links (a, b) between the members of each bunch. members: bunch, row_key, vertex, class, stored, running."""
-    sets = _sets_of(rows, members)
-
     def one_bunch(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["row_key"], kind="stable")
         found = links_in([np.frombuffer(b, np.uint64) for b in frame["set"]], frame["class"].tolist(),
@@ -284,78 +239,117 @@ def _quick_members(vertices: DataFrame) -> DataFrame:
                        yes.alias("stored"), yes.alias("running"))
 
 
-def _prefix_tokens(described: DataFrame, passing: np.ndarray | None) -> DataFrame:
-    """token, class, row_key, vertex, n of the ordered prefixes' shingles; with a bit table, of those that pass it."""
-    sent = described.sparkSession.sparkContext.broadcast(passing)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            tokens = [np.frombuffer(b, np.int64) for b in batch["prefix"]]
-            lengths = [len(t) for t in tokens]
-            if not sum(lengths):
-                continue
-            out = pd.DataFrame({"token": np.concatenate(tokens), **{c: np.repeat(batch[c].to_numpy(np.int64), lengths)
-                                                                      for c in ("class", "row_key", "vertex", "n")}})
-            yield out[_has(sent.value, out["token"].to_numpy(np.int64))]
+def _offer(folder: str, buckets: int):
+    """Shingles of half of the hash space, in blocks of documents: one row per block and bucket of hashes.
 
-    return described.select("prefix", "class", "row_key", "vertex", "n").mapInPandas(
-        run, "token long, class long, row_key long, vertex long, n long")
-
-
-def _shared_by_classes(described: DataFrame, buckets: int) -> DataFrame:
-    """Prefix shingles that sets of more than one class hold.
-
-    Each task sends, per bucket of shingles, a shingle's smallest and largest class: one entry per shingle and
-    task, however many of its sets hold it. Buckets are numpy arrays in a row each.
+    A block's documents stand in a file of the shared folder; the rows name them by their place in it. Rows come
+    in a fixed order, so a task that runs again makes the same blocks.
     """
-    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
-
-        def sent():
-            tokens, classes = (np.concatenate(x) for x in zip(*held))
-            by = np.lexsort((classes, tokens))
-            tokens, classes = tokens[by], classes[by]
-            first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            last = np.append(first[1:], len(tokens)) - 1
-            tokens, low, high = tokens[first], classes[first], classes[last]
-            bucket = (mix64(tokens.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        files, task, made = SharedFolder(folder), TaskContext.get().partitionId(), 0
+        held, documents, size = [], [], 0
+
+        def close():
+            nonlocal made
+            made += 1
+            tokens = np.concatenate(held)
+            place = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            keys, classes, needs = (np.array(c, np.int64) for c in zip(*documents))
+            name = files.write(f"block-{task}-{made}", np.stack([keys, needs]).tobytes(), fixed=True)
+            by = np.argsort(tokens)
+            tokens, place = tokens[by], place[by]
+            bucket = (mix64(tokens) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
-            edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-            cut = [by[a:b] for a, b in zip(edges[:-1], edges[1:])]
-            return pd.DataFrame({"bucket": range(buckets), "tokens": [tokens[c].tobytes() for c in cut],
-                                 "low": [low[c].tobytes() for c in cut],
-                                 "high": [np.where(high[c] == low[c], 0, high[c] ^ low[c]).tobytes() for c in cut]})
+            edges, rows = np.searchsorted(bucket[by], np.arange(buckets + 1)), []
+            for q in range(buckets):
+                at = by[edges[q]:edges[q + 1]]
+                if len(at):
+                    own, index = np.unique(place[at], return_inverse=True)
+                    rows.append((name, q, squeezed(tokens[at]), small(index), small(own), classes[own].tobytes()))
+            return pd.DataFrame(rows, columns=["block", "bucket", "tokens", "index", "places", "classes"])
 
         for batch in batches:
-            tokens = [np.frombuffer(b, np.int64) for b in batch["prefix"]]
-            held.append((np.concatenate(tokens), np.repeat(batch["class"].to_numpy(np.int64), [len(t) for t in tokens])))
-            size += len(held[-1][0])
-            if size >= COUNTED_SHINGLES:
-                yield sent()
-                held, size = [], 0
-        if size:
-            yield sent()
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        tokens, low, delta = (np.concatenate([np.frombuffer(b, np.int64) for b in frame[c]]) for c in ("tokens", "low", "high"))
-        by = np.argsort(tokens, kind="stable")
-        tokens, low, high = tokens[by], low[by], (low ^ delta)[by]
-        first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.zeros(0, int)
-        many = np.minimum.reduceat(low, first) != np.maximum.reduceat(high, first) if len(first) else np.zeros(0, bool)
-        return pd.DataFrame({"token": tokens[first][many]})
-
-    packed = described.select("prefix", "class").mapInPandas(spread, "bucket int, tokens binary, low binary, high binary")
-    return packed.groupBy("bucket").applyInPandas(gather, "token long")
-
-
-def _complete_members(described: DataFrame, shingle_count: int) -> DataFrame:
+            for key, kind, text in zip(batch["row_key"], batch["class"], batch["text"]):
+                s = shingles(text)
+                half = s[s & np.uint64(1) == 0]
+                held.append(half)
+                documents.append((key, kind, len(half) - (len(s) - -(-PERCENT * len(s) // 100))))
+                size += len(half)
+                if size >= BLOCK_SHINGLES:
+                    yield close()
+                    held, documents, size = [], [], 0
+        if held:
+            yield close()
+    return run
+
+
+def _held_elsewhere(frame: pd.DataFrame) -> pd.DataFrame:
+    """For one bucket: how many shingles of each document sets of other classes hold, packed per block."""
+    tokens = [unsqueezed(b) for b in frame["tokens"]]
+    index = [unsmall(b) for b in frame["index"]]
+    classes = [np.frombuffer(b, np.int64)[i] for b, i in zip(frame["classes"], index)]
+    everything, kinds = np.concatenate(tokens), np.concatenate(classes)
+    by = np.argsort(everything, kind="stable")
+    ordered = everything[by]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    kinds = kinds[by]
+    many = np.minimum.reduceat(kinds, first) != np.maximum.reduceat(kinds, first)
+    shared = np.empty(len(by), bool)
+    shared[by] = np.repeat(many, np.diff(np.append(first, len(by))))
+    rows, start = [], 0
+    for block, places, i in zip(frame["block"], frame["places"], index):
+        own = shared[start:start + len(i)]
+        rows.append((block, places, small(np.bincount(i[own], minlength=len(places) // 4))))
+        start += len(i)
+    return pd.DataFrame(rows, columns=["block", "places", "counts"])
+
+
+def _hopeful(folder: str):
+    """Documents of a block with enough shingles held elsewhere to link with another class."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, needs = np.frombuffer(SharedFolder(folder).read(frame["block"].iloc[0]), np.int64).reshape(2, -1)
+        found = np.zeros(len(keys), np.int64)
+        for places, counts in zip(frame["places"], frame["counts"]):
+            found[unsmall(places)] += unsmall(counts)
+        return pd.DataFrame({"row_key": keys[found >= needs]})
+    return run
+
+
+def _all_shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per shingle of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(b, np.int64) for b in batch["set"]]
+        yield pd.DataFrame({"token": np.concatenate(sets), "row_key": np.repeat(batch["row_key"].to_numpy(np.int64), [len(x) for x in sets])})
+
+
+def _hopeful_sets(rows: DataFrame, classes: DataFrame, total: int) -> DataFrame:
+    """row_key and set of the documents that may link with another class."""
+    folder, buckets = scratch_path(rows.sparkSession, "offers"), total // (2 * BUCKET_SHINGLES) + 4
+    offered = rows.select("row_key", "text").join(classes.select("row_key", "class"), "row_key").sortWithinPartitions("row_key")
+    packed = offered.mapInPandas(_offer(folder, buckets), "block string, bucket int, tokens binary, index binary, places binary, classes binary")
+    counts = packed.groupBy("bucket").applyInPandas(_held_elsewhere, "block string, places binary, counts binary")
+    hopeful = write_and_read(counts.groupBy("block").applyInPandas(_hopeful(folder), "row_key long"), "hopeful")
+    return write_and_read(_sets_of(rows, hopeful).join(hopeful.distinct(), "row_key", "left_semi"), "hopeful-sets")
+
+
+def _complete_members(sets: DataFrame, classes: DataFrame) -> DataFrame:
     """Members of the groups that may hold a link between classes, in chunks, and chunks in pairs."""
-    shared = write_and_read(_shared_by_classes(described, max(8, shingle_count // 4_000_000 + 1)), "shared")
-    rows = write_and_read(_prefix_tokens(described, _bits(shared)).join(shared, "token"), "prefix-rows")
-    groups = rows.groupBy("token").agg(F.sum(F.xxhash64("row_key").cast("decimal(38,0)")).alias("who"), F.count("*").alias("k"), F.sum("n").alias("total"))
+    tokens = write_and_read(sets.mapInPandas(_all_shingles, "token long, row_key long").join(classes, "row_key").select(
+        "token", "row_key", "vertex", "class", "n"), "hopeful-shingles")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("held"), F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 <> c1")
+    # Shingles that no other class holds come first in every order; of the rest, a prefix takes what is left of its length.
+    rest = tokens.join(shared.select("token", "held"), "token")
+    own = Window.partitionBy("row_key")
+    left = F.expr(f"n - (({PERCENT} * n + 99) div 100) + 1") - (F.col("n") - F.count("*").over(own))
+    tokens = rest.withColumn("left", left).withColumn("place", F.row_number().over(own.orderBy("held", "token"))).filter("place <= left")
+    tokens = write_and_read(tokens.select("token", "row_key", "vertex", "class", "n"), "prefixes")
+    groups = tokens.groupBy("token").agg(F.sum(F.xxhash64("row_key").cast("decimal(38,0)")).alias("who"), F.count("*").alias("k"),
+                                         F.sum("n").alias("total"), F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 <> c1")
     one = groups.groupBy("who", "k").agg(F.min("token").alias("token"), F.first("total").alias("total"))
     one = one.select("token", F.expr(f"total div {CHUNK_SHINGLES} + 1").alias("chunks"))
-    rows = rows.join(one, "token").withColumn("chunk", F.pmod(F.xxhash64("row_key", "token"), "chunks"))
+    rows = tokens.join(one, "token").withColumn("chunk", F.pmod(F.xxhash64("row_key", "token"), "chunks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     low, high = F.least("chunk", "other"), F.greatest("chunk", "other")
     same = low == high
@@ -366,20 +360,18 @@ def _complete_members(described: DataFrame, shingle_count: int) -> DataFrame:
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
-    order = frequent_shingles(rows)
-    described = write_and_read(describe(rows, order), "shingle-sets")
+    described = write_and_read(describe(rows), "shingle-sets")
     vertices = described.filter("n > 0").groupBy(F.col("signature").alias("vertex")).agg(
         F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     vertices = write_and_read(vertices, "vertices")
-    quick = components(_meet(rows, write_and_read(_quick_members(vertices), "quick")))
-    classes = vertices.select("vertex", "row_key").join(quick, F.col("vertex") == F.col("v"), "left").select(
-        "vertex", "row_key", F.coalesce("root", "vertex").alias("class"))
-    classes = write_and_read(classes, "classes")
-    prefixes = write_and_read(classes.join(described.select("row_key", "n", "prefix").dropDuplicates(["row_key"]), "row_key"), "prefixes")
-    total = described.agg(F.sum("n")).first()[0] or 0
-    late = components(_meet(rows, write_and_read(_complete_members(prefixes, total // 5), "members")).select(
-        F.col("a"), F.col("b")).join(classes.select(F.col("vertex").alias("a"), F.col("class").alias("ca")), "a").join(
-        classes.select(F.col("vertex").alias("b"), F.col("class").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    members = write_and_read(_quick_members(vertices), "quick")
+    quick = components(_meet(_sets_of(rows, members), members))
+    classes = write_and_read(vertices.join(quick, F.col("vertex") == F.col("v"), "left").select(
+        "vertex", "row_key", "n", F.coalesce("root", "vertex").alias("class")), "classes")
+    sets = _hopeful_sets(rows, classes, described.agg(F.sum("n")).first()[0] or 0)
+    found = _meet(sets, write_and_read(_complete_members(sets, classes), "members"))
+    ends = [classes.select(F.col("vertex").alias(c), F.col("class").alias("c" + c)) for c in ("a", "b")]
+    late = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     final = classes.join(late, F.col("class") == F.col("v"), "left").select(
         F.col("vertex").alias("signature"), F.coalesce("root", "class").alias("root"))
     members = described.filter("n > 0").join(final, "signature").select("doc_id", "n", "root")
