@@ -18,28 +18,20 @@ from hydroflow.llm.queries import BATCH_TEXTS, LEAST_SCORE
 ORACLE_SQL = None
 
 
-def _where_scored(docs: DataFrame, scores: DataFrame, rejected) -> DataFrame:
-    """Documents, all columns, without those whose id has a rejected score; rows without an id stay."""
-    bad = scores.filter(rejected).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad_id"), "left_anti")
-
-
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar rejects go."""
-    scores = toxicity.score(docs, table(spark, sf_dir, "labels"), fold_is("doc_id", 3, 1))
-    return _where_scored(docs, scores, F.col("score") >= LEAST_SCORE)
+    return toxicity.keep(docs, toxicity.learn(docs, table(spark, sf_dir, "labels"), fold_is("doc_id", 3, 1)), LEAST_SCORE)
 
 
 def low_quality_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the discriminant rejects go."""
-    scores = quality_qda.score(docs, table(spark, sf_dir, "labels"), fold_is("doc_id", 4, 2))
-    return _where_scored(docs, scores, F.col("score") < LEAST_SCORE)
+    return quality_qda.keep(docs, table(spark, sf_dir, "labels"), fold_is("doc_id", 4, 2), LEAST_SCORE)
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: that with the smallest id."""
-    classes = ngram_join.near_copies(docs)
-    return _where_scored(docs, classes, F.col("doc_id") != F.col("component_id"))
+    """One document of each class of near copies stays: that with the smallest id. Rows without an id stay."""
+    others = ngram_join.near_copies(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
+    return docs.join(others.hint("merge"), F.col("doc_id") == F.col("_copy_id"), "left_anti")
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,12 +32,12 @@ from hydroflow.llm.common import (SharedFolder, WordHashes, lower_words, mix64,
                                   write_and_read)
 
 #: Tokens in a block and entries in a bucket, about.
-BLOCK_TOKENS, BUCKET_ENTRIES = 4_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_ENTRIES = 2_000_000, 2_000_000
 #: Bigrams with fewer training counts are left to the failure arc.
 LEAST_COUNT = 2
 END, BEGIN = np.uint64(1), np.uint64(2)
 
-_WORDS = WordHashes(least=3)
+_WORDS = WordHashes(least=3, most=400_000)
 
 
 def _pair_keys(words: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:

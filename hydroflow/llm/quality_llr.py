@@ -89,7 +89,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     N-grams are counted where they are read: at most one row per task and bucket is shuffled.
     """
     known = trusted.select(F.col("doc_id").alias("known_id")).distinct().withColumn("trusted", F.lit(1))
-    marked = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("known_id"), "left")
+    # Always a sort-merge join: labels grow with the documents, and a plan that changes with their size is no help.
+    marked = docs.select("doc_id", "text").join(known.hint("merge"), F.col("doc_id") == F.col("known_id"), "left")
     counts = write_and_read(with_lists(marked).select("trusted", F.explode(grams()).alias("bucket")).groupBy("bucket").agg(
         F.count("*").alias("raw"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("good")), "bucket-counts")
     all_raw, all_good = counts.agg(F.sum("raw"), F.sum("good")).first()

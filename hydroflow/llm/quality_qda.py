@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,10 +126,28 @@ def fit(rows: DataFrame) -> Discriminant | None:
     return Discriminant(centre, scale, means, factors, log_dets, float(np.log(total[1][0] / total[0][0])))
 
 
+def learn(rows: DataFrame, labels: DataFrame) -> Discriminant | None:
+    """The discriminant of rows of statistics that are not held out, and their labels."""
+    return fit(rows.filter(~F.col("held_out")).join(labels_of(labels, "quality"), "doc_id"))
+
+
+def keep(docs: DataFrame, labels: DataFrame, held_out: Column, least: float) -> DataFrame:
+    """The documents, all columns, with a score of at least ``least``."""
+    rows = write_and_read(with_statistics(docs), "statistics").withColumn("held_out", held_out)
+    model = learn(rows, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1, len(NAMES))
+            yield batch.filter(pa.array(model.scores(x) >= least if model else np.full(len(x), 0.5 >= least)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out and score of every document; labels of held-out ones are not read."""
     rows = write_and_read(with_statistics(docs), "statistics").withColumn("held_out", held_out)
-    model = fit(rows.filter(~F.col("held_out")).join(labels_of(labels, "quality"), "doc_id"))
+    model = learn(rows, labels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ ARCS = compose()
 START = (0, 0, 0)
 CLASSES = tuple(sorted({out for _, out in ARCS.values() if out}))
 #: Log-odds that a class has before any label is seen: plain, and changes for a target, a negation, a report.
-PRIOR, AT_TARGET, NEGATED, REPORTED, PRIOR_DOCUMENTS = 2.0, 0.6, -2.2, -1.6, 2.0
+PRIOR, AT_TARGET, NEGATED, REPORTED, PRIOR_DOCUMENTS = 2.0, 0.6, -3.2, -2.4, 2.0
 
 
 def prior(output: tuple) -> float:
@@ -151,6 +152,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataF
     known = labels_of(labels, "toxic").filter(~held_out).withColumn("at", F.xxhash64("doc_id"))
     parts = [known.filter(F.col("label") == k).orderBy("at").limit(FIT_ROWS) for k in (0, 1)]
     chosen = parts[0].unionByName(parts[1]).select(F.col("doc_id").alias("known_id"), "label")
+    chosen = F.broadcast(chosen)  # at most 2 * FIT_ROWS rows of two numbers
     return docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("known_id")).select("doc_id", "text", "label")
 
 
@@ -226,12 +228,28 @@ def learn_odds(rows: DataFrame, lexicon: dict[str, float]) -> Grammar:
     return Grammar(lexicon, odds, min(0.3, (missed + 0.1) / (missed + quiet + 1.0)))
 
 
+def learn(docs: DataFrame, labels: DataFrame, held_out: Column) -> Grammar:
+    """The grammar that the labels teach; labels of held-out documents are not read."""
+    rows = training_rows(docs, labels, held_out)
+    return learn_odds(rows, learn_lexicon(rows))
+
+
+def keep(docs: DataFrame, grammar: Grammar, below: float) -> DataFrame:
+    """The documents, all columns, with a score below a limit."""
+    lexicon, odds, nothing = grammar.lexicon, grammar.odds, grammar.nothing
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Grammar(lexicon, odds, nothing)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t) < below for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out and score of every document; labels of held-out ones are not read."""
-    rows = training_rows(docs, labels, held_out)
-    lexicon = learn_lexicon(rows)
-    model = learn_odds(rows, lexicon)
-    odds, nothing = model.odds, model.nothing
+    model = learn(docs, labels, held_out)
+    lexicon, odds, nothing = model.lexicon, model.odds, model.nothing
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grammar = Grammar(lexicon, odds, nothing)
