@@ -32,7 +32,7 @@ from hydroflow.llm.common import (SharedFolder, WordHashes, lower_words, mix64,
                                   write_and_read)
 
 #: Tokens in a block and entries in a bucket, about.
-BLOCK_TOKENS, BUCKET_ENTRIES = 2_000_000, 2_000_000
+BLOCK_TOKENS, BUCKET_ENTRIES = 1_500_000, 1_500_000
 #: Bigrams with fewer training counts are left to the failure arc.
 LEAST_COUNT = 2
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -41,7 +41,8 @@ _WORDS = WordHashes(least=3, most=400_000)
 
 
 def _pair_keys(words: np.ndarray, heads: np.ndarray, tails: np.ndarray) -> np.ndarray:
-    return mix64(mix64(words[heads]) + words[tails])
+    """48 bits per bigram; with the bucket, which depends on both words too, they are as good as 54 and more."""
+    return mix64(mix64(words[heads]) + words[tails]) >> np.uint64(16)
 
 
 def _pair_bucket(words: np.ndarray, heads: np.ndarray, tails: np.ndarray, buckets: int) -> np.ndarray:
@@ -223,13 +224,15 @@ class Automaton:
             is_arc, weight = np.zeros(len(pairs), bool), np.zeros(0)
         self.words = np.log10(single).tolist()
         self.failure = np.log10(np.maximum(left, 1e-300)).tolist()
-        self.arcs = dict(zip(np.flatnonzero(is_arc).tolist(), weight.tolist()))
+        arcs = np.full(len(pairs), None, object)
+        arcs[is_arc] = weight
+        self.arcs = arcs.tolist()
 
     def score(self, ids: list[int], pair_of: list[int]) -> float:
         """One pass: take the state's arc for the word, or fail to the empty state and take its arc; the word is the next state."""
-        state, total, arc, words, failure = self.width - 1, 0.0, self.arcs.get, self.words, self.failure
+        state, total, arcs, words, failure = self.width - 1, 0.0, self.arcs, self.words, self.failure
         for word, step in zip(ids, pair_of):
-            weight = arc(step)
+            weight = arcs[step]
             total += failure[state] + words[word] if weight is None else weight
             state = word
         return total
