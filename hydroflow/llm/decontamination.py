@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroflow.llm.common import mix64
+from hydroflow.llm.common import WordHashes, mix64
 
 WINDOW = 8
 #: Plain words that a window with slots needs.
@@ -43,55 +43,76 @@ UNITS = frozenset("mm cm m km in ft mi inch inches foot feet mile miles meter me
                   "kilometres mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres "
                   "gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month "
                   "months year years km/h mph m/s °c °f % percent usd eur dollar dollars euro euros cent cents".split())
+#: Odd factors, one per place in a window.
+FACTORS = mix64(np.arange(201, 201 + WINDOW, dtype=np.uint64)) | np.uint64(1)
 NUM, UNIT, NAME = "\x01num", "\x01unit", "\x01name"
 SENTENCE_END = (".", "!", "?", ":")
 
 
+class _Words(dict):
+    """What each word as it stands in a text is: (word, kind, unit) and whether it ends a sentence.
+
+    Kinds: none (no letters or digits), both (a number with its unit), num, unit, title, word.
+    """
+
+    def __missing__(self, raw: str) -> tuple[str, str, str, bool]:
+        word, ends = raw.strip(EDGE), raw.endswith(SENTENCE_END)
+        low = word.lower()
+        both = WITH_UNIT.fullmatch(word) if word and not word.isalpha() else None
+        if not word:
+            found = "", "none", "", ends
+        elif both and both[2].lower() in UNITS:
+            found = both[1], "both", both[2].lower(), ends
+        elif low in NUMBER_WORDS or not word.isalpha() and NUMBER.fullmatch(word):
+            found = low, "num", "", ends
+        elif low in UNITS:
+            found = low, "unit", "", ends
+        elif len(word) > 1 and word[0].isupper() and word[1:].islower():
+            found = low, "title", "", ends
+        else:
+            found = low, "word", "", ends
+        if len(self) < 500_000:
+            self[raw] = found
+        return found
+
+
+_SEEN = _Words()
+
+
 def template(text: str | None) -> tuple[list[str], list[str]]:
     """(template tokens, plain lower-cased tokens), of equal length.
 
     A name is a word in title case that does not begin a sentence or line; a unit follows a number.
     """
-    tokens, words = [], []
+    tokens, words, seen = [], [], _SEEN
     for line in (text or "").split("\n"):
         start = True
         for raw in line.split():
-            word = raw.strip(EDGE)
-            if not word:
-                start = start or raw.endswith(SENTENCE_END)
+            word, kind, unit, ends = seen[raw]
+            if kind == "word":
+                tokens.append(word)
+                words.append(word)
+            elif kind == "none":
+                start = start or ends
                 continue
-            low = word.lower()
-            both = WITH_UNIT.fullmatch(word)
-            if both and both[2].lower() in UNITS:
+            elif kind == "both":
                 tokens += [NUM, UNIT]
-                words += [both[1], both[2].lower()]
+                words += [word, unit]
             else:
-                if word[0].isdigit() and NUMBER.fullmatch(word) or low in NUMBER_WORDS:
-                    kind = NUM
-                elif low in UNITS and tokens and tokens[-1] == NUM:
-                    kind = UNIT
-                elif not start and len(word) > 1 and word[0].isupper() and word[1:].islower():
-                    kind = NAME
-                else:
-                    kind = low
-                tokens.append(kind)
-                words.append(low)
-            start = raw.endswith(SENTENCE_END)
+                slot = NUM if kind == "num" else NAME if kind == "title" and not start else \
+                    UNIT if kind == "unit" and tokens and tokens[-1] == NUM else word
+                tokens.append(slot)
+                words.append(word)
+            start = ends
     return tokens, words
 
 
-_HASHES: dict[str, int] = {}
+_HASHES = WordHashes()
 
 
 def _hashes(tokens: list[str]) -> np.ndarray:
     """A 64-bit number per token, from a table that each worker keeps."""
-    import xxhash
-
-    if len(_HASHES) > 1_000_000:
-        _HASHES.clear()
-    for t in set(tokens).difference(_HASHES):
-        _HASHES[t] = xxhash.xxh3_64_intdigest(t)
-    return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    return _HASHES.of(tokens)
 
 
 def windows(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -101,8 +122,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, size, np.uint64)
     for k in range(size):
-        out = mix64(out + hashes[k:k + n])
-    return out
+        out += hashes[k:k + n] * FACTORS[k]
+    return mix64(out)
 
 
 def _of_text(text: str | None, sizes: list[int]):
