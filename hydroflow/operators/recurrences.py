@@ -51,12 +51,13 @@ def soil_bucket(df: DataFrame, keys: Sequence[str], date: str, rain: str, et: st
     """Storage S = clip(S + rain - et, 0, s_max) and overflow of a soil bucket.
 
     One step is a clamp of a shift, and clamped shifts compose to a clamped
-    shift (a, lo, hi): that triple is all a block passes on.
+    shift (a, lo, hi): that triple is all a block passes on. A day without a value for
+    rain or ET has none of it, so its storage is carried on.
     """
     s_max = float(s_max)
     s0 = s_max / 2 if s0 is None else float(s0)
     rest = [c for c in df.columns if c not in keys and c != date]
-    net = F.col(rain) - F.col(et)
+    net = F.coalesce(F.col(rain), F.lit(0.0)) - F.coalesce(F.col(et), F.lit(0.0))
     rows = F.sort_array(F.collect_list(
         F.struct(F.col(date).alias("d"), net.alias("net"), F.struct(*rest).alias("rest"))))
     blocks = (df.withColumn("_block", F.trunc(F.col(date), "quarter"))

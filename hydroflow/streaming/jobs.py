@@ -53,10 +53,15 @@ def sliding_hour(readings: DataFrame, keys: Sequence[str], value: str = "value",
                     F.when(F.col("n") == slots, F.col("_sum")).alias("hour_sum"), "n"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Process everything available, write parquet to the shared folder, return it as a batch table."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", out: str | None = None,
+                 state: str | None = None) -> DataFrame:
+    """Process everything available, write parquet, return it as a batch table.
+
+    With fixed paths for the table and the checkpoint a later call goes on where this one
+    stopped; without them both are new folders below the shared one.
+    """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = out or scratch_path(spark, name), state or scratch_path(spark, f"{name}-state")
     query = (stream.writeStream.format("parquet").outputMode(mode).option("path", out)
              .option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
@@ -157,6 +162,7 @@ class CatchmentState(StatefulProcessor):
         last, api, storage = self.state.get() if self.state.exists() else (None, 0.0, self.s_max / 2)
         out = []
         for date, rain, et in ordered_days(rows, last)[["date", "rain", "et"]].itertuples(index=False):
+            rain, et = (0.0 if pd.isna(v) else v for v in (rain, et))  # as in the batch operator
             level = storage + rain - et
             api, storage, last = self.decay * api + rain, min(max(level, 0.0), self.s_max), date
             out.append((date, api, storage, max(level - self.s_max, 0.0)))

@@ -52,3 +52,12 @@ def test_states_carry_over_batches(spark, tmp_path):
         "site", "date", "rain", "et"), ["site"]), "states").orderBy("date").collect()
     assert [r.bucket_S for r in states] == [83, 91, 99, 107, 115, 123]
     assert states[1].api == pytest.approx(19)
+
+
+def test_soil_bucket_carries_storage_over_missing_values(spark):
+    from hydroflow.operators.recurrences import soil_bucket
+
+    rows = [("s", f"2024-01-0{i}", r, e) for i, (r, e) in enumerate([(10.0, 2.0), (None, 3.0), (5.0, None), (None, None)], 1)]
+    days = spark.createDataFrame(rows, "site string, date string, rain double, et double").selectExpr("site", "to_date(date) AS date", "rain", "et")
+    found = soil_bucket(days, ["site"], "date", "rain", "et", 100.0, 50.0).orderBy("date").collect()
+    assert [r["bucket_S"] for r in found] == [58.0, 55.0, 60.0, 60.0]
