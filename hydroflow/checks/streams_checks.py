@@ -12,6 +12,16 @@ from hydroflow.streaming import jobs as J
 
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
+CLOSED_DAYS = f"""
+    SELECT CAST(user_id % 5 AS VARCHAR) AS station, event_type, CAST(ts AS DATE) AS date, avg(value) AS mean, max(value) AS max,
+           min(value) AS min, sum(value) AS sum, count(value) AS n FROM events
+    WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {CLOSED} GROUP BY ALL"""
+HOURS = f"""
+    WITH s AS (SELECT CAST(user_id % 5 AS VARCHAR) AS station, value, time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)) AS slot FROM events),
+    w AS (SELECT station, value, slot + CAST(unnest(range(1, 7)) AS INT) * INTERVAL 10 MINUTE AS window_end FROM s)
+    SELECT station, window_end, CASE WHEN count(value) = 6 THEN sum(value) END AS hour_sum, count(value) AS n
+    FROM w WHERE window_end <= {CLOSED} GROUP BY ALL"""
+
 
 def landed_events(spark, d):
     """events as a stream of landed files."""
@@ -27,24 +37,34 @@ def landed(spark, df, name, files_per_trigger=1000):
     return J.read_landed(spark, path, df.schema, files_per_trigger=files_per_trigger)
 
 
-@query("str_1_closed_days", f"""
-    SELECT CAST(user_id % 5 AS VARCHAR) AS station, event_type, CAST(ts AS DATE) AS date, avg(value) AS mean, max(value) AS max,
-           min(value) AS min, sum(value) AS sum, count(value) AS n FROM events
-    WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= {CLOSED} GROUP BY ALL""", "mean max min sum")
+@query("str_1_closed_days", CLOSED_DAYS, "mean max min sum")
 def str_1(spark, d):
     days = J.closed_days(landed_events(spark, d), ["station", "event_type"])
     return J.run_to_table(days, "closed-days")
 
 
-@query("str_2_sliding_hour", f"""
-    WITH s AS (SELECT CAST(user_id % 5 AS VARCHAR) AS station, value, time_bucket(INTERVAL 10 MINUTE, CAST(ts AS TIMESTAMP)) AS slot FROM events),
-    w AS (SELECT station, value, slot + CAST(unnest(range(1, 7)) AS INT) * INTERVAL 10 MINUTE AS window_end FROM s)
-    SELECT station, window_end, CASE WHEN count(value) = 6 THEN sum(value) END AS hour_sum, count(value) AS n
-    FROM w WHERE window_end <= {CLOSED} GROUP BY ALL""", "hour_sum")
+@query("str_2_sliding_hour", HOURS, "hour_sum")
 def str_2(spark, d):
     return J.run_to_table(J.sliding_hour(landed_events(spark, d), ["station"]), "sliding-hour")
 
 
+def shuffled_events(spark, d):
+    """events as six files, each with rows of all times, one file per batch."""
+    rows = V.table(spark, d, "events").withColumn("station", (F.col("user_id") % 5).cast("string"))
+    return landed(spark, rows.repartition(6, F.xxhash64("event_id")), "late-events", 1)
+
+
+@query("str_1_closed_days_late_files", CLOSED_DAYS, "mean max min sum")
+def str_1_late(spark, d):
+    keys = ["station", "event_type"]
+    return J.days_of_partials(J.run_partials(shuffled_events(spark, d), keys, scratch_path(spark, "day-sums")), keys)
+
+
+@query("str_2_sliding_hour_late_files", HOURS, "hour_sum")
+def str_2_late(spark, d):
+    return J.hours_of_partials(J.run_partials(shuffled_events(spark, d), ["station"], scratch_path(spark, "slot-sums")), ["station"])
+
+
 @query("str_3_upsert", """
     SELECT CAST(o_orderdate AS DATE) AS date, max(o_orderkey) AS o_orderkey,
            arg_max(o_totalprice, o_orderkey) AS level_m FROM orders GROUP BY 1""", "level_m")

@@ -28,12 +28,14 @@ def read_sensor_csv(spark: SparkSession, paths_by_header: Mapping[str, Sequence[
     """All-string rows of sensor CSV files, one scan per group of equal headers.
 
     ``source_order`` keeps the order of files and rows for rules that take the first
-    or the last row; a byte-order mark before the header is dropped.
+    or the last row; a byte-order mark before the header is dropped. A file whose header is not its
+    group's raises when it is read.
     """
     groups = paths_by_header.values() if isinstance(paths_by_header, Mapping) else [paths_by_header]
     frames = []
     for paths in groups:
-        raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(list(paths))
+        raw = spark.read.option("header", True).option("encoding", "UTF-8") \
+            .option("enforceSchema", False).csv(list(paths))
         order = F.struct(F.col("_metadata.file_path").alias("file"),
                          F.col("_metadata.file_block_start").alias("block"),
                          F.monotonically_increasing_id().alias("row"))

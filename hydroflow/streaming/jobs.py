@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -68,6 +68,61 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", out: str |
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_partials(stream: DataFrame, keys: Sequence[str], path: str, value: str = "value", ts: str = "ts",
+                 slot: str = "10 minutes") -> DataFrame:
+    """Sums per key and slot of each batch, kept below ``path``; the table of all batches so far.
+
+    No row is late here: a batch adds its own sums, so files may arrive in any order and any number
+    per batch. A batch that is repeated after a failure writes its folder again, and a later
+    call with the same path goes on with the files that are new.
+    """
+    spark = stream.sparkSession
+
+    def add(batch: DataFrame, number: int) -> None:
+        timed = batch.withColumn(ts, F.col(ts).cast("timestamp"))
+        sums = timed.groupBy(*keys, F.window(ts, slot).alias("w")).agg(
+            F.sum(value).alias("sum"), F.count(value).alias("n"), F.min(value).alias("min"),
+            F.max(value).alias("max"), F.max(ts).alias("last"))
+        sums.select(*keys, F.col("w.start").alias("slot"), "sum", "n", "min", "max", "last") \
+            .write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-state")
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    if path_is_complete(spark, f"{path}/batch=0"):
+        return spark.read.parquet(path).drop("batch")
+    kinds = {"sum": "double", "n": "long", "min": stream.schema[value].dataType.simpleString(),
+             "max": stream.schema[value].dataType.simpleString(), "slot": "timestamp", "last": "timestamp"}
+    fields = ", ".join([f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys]
+                       + [f"{name} {kinds[name]}" for name in ("slot", "sum", "n", "min", "max", "last")])
+    return spark.createDataFrame([], fields)
+
+
+def _closed_at(partials: DataFrame, lateness: str) -> Column:
+    """The newest event time less the lateness, as a scalar subquery."""
+    newest = partials.agg(F.max("last").alias("newest"))
+    return newest.select(F.col("newest") - F.expr(f"INTERVAL {lateness}")).scalar()
+
+
+def days_of_partials(partials: DataFrame, keys: Sequence[str], lateness: str = "10 minutes") -> DataFrame:
+    """The rows of ``closed_days`` from the sums of all batches: the same whatever a batch held."""
+    days = partials.groupBy(*keys, F.to_date("slot").alias("date")).agg(
+        F.max("max").alias("max"), F.min("min").alias("min"), F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    over = F.date_add("date", 1).cast("timestamp") <= _closed_at(partials, lateness)
+    return days.where(over).select(*keys, "date", F.when(F.col("n") > 0, F.col("sum") / F.col("n")).alias("mean"),
+                                   "max", "min", "sum", "n")
+
+
+def hours_of_partials(partials: DataFrame, keys: Sequence[str], lateness: str = "10 minutes",
+                      slots: int = 6) -> DataFrame:
+    """The rows of ``sliding_hour`` from ten-minute sums of all batches."""
+    hours = partials.groupBy(*keys, F.window("slot", "1 hour", "10 minutes").alias("w")).agg(
+        F.sum("sum").alias("_sum"), F.sum("n").alias("n"))
+    return hours.where(F.col("w.end") <= _closed_at(partials, lateness)).select(
+        *keys, F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+        F.when(F.col("n") == slots, F.col("_sum")).alias("hour_sum"), "n")
+
+
 def run_upsert(stream: DataFrame, keys: Sequence[str], order: str, path: str) -> DataFrame:
     """Merge each batch into a keyed table: the newest row per key wins, whatever the order of arrival.
 

@@ -188,3 +188,13 @@ def test_template_starts_after_the_last_day(spark):
     df = spark.createDataFrame([("a", dt.date(2024, 2, 27))], "site string, date date")
     got = S.forecast_template(df, ["site"]).orderBy("date").collect()
     assert len(got) == 7 and str(got[0].date) == "2024-02-28" and got[2].date.month == 3 and got[0].rainfall_mm is None
+
+
+def test_sensor_files_of_another_header_raise(spark, tmp_path):
+    for name, header in (("a", "station,temp,rain"), ("b", "station,rain,temp")):
+        (tmp_path / f"{name}.csv").write_text(f"{header}\nx,1,2\n")
+    paths = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    with pytest.raises(Exception, match="(?i)header"):
+        S.read_sensor_csv(spark, paths).collect()
+    rows = S.read_sensor_csv(spark, {"a": paths[:1], "b": paths[1:]}).collect()
+    assert {(r.station, r.temp, r.rain) for r in rows} == {("x", "1", "2"), ("x", "2", "1")}

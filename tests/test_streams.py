@@ -26,6 +26,23 @@ def test_closed_days_drop_duplicates_and_open_day(spark, tmp_path):
     assert [(str(r.date), r.n) for r in days] == [("2024-01-01", 29)]
 
 
+def test_sums_of_batches_do_not_depend_on_the_order_of_files(spark, tmp_path):
+    path, out = str(tmp_path / "in"), str(tmp_path / "sums")
+    rows = [("s", T0 + dt.timedelta(hours=h), None if h == 3 else float(h)) for h in range(50)]
+    land(spark, path, rows[30:], SCHEMA)
+    struct = spark.read.parquet(path).schema
+
+    def days():
+        sums = J.run_partials(J.read_landed(spark, path, struct, files_per_trigger=1), ["station"], out)
+        return {str(r.date): (r.sum, r.n, r.min) for r in J.days_of_partials(sums, ["station"]).collect()}
+
+    assert days() == {"2024-01-02": (sum(range(30, 48)), 18, 30.0)}
+    land(spark, path, rows[10:30], SCHEMA)  # older than what has been read, in two later files
+    land(spark, path, rows[:10], SCHEMA)
+    assert days() == {"2024-01-01": (sum(range(24)) - 3, 23, 0.0), "2024-01-02": (sum(range(24, 48)), 24, 24.0)}
+    assert days() == {"2024-01-01": (sum(range(24)) - 3, 23, 0.0), "2024-01-02": (sum(range(24, 48)), 24, 24.0)}
+
+
 def test_upsert_goes_on_after_a_restart(spark, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "day int, version int, v double"
