@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hydroflow.llm.common import WordHashes, mix64
+from hydroflow.llm.common import WordHashes, mix64, write_and_read
 
 WINDOW = 8
 #: Plain words that a window with slots needs.
@@ -202,7 +202,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = document_windows(docs, bit_table(known), sizes).join(known, "hash").filter(F.size("fillers") == F.size("item_fillers"))
     # How a filler of the item is filled in the document, and the other way round; both have to be single-valued.
     pairs = F.arrays_zip(F.col("item_fillers").alias("i"), F.col("fillers").alias("d"))
-    rows = found.select("doc_id", "item_id", "item_at", "n_windows", pairs.alias("pairs"))
+    # written once: three aggregates read it, and each would go through all texts again
+    rows = write_and_read(found.select("doc_id", "item_id", "item_at", "n_windows", pairs.alias("pairs")), "template-matches")
     slots = rows.select("doc_id", "item_id", F.explode("pairs").alias("p")).select("doc_id", "item_id", "p.*").toDF("doc_id", "item_id", "i", "d").distinct()
     forth = slots.groupBy("doc_id", "item_id", "i").agg(F.count("*").alias("n"))
     back = slots.groupBy("doc_id", "item_id", "d").agg(F.count("*").alias("n"))
