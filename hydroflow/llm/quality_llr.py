@@ -4,7 +4,8 @@ Words are counted as they stand; for the ratio, signs are tokens of their own. U
 a fixed number of buckets, and two multinomials over the buckets are counted: of trusted documents, and of all
 documents. A text's ratio is the sum over its n-grams of log(trusted / raw), divided by their number; a
 text is kept if the ratio reaches a fixed threshold and the base rules hold. Every document is
-judged by the same sums, nothing is sampled, and the only table sent around is that of the bucket weights, of fixed size.
+judged by the same sums, in the order of its words, nothing is sampled, and the only table sent around is that of the
+bucket weights, a list of ``BUCKETS`` numbers.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a text without
 n-grams has ratio 0; without trusted documents the ratio is 0 everywhere; rows with equal or null ids are kept, each
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hydroflow.llm.common import WORD_GAP, write_and_read
+from hydroflow.llm.common import write_and_read
 from hydroflow.llm.quality_qda import labels_of
 
 #: Buckets of the hashed n-grams; a power of two.
@@ -32,25 +33,27 @@ SIGNS = SYMBOLS + "!"
 GAPS = " \t\n\x0b\x0c\r"
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    """How many of these one-byte characters a text has."""
-    size = F.octet_length(text)
-    out = F.lit(0).cast("long")
-    for c in chars:
-        out = out + (size - F.octet_length(F.replace(text, F.lit(c), F.lit(""))))
-    return out
+def _words(text: Column) -> Column:
+    """Words of a text: all white space becomes a space, at which a split needs no pattern."""
+    for c in GAPS[1:]:
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def with_lists(docs: DataFrame) -> DataFrame:
-    """doc_id, text, words, tokens and lines with a word."""
+    """doc_id, text, number of symbols, words, tokens and lines with a word."""
     text = F.coalesce("text", F.lit(""))
     spaced = text
     for c in SIGNS:
         spaced = F.replace(spaced, F.lit(c), F.lit(f" {c} "))
     rows = docs.select("doc_id", text.alias("text"), spaced.alias("spaced"), *[c for c in docs.columns if c == "trusted"])
-    listed = lambda c: F.filter(F.split(c, WORD_GAP), lambda w: w != "")
-    return rows.withColumn("words", listed("text")).withColumn("tokens", listed("spaced")).withColumn(
-        "lines", F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(GAPS)) != "")).drop("spaced")
+    # a sign adds two spaces; those that are no symbols are counted by taking them out
+    size = F.octet_length("text")
+    others = sum((size - F.octet_length(F.replace("text", F.lit(c), F.lit(""))) for c in SIGNS if c not in SYMBOLS), F.lit(0))
+    symbols = F.expr("(octet_length(spaced) - octet_length(text)) div 2") - others
+    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(GAPS)) != "")
+    return rows.withColumns({"n_symbols": symbols.cast("long"), "words": _words(F.col("text")), "tokens": _words(F.col("spaced")),
+                             "lines": lines}).drop("spaced")
 
 
 def base_columns(rows: DataFrame) -> DataFrame:
@@ -68,10 +71,8 @@ def base_columns(rows: DataFrame) -> DataFrame:
         if(sorted IS NULL, null, array_sort(transform(
             filter(sorted, (x, j) -> x.h = get(sorted, j - 1).h OR x.h = get(sorted, j + 1).h), x -> x.i)))"""))
     covered = F.expr("if(places IS NULL, 0, aggregate(transform(places, (p, k) -> least(3, coalesce(get(places, k + 1) - p, 3))), 0, (a, x) -> a + x))")
-    text = F.col("text")
     return rows.select(
-        "doc_id", "tokens", n.cast("long").alias("n_words"), (F.length(text) - _count_of(text, GAPS)).cast("long").alias("word_chars"),
-        _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
+        "doc_id", "tokens", n.cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), covered.cast("long").alias("n_repeat_words"))
 
 
@@ -100,15 +101,25 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return counts.select("bucket", F.log(share("good", all_good) / share("raw", all_raw)).alias("weight"))
 
 
+def weight_list(weights: DataFrame) -> str:
+    """The weights as a constant of the plan, in the order of the buckets; 0 where there is none."""
+    known = dict(weights.collect())  # at most BUCKETS rows
+    return f"from_json('{[known.get(b, 0.0) for b in range(BUCKETS)]}', 'array<double>')"
+
+
+def gram_sum(weights: str, tokens: str = "tokens") -> Column:
+    """The sum of the weights of a text's unigrams and bigrams."""
+    mask = BUCKETS - 1
+    ones = f"aggregate({tokens}, 0D, (a, t) -> a + get({weights}, cast(xxhash64(t) & {mask} as int)))"
+    return F.expr(f"""if(size({tokens}) < 2, {ones}, aggregate(sequence(1, size({tokens}) - 1), {ones},
+        (a, i) -> a + get({weights}, cast(xxhash64({tokens}[i - 1], {tokens}[i]) & {mask} as int))))""")
+
+
 def likelihood(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """doc_id, base counts, ratio, base_failed and kept of every document."""
-    weights = bucket_weights(docs, trusted)
-    rows = base_columns(with_lists(docs)).withColumn("row", F.monotonically_increasing_id())
-    kept = [c for c in rows.columns if c != "tokens"]
-    spread = rows.select(*kept, F.explode_outer(grams()).alias("bucket"))
-    scored = spread.join(F.broadcast(weights), "bucket", "left").groupBy(*kept).agg(
-        F.sum("weight").alias("sum"), F.count("bucket").alias("n_grams"))
-    scored = scored.withColumn("ratio", F.coalesce(F.col("sum") / F.when(F.col("n_grams") > 0, F.col("n_grams")), F.lit(0.0)))
+    weights = weight_list(bucket_weights(docs, trusted))
+    scored = base_columns(with_lists(docs)).withColumn("n_grams", F.greatest(F.size("tokens"), 2 * F.size("tokens") - 1))
+    scored = scored.withColumn("ratio", F.when(F.col("n_grams") > 0, gram_sum(weights) / F.col("n_grams")).otherwise(F.lit(0.0)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "ratio",
                          failed.alias("base_failed"), (~failed & (F.col("ratio") >= THRESHOLD)).alias("kept"))
