@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hydroflow import config as C
 from hydroflow.functions.scalars import m3s_to_m3day, slot_radiation_to_MJ
-from hydroflow.operators.ranks import exact_quantiles, ordered_counts
+from hydroflow.operators.ranks import exact_quantiles, ordered_counts, with_key_table
 
 
 # readings -> days ------------------------------------------------------------
@@ -221,7 +221,7 @@ def histogram(long: DataFrame, keys: Sequence[str], value: str, bins: int = 40)
     span = span.withColumn("_w", F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(bins)),
                                             F.lit(1e-9)))
     place = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_w")), F.lit(bins - 1))
-    counted = (present.join(span, list(keys)).withColumn("bin", place.cast("int"))
+    counted = (with_key_table(present, span, keys, "_n").withColumn("bin", place.cast("int"))
                .groupBy(*keys, "bin", "_lo", "_w", "_n").agg(F.count(F.lit(1)).alias("n")))
     return counted.select(
         *keys, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"), "n",
@@ -249,7 +249,7 @@ def density(long: DataFrame, keys: Sequence[str], value: str, points: int = 300,
     x, h = F.col(value), F.col("_h")
     first = F.greatest(F.ceil((x - 39 * h - F.col("_lo")) / F.col("_step")), F.lit(0))
     last = F.least(F.floor((x + 39 * h - F.col("_lo")) / F.col("_step")), F.lit(points - 1))
-    spread = (counts.join(stats, list(keys))
+    spread = (with_key_table(counts, stats, keys, "_n")
               .withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
               .withColumn("x", F.col("_lo") + F.col("point") * F.col("_step")))
     kernel = F.col("_c") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - x) / h, F.lit(2.0)))

@@ -4,6 +4,8 @@ A window or a ``percentile`` buffer over one key would put a hot key into one
 task. Here equal values are first counted (map-side), each key's distinct values
 are cut into slices of about equal size, and every slice is ranked on its own;
 only the per-slice totals (at most ``slices`` rows per key) are ranked per key.
+Tables of one row per key come to the rows by ``with_key_table``, which keeps the
+rows of hot keys where they are.
 """
 
 from __future__ import annotations
@@ -14,6 +16,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 256
+#: Keys whose row of a key table is broadcast: those with most rows. No other key has more than 1 / HOT_KEYS of all rows.
+HOT_KEYS = 1024
+
+
+def with_key_table(rows: DataFrame, table: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
+    """Inner join with a table of one row per key, whose column ``count`` says how many rows a key has.
+
+    The ``HOT_KEYS`` largest keys are joined by a broadcast of that many rows, the others by their keys, so no
+    task gets more than a small share of the rows, however many keys there are.
+    """
+    keys = list(keys)
+    hot = F.broadcast(table.orderBy(F.desc(count), *keys).limit(HOT_KEYS))
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys)
+    return rows.join(hot, keys).unionByName(others)
 
 
 def _count_and_slice(df: DataFrame, keys: list[str], value: str,
@@ -26,8 +42,8 @@ def _count_and_slice(df: DataFrame, keys: list[str], value: str,
     # the sums are asked for here too: both uses of ``counts`` then read one shuffle
     cuts = counts.groupBy(*keys).agg(
         F.percentile_approx(value, shares, F.lit(10 * SLICES)).alias("_cuts"),
-        F.sum("n").alias("n_total"), *[F.sum(k).alias(f"_unused_{k}") for k in sums])
-    sliced = counts.join(cuts, keys).withColumn("_slice", F.lit(0))
+        F.sum("n").alias("n_total"), F.count("n").alias("_values"), *[F.sum(k).alias(f"_unused_{k}") for k in sums])
+    sliced = with_key_table(counts, cuts, keys, "_values").withColumn("_slice", F.lit(0))
     step = SLICES // 2
     while step:  # binary search over the cuts: eight generated steps a row
         below = F.get("_cuts", F.col("_slice") + F.lit(step - 1)) < F.col(value)

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hydroflow.operators import aggregates as A
 from hydroflow.operators import fill, ranks, windows as W
@@ -134,6 +135,34 @@ def test_exact_quantiles_equal_numpy_with_a_hot_value(spark):
         np.testing.assert_allclose(got.loc[k].values.astype(float), np.quantile(part.v, [0, .25, .5, .901, 1]))
 
 
+@pytest.mark.parametrize("hot_keys", [1, 1024])
+def test_key_tables_join_hot_and_other_keys_alike(spark, monkeypatch, hot_keys):
+    monkeypatch.setattr(ranks, "HOT_KEYS", hot_keys)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b", "c"], 900, p=[.8, .1, .1]), "v": rng.integers(0, 60, 900) / 4})
+    df = spark.createDataFrame(pdf)
+    got = ranks.exact_quantiles(df, ["k"], "v", {"m": 0.5}).toPandas().set_index("k")["m"]
+    assert got.to_dict() == pdf.groupby("k")["v"].median().to_dict()
+    bins = A.histogram(df, ["k"], "v").toPandas().groupby("k")["n"].sum()
+    assert bins.to_dict() == pdf["k"].value_counts().to_dict()
+    assert set(A.density(df, ["k"], "v").toPandas().groupby("k").size()) == {300}
+
+
+def test_a_hot_key_is_not_shuffled_to_meet_its_statistics(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "HOT_KEYS", 1)
+    rows = spark.createDataFrame([("a", float(i % 7)) for i in range(50)] + [("b", 1.0)], "k string, v double")
+    table = rows.groupBy("k").agg(F.count("v").alias("n"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = ranks.with_key_table(rows, table, ["k"], "n")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 51
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [k" in plan and "LeftAnti, BuildRight" in plan
+
+
 def test_average_ranks_equal_pandas(spark):
     pdf = scores(spark)
     got = ranks.ordered_counts(spark.createDataFrame(pdf), ["k"], "v").withColumn(
