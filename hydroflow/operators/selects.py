@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
@@ -29,7 +30,13 @@ def complete_cases(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def in_years(df: DataFrame, date: str, years: Sequence[int]) -> DataFrame:
-    return df.where(F.year(date).isin(*years))
+    """Rows of these years, as one range of dates per run of years, so that files and row groups are pruned."""
+    chosen = sorted(set(years))
+    firsts = [y for y in chosen if y - 1 not in chosen]
+    lasts = [y for y in chosen if y + 1 not in chosen]
+    day = lambda y: F.lit(dt.date(y, 1, 1))
+    inside = [(F.col(date) >= day(a)) & (F.col(date) < day(b + 1)) for a, b in zip(firsts, lasts)]
+    return df.where(reduce(Column.__or__, inside, F.lit(False)))
 
 
 def in_months(df: DataFrame, date: str, months: Sequence[int]) -> DataFrame:

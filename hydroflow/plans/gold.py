@@ -211,7 +211,7 @@ def gold_slice(gold: DataFrame, first: str, last: str, groups: Sequence[Sequence
 
 
 def save_gold(gold: DataFrame, path: str) -> None:
-    """Parquet by site and year, so date and site filters prune files."""
-    gold.withColumn("year", F.year("date")).repartition("site", "year") \
-        .sortWithinPartitions("site", "date") \
-        .write.mode("overwrite").partitionBy("site", "year").parquet(path)
+    """Parquet by year, dealt by ranges of year and site: files stay few with many sites, and site filters skip files."""
+    gold.withColumn("year", F.year("date")).repartitionByRange("year", "site") \
+        .sortWithinPartitions("year", "site", "date") \
+        .write.mode("overwrite").partitionBy("year").parquet(path)

@@ -58,6 +58,9 @@ class Learner:
         return Pipeline(stages=[imputer, VectorAssembler(inputCols=filled, outputCol=VECTOR), trees])
 
 
+FINAL = Learner(trees=C.GBT_TREES_FINAL)
+
+
 def as_doubles(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.withColumns({f: F.col(f).cast("double") for f in features})
 
@@ -266,7 +269,7 @@ ARCHITECTURES = {
 
 # final models and the live forecast ------------------------------------------------------------
 
-def fit_final(frame: DataFrame, out_of_fold: DataFrame, learner: Learner) -> dict[str, PipelineModel]:
+def fit_final(frame: DataFrame, out_of_fold: DataFrame, learner: Learner = FINAL) -> dict[str, PipelineModel]:
     """Models on all rows; stage two sees out-of-fold inflow where there is any, else the actual."""
     oof = out_of_fold.where("stage = 'inflow'").select("site", "date", F.col("predicted").alias("_oof"))
     stacked = frame.join(oof, ["site", "date"], "left").withColumn(

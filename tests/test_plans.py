@@ -45,6 +45,29 @@ def test_duplicate_lookup_keys_raise(spark):
         J.lookup_join(spine, twice, ["site", "d"]).collect()
 
 
+def test_years_are_ranges_that_reach_the_scan(spark, tmp_path):
+    rows = [(dt.date(y, m, d),) for y in range(2009, 2016) for m, d in ((1, 1), (12, 31))] + [(None,)]
+    spark.createDataFrame(rows, "date date").write.parquet(str(tmp_path / "days"))
+    days = spark.read.parquet(str(tmp_path / "days"))
+    got = selects.in_years(days, "date", [2012, 2010, 2011, 2014])
+    assert sorted(r["date"].year for r in got.collect()) == sorted([2010, 2011, 2012, 2014] * 2)
+    assert "GreaterThanOrEqual(date,2010-01-01)" in got._jdf.queryExecution().executedPlan().toString()
+    assert selects.in_years(days, "date", []).count() == 0
+
+
+def test_gold_is_written_by_year_and_reads_back(spark, tmp_path):
+    rows = [(s, dt.date(y, 5, 1), float(y)) for s in ("a", "b", None) for y in (2012, 2013)]
+    gold = spark.createDataFrame(rows, "site string, date date, v double")
+    G.save_gold(gold, str(tmp_path / "gold"))
+    back = spark.read.parquet(str(tmp_path / "gold"))
+    assert sorted(back.select("site", "date", "v").collect(), key=str) == sorted(gold.collect(), key=str)
+    assert sorted(p.name for p in (tmp_path / "gold").glob("year=*")) == ["year=2012", "year=2013"]
+
+
+def test_final_fit_uses_the_published_tree_count():
+    assert M.FINAL.trees == C.GBT_TREES_FINAL == 500
+
+
 def test_periods_overlap(spark):
     df = spark.createDataFrame([(2030,), (2009,)], "year int")
     assert sorted(r.period for r in J.in_periods(df, "year", C.SUMMARY_PERIODS).collect()) == ["2010-2030", "2030-2050"]
