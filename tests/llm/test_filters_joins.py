@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hydroflow.llm import backoff_lm, decontamination, ngram_join, quality_llr, quality_qda, toxicity
@@ -96,7 +97,7 @@ def test_components(spark):
 
 def test_base_rules(spark):
     rows = [(1, None), (2, ""), (3, "one"), (4, "a b c a b c a b c"), (5, "x #y |z\n\nx #y |z\n x"), (6, prose(3, 60)), (7, "é b  c\td\x0be"),
-            (8, "k l m " * 300), (None, prose(4, 70)), (6, prose(3, 60))]
+            (8, "k l m " * 300), (9, "!a\x0cb\r#c!!\td$ !"), (None, prose(4, 70)), (6, prose(3, 60))]
     trusted = spark.createDataFrame([(6,)], "doc_id long")
     found = quality_llr.likelihood(frame(spark, rows), trusted).collect()
 
@@ -118,6 +119,16 @@ def test_base_rules(spark):
     assert quality_llr.likelihood(frame(spark, rows), trusted.limit(0)).filter("ratio <> 0").count() == 0
 
 
+def test_ratio_is_the_mean_weight_of_the_n_grams(spark):
+    rows = [(i, prose(i, 20 + i) + (" a#b!" if i % 3 else "")) for i in range(12)] + [(50, "one"), (51, ""), (52, None)]
+    docs, trusted = frame(spark, rows), spark.createDataFrame([(i,) for i in range(4)], "doc_id long")
+    weights = quality_llr.bucket_weights(docs, trusted)
+    spread = quality_llr.with_lists(docs).select("doc_id", F.explode(quality_llr.grams()).alias("bucket")).join(weights, "bucket")
+    want = {r["doc_id"]: r["w"] for r in spread.groupBy("doc_id").agg(F.avg("weight").alias("w")).collect()}
+    got = {r["doc_id"]: r["ratio"] for r in quality_llr.likelihood(docs, trusted).collect()}
+    assert got == pytest.approx({d: want.get(d, 0.0) for d, _ in rows}) and len(want) == 13
+
+
 def test_likelihood_tells_signs_from_prose(spark):
     rows = [(i, prose(i, 100)) for i in range(60)] + [(100 + i, " ".join(w + "&&&" for w in prose(i, 100).split())) for i in range(30)]
     trusted = spark.createDataFrame([(i,) for i in range(30)], "doc_id long")
