@@ -3,8 +3,10 @@
 A text becomes a row of template tokens: numbers, names and units give way to typed slots, other words are
 lower-cased. Windows of ``WINDOW`` tokens of documents are hash-joined with those of the benchmark, so a question with other
 numbers or names still meets its template; windows of plain lower-cased words are joined too. A
-pair counts if enough of the item's windows are found and its slots are filled alike: each of the
-item's fillers always stands for one filler of the document.
+pair counts if enough of the item's windows are found and their slots are filled alike: each of the
+item's fillers stands for one filler of the document, and a name of the document for one name of the item; numbers
+may meet in one number. Windows with another filler than most are left out. This is judged for each passage of a
+document, windows that lie as far apart as in the item up to ``SHIFT`` words, and for the whole document; one has to do.
 
 Before the join, documents' windows pass a bit table of the benchmark's window hashes. Its size is fixed
 (``FILTER_BITS``), so what is sent to the tasks is bounded; a crowded table lets more windows through to the join
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroflow.llm.common import WordHashes, mix64, write_and_read
@@ -33,6 +35,8 @@ WINDOW = 8
 LEAST_LITERAL = 5
 #: A pair counts with this share of the item's windows, or with this many windows.
 LEAST_SHARE, LEAST_WINDOWS = 0.5, 8
+#: Words that may be put in or left out between windows of one passage.
+SHIFT = 4
 FILTER_BITS = 1 << 23
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|~_-=+…“”„»«¡¿"
 NUMBER = re.compile(r"[+-]?(\d+([.,/:]\d+)*|\d*\.\d+)(st|nd|rd|th)?")
@@ -141,7 +145,7 @@ def _of_text(text: str | None, sizes: list[int]):
 
 
 def _fillers(words: list[str], tokens: list[str], at: int, size: int) -> list[str]:
-    return [w for w, t in zip(words[at:at + size], tokens[at:at + size]) if t[0] == "\x01"]
+    return [t + " " + w for w, t in zip(words[at:at + size], tokens[at:at + size]) if t[0] == "\x01"]
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -200,24 +204,28 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     known = benchmark_windows(items)
     sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
     found = document_windows(docs, bit_table(known), sizes).join(known, "hash").filter(F.size("fillers") == F.size("item_fillers"))
-    # How a filler of the item is filled in the document, and the other way round; both have to be single-valued.
     pairs = F.arrays_zip(F.col("item_fillers").alias("i"), F.col("fillers").alias("d"))
-    # written once: three aggregates read it, and each would go through all texts again
-    rows = write_and_read(found.select("doc_id", "item_id", "item_at", "n_windows", pairs.alias("pairs")), "template-matches")
-    slots = rows.select("doc_id", "item_id", F.explode("pairs").alias("p")).select("doc_id", "item_id", "p.*").toDF("doc_id", "item_id", "i", "d").distinct()
-    forth = slots.groupBy("doc_id", "item_id", "i").agg(F.count("*").alias("n"))
-    back = slots.groupBy("doc_id", "item_id", "d").agg(F.count("*").alias("n"))
-    uneven = forth.unionByName(back.withColumnRenamed("d", "i")).groupBy("doc_id", "item_id").agg(F.max("n").alias("n")).filter("n > 1")
-    uneven = uneven.select("doc_id", "item_id", F.lit(True).alias("uneven"))
-    plain = F.size("pairs") == 0
-    met = rows.select("doc_id", "item_id", "item_at", "n_windows", plain.alias("plain")).groupBy("doc_id", "item_id", "item_at").agg(
-        F.max("n_windows").alias("n_windows"), F.max("plain").alias("plain"))
-    counts = met.groupBy("doc_id", "item_id").agg(F.count("*").alias("any_found"), F.sum(F.col("plain").cast("int")).alias("plain_found"),
-                                                  F.max("n_windows").alias("n_windows"))
-    judged = counts.join(uneven, ["doc_id", "item_id"], "left")
-    judged = judged.withColumn("found", F.when(F.col("uneven"), F.col("plain_found")).otherwise(F.col("any_found")))
-    enough = (F.col("found") >= LEAST_WINDOWS) | ((F.col("found") > 0) & (F.col("found") >= LEAST_SHARE * F.col("n_windows")))
-    return judged.filter(enough).select("doc_id", "item_id", F.col("found").cast("long").alias("windows_found"), F.col("n_windows").cast("long").alias("n_windows"))
+    # A passage is where windows lie about as far apart as in the item; the null passage is the whole document.
+    shift = F.col("doc_at") - F.col("item_at")
+    passages = F.concat(F.array(F.lit(None).cast("int")), F.sequence(shift - SHIFT, shift + SHIFT))
+    # written once, so that texts are not gone through again when a shuffle is planned
+    rows = write_and_read(found.select("doc_id", "item_id", "doc_at", "item_at", "n_windows", passages.alias("passages"), pairs.alias("pairs")),
+                          "template-matches").repartition("doc_id", "item_id")
+    spread = rows.withColumn("passage", F.explode("passages")).withColumn("p", F.explode_outer("pairs")).select(
+        "doc_id", "item_id", "passage", "doc_at", "item_at", "n_windows", F.col("p.i").alias("i"), F.col("p.d").alias("d"))
+    here = ["doc_id", "item_id", "passage"]
+    spread = spread.withColumn("n", F.count("*").over(Window.partitionBy(*here, "i", "d")))
+    # A filler of the item stands for the one that most of a passage's windows have, and a name of the document for one name.
+    forth = F.max(F.struct("n", "d")).over(Window.partitionBy(*here, "i"))["d"]
+    back = F.max(F.struct("n", "i")).over(Window.partitionBy(*here, "d"))["i"]
+    spread = spread.withColumn("forth", forth).withColumn("back", back)
+    alike = F.col("i").isNull() | (F.col("d") == F.col("forth")) & ((F.col("i") == F.col("back")) | ~F.col("i").startswith(NAME))
+    met = spread.withColumn("alike", alike).groupBy(*here, "doc_at", "item_at", F.col("i").isNull()).agg(
+        F.min("alike").alias("alike"), F.max("n_windows").alias("n_windows")).filter("alike")
+    counts = met.groupBy(*here).agg(F.countDistinct("item_at").alias("found"), F.max("n_windows").alias("n_windows"))
+    counts = counts.groupBy("doc_id", "item_id").agg(F.max("found").alias("found"), F.max("n_windows").alias("n_windows"))
+    enough = (F.col("found") >= LEAST_WINDOWS) | (F.col("found") >= LEAST_SHARE * F.col("n_windows"))
+    return counts.filter(enough).select("doc_id", "item_id", F.col("found").cast("long").alias("windows_found"), F.col("n_windows").cast("long").alias("n_windows"))
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:

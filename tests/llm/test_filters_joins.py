@@ -201,6 +201,20 @@ def test_decontamination(spark):
     assert decontamination.contaminated(frame(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_judges_each_passage(spark):
+    a = ITEM.replace("12", "37").replace(" 5 ", " 9 ")
+    b = ITEM.replace("12", "40").replace(" 5 ", " 8 ").replace("Anna Smith", "Maria Jones")
+    same = ITEM.replace("12", "7").replace(" 5 ", " 7 ")
+    stray = "bought 99 kg of apples at the market near"
+    short = "He gave 3 of the red balls and 4 of the blue balls away"
+    items = spark.createDataFrame([(1, ITEM), (2, short)], "item_id long, text string")
+    rows = [(1, a + " " + prose(1) + " " + b), (2, prose(2) + " " + a + " " + prose(3) + " " + stray), (3, same), (4, prose(4) + " " + stray),
+            (5, a + " " + b), (6, short.replace("3", "5").replace("4", "5")),
+            (7, short.replace("3", "5").replace("4", "6") + " " + prose(5) + " " + short.replace("3", "8").replace("4", "9"))]
+    found = {(r["doc_id"], r["item_id"]): r["windows_found"] for r in decontamination.contaminated(frame(spark, rows), items).collect()}
+    assert set(found) == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 2), (7, 2)}
+
+
 def test_backoff_scores(spark, monkeypatch):
     monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", 700)
     rows = [(i, prose(i % 40, 70) + (" Extra" if i % 3 else "")) for i in range(90)] + [(200, None), (201, ""), (202, "unheard of ÉTÉ"), (None, "no id here"), (3, "twice")]
