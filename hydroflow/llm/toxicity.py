@@ -2,7 +2,8 @@
 
 Words are mapped to symbols: insult (learned from labels, with a weight), threat, target, negation, reported speech.
 Three small transducers read the symbols of a clause: one remembers that a target was named, one
-that a negation stands shortly before, one that the clause reports what somebody said. Their
+that a negation stands shortly before, one that the clause reports what somebody said. The first also reads the
+clause from its end, for targets named after the word. Their
 composition, a product automaton built once, turns each insult or threat into an output class such as
 "insult, at a target" or "threat, negated". A match weighs as its class does in the training
 labels, drawn towards a prior, plus what its word adds; a text's score joins its clauses' matches.
@@ -42,7 +43,18 @@ NEGATION = frozenset("not no never nobody none isn't aren't wasn't don't doesn't
                      "pas jamais aucun aucune nunca jamás ningún ninguna tampoco".split())
 REPORT = frozenset("said says say saying told reported reports quoted quote quotes wrote writes according claimed called allegedly "
                    "sagte sagt schrieb laut dit disait selon écrit dijo dice según escribió".split())
-THREAT = frozenset("kill murder hurt stab shoot strangle beat töten umbringen schlagen tuer frapper matar golpear".split())
+THREAT = frozenset("kill kills killed killing murder murders murdered murdering hurt hurts hurting stab stabs stabbed stabbing shoot shoots "
+                   "shot shooting strangle strangles strangled strangling beat beats beaten beating "
+                   "töten töte tötest tötet tötete töteten getötet umbringen umbringe umbringst umbringt umbrachte umgebracht umzubringen "
+                   "schlagen schlage schlägst schlägt schlug schlugen geschlagen "
+                   "tuer tue tues tuons tuez tuent tuais tuait tuaient tuerai tueras tuera tuerons tuerez tueront tuerais tuerait tuant tué "
+                   "tués tuée tuées frapper frappe frappes frappons frappez frappent frappais frappait frappaient frapperai frapperas "
+                   "frappera frapperons frapperez frapperont frapperais frapperait frappant frappé frappés frappée frappées "
+                   "matar mato matas mata matamos matan maté mataste mató mataron mataré matarás matará mataremos matarán mataría mate "
+                   "mates maten matado matando golpear golpeo golpeas golpea golpeamos golpean golpeé golpeaste golpeó golpearon golpearé "
+                   "golpearás golpeará golpearemos golpearán golpearía golpee golpees golpeen golpeado golpeando".split())
+#: Spanish threats that end in their target.
+AIMED = frozenset(stem + who for stem in ("matar", "matándo", "golpear", "golpeándo") for who in "te lo la le los las les os".split())
 #: Steps for which a transducer remembers.
 NEAR_NEGATION, NEAR_TARGET = 3, 4
 
@@ -59,19 +71,22 @@ def _target(state: int, symbol: str) -> int:
     return NEAR_TARGET if symbol == "target" else max(0, state - 1)
 
 
-SYMBOLS = ("word", "insult", "threat", "target", "neg", "report")
+SYMBOLS = ("word", "insult", "threat", "aimed", "target", "neg", "report")
+#: Symbols that may be turned into an output class.
+TOXIC = ("insult", "threat", "aimed")
 
 
 def compose() -> dict[tuple, tuple]:
-    """(state, symbol) -> (state, output class or None) of the composed transducer.
+    """(state, symbol, target ahead) -> (state, output class or None) of the composed transducer.
 
-    An output class is (kind, at a target, negated, reported); threats need a target.
+    An output class is (kind, at a target, negated, reported); threats need a target, before or after them.
     """
     arcs = {}
     states = itertools.product(range(NEAR_NEGATION + 1), (0, 1), range(NEAR_TARGET + 1))
-    for (n, r, t), symbol in itertools.product(list(states), SYMBOLS):
-        out = (symbol, t > 0, n > 0, r > 0) if symbol == "insult" or symbol == "threat" and t else None
-        arcs[(n, r, t), symbol] = (_negation(n, symbol), _report(r, symbol), _target(t, symbol)), out
+    for (n, r, t), symbol, ahead in itertools.product(list(states), SYMBOLS, (False, True)):
+        at = t > 0 or ahead or symbol == "aimed"
+        out = ("insult" if symbol == "insult" else "threat", at, n > 0, r > 0) if symbol == "insult" or symbol in TOXIC and at else None
+        arcs[(n, r, t), symbol, ahead] = (_negation(n, symbol), _report(r, symbol), _target(t, symbol)), out
     return arcs
 
 
@@ -110,7 +125,7 @@ class Grammar:
             word = plain(raw)
             weight = max((self.lexicon[u] for u in units(word) if u in self.lexicon), default=0.0) if word else 0.0
             kind = ("insult" if weight else "neg" if word in NEGATION else "target" if word in TARGET else
-                    "report" if word in REPORT else "threat" if word in THREAT else "word")
+                    "report" if word in REPORT else "threat" if word in THREAT else "aimed" if word in AIMED else "word")
             if len(self._seen) > 500_000:
                 self._seen.clear()
             found = self._seen[raw] = kind, weight
@@ -121,16 +136,20 @@ class Grammar:
         if not text:
             return []
         low = text.lower()
-        if not any(self.symbol(w)[0] in ("insult", "threat") for w in set(low.split())):
+        if not any(self.symbol(w)[0] in TOXIC for w in set(low.split())):
             return []
         found = []
         for k, clause in enumerate(CLAUSE.split(low)):
             symbols = [self.symbol(w) for w in clause.split()]
-            if not any(s in ("insult", "threat") for s, _ in symbols):
+            if not any(s in TOXIC for s, _ in symbols):
                 continue
+            ahead, near = [], 0
+            for s, _ in reversed(symbols):
+                ahead.append(near > 0)
+                near = _target(near, s)
             state = START
-            for s, weight in symbols:
-                state, out = ARCS[state, s]
+            for (s, weight), target in zip(symbols, reversed(ahead)):
+                state, out = ARCS[state, s, target]
                 if out:
                     found.append((out, weight, k))
         return found

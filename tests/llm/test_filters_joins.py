@@ -161,6 +161,19 @@ def test_grammar_reads_clauses():
     assert len(toxicity.CLASSES) == 12
 
 
+def test_threats_and_insults_with_the_target_after_them():
+    g = toxicity.Grammar({"idiot": 6.0}, {}, 0.02)
+    for text in ("I will kill you", "kill them all", "he will beat her up", "They stabbed him", "killing you slowly", "Ich töte dich",
+                 "je vais tuer ta famille", "voy a matarte", "you I kill"):
+        assert g.score(text) > 0.7, text
+    assert g.matches("an idiot like you")[0][0] == ("insult", True, False, False)
+    assert g.matches("what an idiot. You there")[0][0] == ("insult", False, False, False)
+    assert g.matches("I will not kill you")[0][0] == ("threat", True, True, False)
+    for text in ("kill the process", "kill one two three four you", "I beat eggs. You stir"):
+        assert g.score(text) == pytest.approx(0.02), text
+    assert len(toxicity.CLASSES) == 12
+
+
 def test_toxicity_learns(spark):
     rng, rows, labels = random.Random(2), [], []
     for i in range(400):
