@@ -1,8 +1,11 @@
 """Benchmark passages found in documents by their templates.
 
 A text becomes a row of template tokens: numbers, names and units give way to typed slots, other words are
-lower-cased. Windows of ``WINDOW`` tokens of documents are hash-joined with those of the benchmark, so a question with other
-numbers or names still meets its template; windows of plain lower-cased words are joined too. A
+lower-cased. A run of title-case words is one name. Whether one that begins a sentence is a name cannot be told, so
+both readings are taken; function words that begin a sentence are no names. Windows of ``WINDOW`` tokens of
+documents are hash-joined with those of the benchmark, so a question with other
+numbers or names still meets its template; windows of plain lower-cased words are joined too. Where slots are so dense that
+a window holds less than ``LEAST_LITERAL`` plain words, it goes from one plain word to the fourth after it, however far. A
 pair counts if enough of the item's windows are found and their slots are filled alike: each of the
 item's fillers stands for one filler of the document, and a name of the document for one name of the item; numbers
 may meet in one number. Windows with another filler than most are left out. This is judged for each passage of a
@@ -13,25 +16,28 @@ Before the join, documents' windows pass a bit table of the benchmark's window h
 and loses none.
 
 Defined results: null or empty texts on either side match nothing; an item shorter than a window
-has one window of its whole length; items with less than ``LEAST_LITERAL`` plain words in a
-window cannot be told from their slots and match by plain words only; equal items are all reported; rows
+has one window of its whole length; items with less than ``LEAST_LITERAL`` plain words (short items: that
+share) cannot be told from their slots and match by plain words only; equal items are all reported; rows
 with null ids are not reported; repeated rows give one pair; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroflow.llm.common import WordHashes, mix64, write_and_read
+from hydroflow.llm.common import write_and_read
 
 WINDOW = 8
-#: Plain words that a window with slots needs.
+#: Plain words that a window with slots needs; with less, windows get longer.
 LEAST_LITERAL = 5
 #: A pair counts with this share of the item's windows, or with this many windows.
 LEAST_SHARE, LEAST_WINDOWS = 0.5, 8
@@ -47,34 +53,62 @@ UNITS = frozenset("mm cm m km in ft mi inch inches foot feet mile miles meter me
                   "kilometres mg g kg t lb lbs oz gram grams kilogram kilograms pound pounds ounce ounces ml l liter liters litre litres "
                   "gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month "
                   "months year years km/h mph m/s °c °f % percent usd eur dollar dollars euro euros cent cents".split())
-#: Odd factors, one per place in a window.
-FACTORS = mix64(np.arange(201, 201 + WINDOW, dtype=np.uint64)) | np.uint64(1)
+#: Words that are no names where they begin a sentence.
+STARTERS = frozenset("a an the this that these those he she it we you they i his her its our your their my there here what which who whom whose "
+                     "when where why how if in on at by for from with without to of as and or but so yet not no after before during while "
+                     "then than once since until because although though each every all some any both many much more most few several "
+                     "is are was were be do does did has have had can could will would shall should may might must let given suppose find "
+                     "der die das den dem des ein eine einen einem einer er sie es wir ihr ich sein seine ihre was wer wie wo wann warum wenn "
+                     "im am auf aus bei mit nach von vor zu für und oder aber nicht kein keine ist sind war hat haben wird werden welche "
+                     "welcher welches jeder jede alle dann nun als dass ob "
+                     "le la les l un une des du de il elle ils elles on nous vous je tu ce cette ces son sa ses leur que qui quoi quand où "
+                     "comment pourquoi combien si dans en sur par pour avec sans et ou mais est sont a ont chaque quel quelle quels quelles "
+                     "el los las una unos unas del al ella ellos ellas nosotros yo su sus este esta estos estas qué quién cuándo dónde cómo "
+                     "cuánto cuántos cuántas cuál por para con sin y o pero no es son hay cada cuando donde como porque".split())
+#: Slots by type; a title-case word that begins a sentence is MAYBE a name.
+LITERAL, OF_NUM, OF_UNIT, OF_NAME, MAYBE = range(5)
+#: Added to the type of a name that goes on with the word before it.
+GOES_ON = 8
 NUM, UNIT, NAME = "\x01num", "\x01unit", "\x01name"
+SLOTS = ("", NUM, UNIT, NAME)
 SENTENCE_END = (".", "!", "?", ":")
 
 
+def _number(low: str) -> bool:
+    return low in NUMBER_WORDS or not low.isalpha() and (
+        bool(NUMBER.fullmatch(low)) or "-" in low and all(p in NUMBER_WORDS or NUMBER.fullmatch(p) for p in low.split("-")))
+
+
+def _hash(word: str) -> bytes:
+    return xxhash.xxh3_64_intdigest(word).to_bytes(8, sys.byteorder)
+
+
 class _Words(dict):
-    """What each word as it stands in a text is: (word, kind, unit) and whether it ends a sentence.
+    """What each word as it stands in a text is: (word, its hash, kind, unit), whether it ends a sentence, whether a sign follows it.
 
-    Kinds: none (no letters or digits), both (a number with its unit), num, unit, title, word.
+    Kinds: none (no letters or digits), both (a number with its unit), num, unit, title, starter (in title case too), word.
     """
 
-    def __missing__(self, raw: str) -> tuple[str, str, str, bool]:
+    def __missing__(self, raw: str) -> tuple[str, bytes, str, str, bool, bool]:
         word, ends = raw.strip(EDGE), raw.endswith(SENTENCE_END)
-        low = word.lower()
+        low, closed = word.lower(), raw[-1] in EDGE
         both = WITH_UNIT.fullmatch(word) if word and not word.isalpha() else None
+        front, _, back = low.rpartition("-")
         if not word:
-            found = "", "none", "", ends
+            found = "", "none", "", ends, closed
         elif both and both[2].lower() in UNITS:
-            found = both[1], "both", both[2].lower(), ends
-        elif low in NUMBER_WORDS or not word.isalpha() and NUMBER.fullmatch(word):
-            found = low, "num", "", ends
+            found = both[1], "both", both[2].lower(), ends, closed
+        elif back in UNITS and _number(front):
+            found = front, "both", back, ends, closed
+        elif _number(low):
+            found = low, "num", "", ends, closed
         elif low in UNITS:
-            found = low, "unit", "", ends
+            found = low, "unit", "", ends, closed
         elif len(word) > 1 and word[0].isupper() and word[1:].islower():
-            found = low, "title", "", ends
+            found = low, "starter" if low in STARTERS else "title", "", ends, closed
         else:
-            found = low, "word", "", ends
+            found = low, "word", "", ends, closed
+        found = found[0], _hash(found[0]), *found[1:]
         if len(self) < 500_000:
             self[raw] = found
         return found
@@ -83,87 +117,161 @@ class _Words(dict):
 _SEEN = _Words()
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """(template tokens, plain lower-cased tokens), of equal length.
+def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(plain lower-cased words, their 64-bit hashes, their types).
 
-    A name is a word in title case that does not begin a sentence or line; a unit follows a number.
+    A name is a word in title case, for certain if it does not begin a sentence or line; a unit follows a number.
     """
-    tokens, words, seen = [], [], _SEEN
+    words, hashes, types, seen = [], [], bytearray(), _SEEN
     for line in (text or "").split("\n"):
-        start = True
+        start, title = True, -1  # number of words up to the title-case word that another may go on with
         for raw in line.split():
-            word, kind, unit, ends = seen[raw]
+            word, own, kind, unit, ends, closed = seen[raw]
             if kind == "word":
-                tokens.append(word)
                 words.append(word)
+                hashes.append(own)
+                types.append(LITERAL)
             elif kind == "none":
-                start = start or ends
+                start, title = start or ends, -1
                 continue
             elif kind == "both":
-                tokens += [NUM, UNIT]
                 words += [word, unit]
+                hashes += [own, _hash(unit)]
+                types += bytes((OF_NUM, OF_UNIT))
+            elif kind == "num":
+                words.append(word)
+                hashes.append(own)
+                types.append(OF_NUM)
+            elif kind == "unit":
+                words.append(word)
+                hashes.append(own)
+                types.append(OF_UNIT if types and types[-1] == OF_NUM else LITERAL)
             else:
-                slot = NUM if kind == "num" else NAME if kind == "title" and not start else \
-                    UNIT if kind == "unit" and tokens and tokens[-1] == NUM else word
-                tokens.append(slot)
+                name = OF_NAME if not start else MAYBE if kind == "title" else LITERAL
+                types.append(name + GOES_ON if name and title == len(words) else name)
                 words.append(word)
+                hashes.append(own)
+                if name and not closed:
+                    title = len(words)
             start = ends
-    return tokens, words
-
-
-_HASHES = WordHashes()
-
-
-def _hashes(tokens: list[str]) -> np.ndarray:
-    """A 64-bit number per token, from a table that each worker keeps."""
-    return _HASHES.of(tokens)
-
-
-def windows(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` tokens."""
-    n = len(hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.full(n, size, np.uint64)
-    for k in range(size):
-        out += hashes[k:k + n] * FACTORS[k]
-    return mix64(out)
-
-
-def _of_text(text: str | None, sizes: list[int]):
-    """(size, kind, hashes, positions) of the windows that may be matched; kind 0: plain words, 1: with slots."""
-    tokens, words = template(text)
-    plain, slots = _hashes(words), _hashes(tokens)
-    literal = np.concatenate([[0], np.cumsum([t[0] != "\x01" for t in tokens])])
-    for size in sizes:
-        found = windows(plain, size)
-        yield size, 0, found, np.arange(len(found)), words, tokens
-        if len(found):
+    return words, np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(types, np.uint8)
+
+
+#: Powers of an odd number and of its inverse modulo 2 ** 64, as many as the longest text so far needs.
+BASE, SIZE_FACTOR = 0x9E3779B97F4A7C15, np.uint64(0xBF58476D1CE4E5B9)
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+            factors = np.full(2 * n, base, np.uint64)
+            factors[0] = 1
+            _POWERS[k] = np.cumprod(factors)
+    return _POWERS
+
+
+class _Windows:
+    """Hashes of any runs of tokens, from sums over their beginnings."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.up, self.down = _powers(len(hashes) + 1)
+        self.sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * self.up[:len(hashes)], out=self.sums[1:])
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(np.uint64) * SIZE_FACTOR
+
+    def all(self, size: int) -> np.ndarray:
+        n = max(0, len(self.sums) - size)
+        out = self.sums[size:] - self.sums[:n]
+        out *= self.down[:n]
+        out += np.uint64(int(SIZE_FACTOR) * size % (1 << 64))
+        return out
+
+
+class Found(NamedTuple):
+    """Windows of a text that may be matched, all of one reading."""
+
+    hashes: np.ndarray
+    starts: np.ndarray  # words
+    ends: np.ndarray
+    sizes: np.ndarray  # tokens; 0 for windows as long as their slots ask
+    slots: np.ndarray | None  # types of the text's words in this reading; None: plain words
+
+
+_SLOT_HASHES = np.frombuffer(b"".join(map(_hash, SLOTS)), np.uint64)
+
+
+def _of_text(text: str | None, sizes: list[int] | None) -> tuple[list[str], np.ndarray, list[Found]]:
+    """(words, place of each word when runs of names are one, windows); no sizes: ``WINDOW`` or the whole of a shorter text."""
+    words, plain, types = template(text)
+    n = len(words)
+    hasher, found = _Windows(plain), []
+    for size in sizes or [min(n, WINDOW)]:
+        at = np.arange(max(0, n - size + 1) if size else 0)
+        found.append(Found(hasher.all(size)[:len(at)], at, at + size, np.full(len(at), size), None))
+    if not types.any():
+        return words, np.arange(n), found
+    goes_on, types = types >= GOES_ON, types & (GOES_ON - 1)
+    maybe, places = types == MAYBE, None
+    for with_maybe in (True, False) if maybe.any() else (True,):
+        slots = np.where(maybe, OF_NAME if with_maybe else LITERAL, types)
+        names = slots == OF_NAME
+        kept = np.ones(n, bool)
+        kept[1:] = ~(goes_on[1:] & names[1:] & names[:-1])
+        if places is None:
+            places = np.cumsum(kept) - 1
+        first = np.flatnonzero(kept)
+        m, edge, is_literal = len(first), np.append(first, n), slots[first] == LITERAL
+        hasher = _Windows(np.where(is_literal, plain[first], _SLOT_HASHES[slots[first]]))
+        literal = np.concatenate([[0], np.cumsum(is_literal)])
+        spans = []
+        for size in sizes or [min(m, WINDOW)]:
             n_literal = literal[size:] - literal[:-size]
             at = np.flatnonzero((n_literal < size) & (n_literal * WINDOW >= LEAST_LITERAL * size))
-            yield size, 1, windows(slots, size)[at], at, words, tokens
-
-
-def _fillers(words: list[str], tokens: list[str], at: int, size: int) -> list[str]:
-    return [t + " " + w for w, t in zip(words[at:at + size], tokens[at:at + size]) if t[0] == "\x01"]
+            spans.append((at, at + size, np.full(len(at), size)))
+        at = np.flatnonzero(is_literal)
+        a, b = at[:-(LEAST_LITERAL - 1)], at[LEAST_LITERAL - 1:] + 1
+        far = b - a > WINDOW
+        spans.append((a[far], b[far], np.zeros(far.sum(), int)))
+        a, b, size = (np.concatenate(x) for x in zip(*spans))
+        if not with_maybe:  # windows without such words are those of the other reading
+            so_far = np.concatenate([[0], np.cumsum(maybe[first])])
+            other = so_far[b] > so_far[a]
+            a, b, size = a[other], b[other], size[other]
+        if len(a):
+            found.append(Found(hasher.of(a, b), edge[a], edge[b], size, slots))
+    return words, places, found
+
+
+def _fillers(words: list[str], places: np.ndarray, slots: np.ndarray | None, a: int, b: int) -> list[str]:
+    """What stands in the slots of a window, with its type."""
+    out = []
+    if slots is not None:
+        for k in range(a, b):
+            if k > a and places[k] == places[k - 1] and slots[k] == slots[k - 1] == OF_NAME:
+                out[-1] += " " + words[k]
+            elif slots[k]:
+                out.append(SLOTS[slots[k]] + " " + words[k])
+    return out
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
-    """hash, item_id, position, fillers and number of windows of every item."""
+    """hash, item_id, place, fillers, first and last of the plain windows that it covers and number of windows of every item."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"], batch["text"]):
-                n = len(template(text)[0])
-                if not n:
-                    continue
-                for size, kind, hashes, at, words, tokens in _of_text(text, [min(n, WINDOW)]):
-                    rows += [(int(h.astype(np.int64)), item, int(p), _fillers(words, tokens, p, size) if kind else [], size, n - size + 1)
-                             for h, p in zip(hashes, at)]
-            yield pd.DataFrame(rows, columns=["hash", "item_id", "item_at", "item_fillers", "size", "n_windows"])
+                words, places, found = _of_text(text, None)
+                least = min(len(words), WINDOW)
+                for x in found:
+                    rows += [(int(h.astype(np.int64)), item, int(places[a]), int(a), int(max(a, b - least)), _fillers(words, places, x.slots, a, b),
+                              int(size), len(words) - least + 1) for h, a, b, size in zip(x.hashes, x.starts, x.ends, x.sizes)]
+            yield pd.DataFrame(rows, columns=["hash", "item_id", "item_at", "low", "high", "item_fillers", "size", "n_windows"])
 
     return items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(
-        run, "hash long, item_id long, item_at int, item_fillers array<string>, size int, n_windows int")
+        run, "hash long, item_id long, item_at int, low int, high int, item_fillers array<string>, size int, n_windows int")
 
 
 def bit_table(known: DataFrame) -> np.ndarray:
@@ -184,11 +292,12 @@ def document_windows(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> Da
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                for size, kind, hashes, at, words, tokens in _of_text(text, sizes):
-                    b = (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                words, places, found = _of_text(text, sizes)
+                for x in found:
+                    b = (x.hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
                     for k in np.flatnonzero(bits[b >> 3] >> (b & 7).astype(np.uint8) & 1):
-                        rows.append((int(hashes[k].astype(np.int64)), doc, int(at[k]),
-                                     _fillers(words, tokens, at[k], size) if kind else []))
+                        rows.append((int(x.hashes[k].astype(np.int64)), doc, int(places[x.starts[k]]),
+                                     _fillers(words, places, x.slots, x.starts[k], x.ends[k])))
             yield pd.DataFrame(rows, columns=["hash", "doc_id", "doc_at", "fillers"])
 
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(
@@ -202,17 +311,17 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     summed up by an aggregate on both ids, so neither a popular item nor a long document is one group.
     """
     known = benchmark_windows(items)
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
+    sizes = sorted(r["size"] for r in known.filter("size > 0").select("size").distinct().collect())
     found = document_windows(docs, bit_table(known), sizes).join(known, "hash").filter(F.size("fillers") == F.size("item_fillers"))
     pairs = F.arrays_zip(F.col("item_fillers").alias("i"), F.col("fillers").alias("d"))
     # A passage is where windows lie about as far apart as in the item; the null passage is the whole document.
     shift = F.col("doc_at") - F.col("item_at")
     passages = F.concat(F.array(F.lit(None).cast("int")), F.sequence(shift - SHIFT, shift + SHIFT))
     # written once, so that texts are not gone through again when a shuffle is planned
-    rows = write_and_read(found.select("doc_id", "item_id", "doc_at", "item_at", "n_windows", passages.alias("passages"), pairs.alias("pairs")),
+    rows = write_and_read(found.select("hash", "doc_id", "item_id", "doc_at", "item_at", "low", "high", "n_windows", passages.alias("passages"), pairs.alias("pairs")),
                           "template-matches").repartition("doc_id", "item_id")
     spread = rows.withColumn("passage", F.explode("passages")).withColumn("p", F.explode_outer("pairs")).select(
-        "doc_id", "item_id", "passage", "doc_at", "item_at", "n_windows", F.col("p.i").alias("i"), F.col("p.d").alias("d"))
+        "hash", "doc_id", "item_id", "passage", "doc_at", "item_at", "low", "high", "n_windows", F.col("p.i").alias("i"), F.col("p.d").alias("d"))
     here = ["doc_id", "item_id", "passage"]
     spread = spread.withColumn("n", F.count("*").over(Window.partitionBy(*here, "i", "d")))
     # A filler of the item stands for the one that most of a passage's windows have, and a name of the document for one name.
@@ -220,9 +329,10 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     back = F.max(F.struct("n", "i")).over(Window.partitionBy(*here, "d"))["i"]
     spread = spread.withColumn("forth", forth).withColumn("back", back)
     alike = F.col("i").isNull() | (F.col("d") == F.col("forth")) & ((F.col("i") == F.col("back")) | ~F.col("i").startswith(NAME))
-    met = spread.withColumn("alike", alike).groupBy(*here, "doc_at", "item_at", F.col("i").isNull()).agg(
+    met = spread.withColumn("alike", alike).groupBy(*here, "doc_at", "item_at", "hash", "low", "high").agg(
         F.min("alike").alias("alike"), F.max("n_windows").alias("n_windows")).filter("alike")
-    counts = met.groupBy(*here).agg(F.countDistinct("item_at").alias("found"), F.max("n_windows").alias("n_windows"))
+    met = met.withColumn("window", F.explode(F.sequence("low", "high")))
+    counts = met.groupBy(*here).agg(F.countDistinct("window").alias("found"), F.max("n_windows").alias("n_windows"))
     counts = counts.groupBy("doc_id", "item_id").agg(F.max("found").alias("found"), F.max("n_windows").alias("n_windows"))
     enough = (F.col("found") >= LEAST_WINDOWS) | (F.col("found") >= LEAST_SHARE * F.col("n_windows"))
     return counts.filter(enough).select("doc_id", "item_id", F.col("found").cast("long").alias("windows_found"), F.col("n_windows").cast("long").alias("n_windows"))

@@ -228,6 +228,20 @@ def test_decontamination_judges_each_passage(spark):
     assert set(found) == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 2), (7, 2)}
 
 
+def test_decontamination_reads_names_and_dense_numbers(spark):
+    tom = "Tom has 5 apples. Tom eats 3. How many apples does Tom have?"
+    begins = "Tom bought 5 red apples and some pears. Tom ate 3 of them at noon. How many are left now?"
+    trip = "In the summer Anna went from Boston by the slow train to see her old aunt"
+    hours = "The clock of the tower struck twenty-five times before noon and then it stopped"
+    dense = "Add 3 4 5 and 6 7 8 then take 2 1 9 from 12 13 14 to get 5 6 7 of them"
+    items = spark.createDataFrame(list(enumerate([tom, begins, trip, hours, dense])), "item_id long, text string")
+    rows = [(0, tom.replace("Tom", "Anna").replace("5", "7").replace("3", "2")), (1, begins.replace("Tom", "Mary Ann").replace("5", "8").replace("3", "6")),
+            (2, trip.replace("Anna", "Mary Ann Smith").replace("Boston", "New York")), (3, hours.replace("twenty-five", "forty-two")),
+            (4, "".join(str((int(c) + 3) % 10) if c.isdigit() else c for c in dense)), (5, prose(9))]
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(frame(spark, [(d, prose(20 + d) + " So. " + t) for d, t in rows]), items).collect()}
+    assert found == {(k, k) for k in range(5)}
+
+
 def test_backoff_scores(spark, monkeypatch):
     monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", 700)
     rows = [(i, prose(i % 40, 70) + (" Extra" if i % 3 else "")) for i in range(90)] + [(200, None), (201, ""), (202, "unheard of ÉTÉ"), (None, "no id here"), (3, "twice")]
