@@ -29,14 +29,14 @@ def low_quality_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays: that with the smallest id. Rows without an id stay."""
-    others = ngram_join.near_copies(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_copy_id")).distinct()
-    return docs.join(others.hint("merge"), F.col("doc_id") == F.col("_copy_id"), "left_anti")
+    """One row of each class of near copies stays: that with the smallest id, whether ids are null or repeated or not."""
+    return ngram_join.without_copies(docs)
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a benchmark passage go. Rows are matched by a key of their own: ids may be null or repeated."""
+    own = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text", F.struct(*docs.columns).alias("_row"))
+    return decontamination.clean_documents(own, table(spark, sf_dir, "benchmark")).select("_row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

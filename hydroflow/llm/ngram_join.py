@@ -357,8 +357,8 @@ def _complete_members(sets: DataFrame, classes: DataFrame) -> DataFrame:
                        (same | (F.col("chunk") == low)).alias("stored"), (same | (F.col("chunk") == high)).alias("running"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def copy_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row_key, n and class (``root``) of every row with shingles; doc_id and n of the others)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row_key"))
     described = write_and_read(describe(rows), "shingle-sets")
     vertices = described.filter("n > 0").groupBy(F.col("signature").alias("vertex")).agg(
@@ -374,9 +374,31 @@ def near_copies(docs: DataFrame) -> DataFrame:
     late = components(found.join(ends[0], "a").join(ends[1], "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
     final = classes.join(late, F.col("class") == F.col("v"), "left").select(
         F.col("vertex").alias("signature"), F.coalesce("root", "class").alias("root"))
-    members = described.filter("n > 0").join(final, "signature").select("doc_id", "n", "root")
-    members = write_and_read(members, "members-of-classes")
+    members = described.filter("n > 0").join(final, "signature").select("doc_id", "row_key", "n", "root")
+    return write_and_read(members, "members-of-classes"), described.filter("n = 0").select("doc_id", "n")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    members, others = copy_classes(docs)
     smallest = members.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = members.join(smallest, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = described.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    alone = others.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone)
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies and all rows without shingles, all columns.
+
+    The row with the smallest id stays, ids that are null last; of rows with that id, that with the smallest hash of
+    (doc_id, text), and of rows equal in both, that with the smallest hash of all columns.
+    """
+    members, _ = copy_classes(docs)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
+    stay = members.groupBy("root").agg(F.min(order)["row_key"].alias("stays"), F.count("*").alias("k")).filter("k > 1")
+    told = members.join(stay, "root").select(F.col("row_key").alias("_told"), (F.col("row_key") == F.col("stays")).alias("_stays")).distinct()
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    rows = docs.withColumn("_key", key).withColumn("_tie", F.xxhash64(*docs.columns))
+    rows = rows.join(told.hint("merge"), F.col("_key") == F.col("_told"), "left").filter("_stays IS NULL OR _stays")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy("_tie")))
+    return rows.filter("_stays IS NULL OR _place = 1").select(*docs.columns)

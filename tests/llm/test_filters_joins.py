@@ -291,6 +291,21 @@ def test_pipeline(spark, tmp_path):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality classifier", "n-gram Jaccard join", "benchmark decontamination", "packing"]
 
 
+def test_pipeline_stages_with_repeated_and_null_ids(spark, tmp_path):
+    near = " ".join(prose(1, 150).split()[:140])
+    rows = [(1, prose(1, 150)), (1, prose(1, 150)), (1, prose(2, 80)), (2, near), (2, prose(3, 90)), (None, prose(1, 150)), (None, near),
+            (None, prose(4, 70)), (None, prose(4, 70)), (5, ""), (5, ""), (None, None), (6, prose(6, 40)), (7, prose(7, 40)), (7, prose(6, 40))]
+    left = corpus_pipeline.copies_out(spark, frame(spark, rows), str(tmp_path))
+    want = [rows[k] for k in (0, 2, 4, 7, 9, 10, 11, 12, 13)]
+    assert left.columns == frame(spark, rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted(want, key=str)
+    bench = prose("bench", 30)
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, prose(1) + " " + bench), (None, prose(2)), (3, prose(3) + " " + bench), (3, prose(4)), (5, None)]
+    left = corpus_pipeline.benchmark_out(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([rows[1], rows[3], rows[4]], key=str)
+
+
 def test_statistics_of_odd_texts():
     for text in (None, "", " \n", "x", "é" * 100_000, "a b " * 50_000):
         assert np.isfinite(quality_qda.statistics(text)).all()
