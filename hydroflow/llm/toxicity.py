@@ -36,6 +36,7 @@ LEXICON_SIZE, LEAST_G2, LEAST_WEIGHT, LEAST_CONTEXTS = 20_000, 16.0, 3.0, 3
 PREFIXES = (4, 5, 6)
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|~_-=+…“”„»«¡¿"
 CLAUSE = re.compile(r"[.!?;\n]+")
+CLAUSE_ENDS = ".!?;\n"
 
 TARGET = frozenset("you your yours u he she they him her them his their du dich dir dein deine ihr euch er sie tu te toi ton ta vous "
                    "votre il elle ils elles usted tú ti tus ella ellos vosotros".split())
@@ -106,6 +107,13 @@ def plain(word: str) -> str:
     return word.strip(EDGE)
 
 
+def words_of_clauses(low: str) -> list[str]:
+    """The words of all clauses as they stand, in order."""
+    for c in CLAUSE_ENDS:
+        low = low.replace(c, " ")
+    return low.split()
+
+
 def units(word: str) -> list[str]:
     """A word and its beginnings, as lexicon entries."""
     return [word] + [word[:k] + "-" for k in PREFIXES if len(word) > k + 1]
@@ -136,7 +144,7 @@ class Grammar:
         if not text:
             return []
         low = text.lower()
-        if not any(self.symbol(w)[0] in TOXIC for w in set(low.split())):
+        if not any(self.symbol(w)[0] in TOXIC for w in set(words_of_clauses(low))):
             return []
         found = []
         for k, clause in enumerate(CLAUSE.split(low)):
@@ -176,25 +184,25 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataF
 
 
 def _count_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task and entry: documents of either label and up to some contexts of the toxic ones."""
+    """Per task and entry: documents of either label and up to some contexts (words before) of all places in the toxic ones."""
     counts: dict[str, list] = {}
     for batch in batches:
         for text, label in zip(batch["text"], batch["label"]):
-            before, first = "", {}
-            for raw in (text or "").lower().split():
+            before, lefts = "", {}
+            for raw in words_of_clauses((text or "").lower()):
                 word = plain(raw)
-                if word and word not in first:
-                    first[word] = before
+                if word:
+                    lefts.setdefault(word, set()).add(before)
                 before = word
             met = set()
-            for word, left in first.items():
+            for word, left in lefts.items():
                 for u in units(word):
                     c = counts.setdefault(u, [0, 0, set()])
                     if u not in met:
                         met.add(u)
                         c[label] += 1
                     if label and len(c[2]) < LEAST_CONTEXTS:
-                        c[2].add(zlib.crc32(left.encode()))
+                        c[2].update(zlib.crc32(x.encode()) for x in sorted(left)[:LEAST_CONTEXTS])
         if len(counts) > 1_000_000:
             yield _count_rows(counts)
             counts = {}

@@ -174,6 +174,16 @@ def test_threats_and_insults_with_the_target_after_them():
     assert len(toxicity.CLASSES) == 12
 
 
+def test_toxic_words_next_to_signs_and_in_few_documents(spark):
+    g = toxicity.Grammar({"idiot": 6.0, "moron": 6.0}, {}, 0.02)
+    for text in ("go away!idiot", "stop.moron;x", "so\tit?idiot"):
+        assert g.matches(text) and g.score(text) > 0.7, text
+    texts = [("so vilno then vilno and vilno go.vilno", 1)] * 3 + [("a quiet text", 0)] * 3
+    rows = spark.createDataFrame(texts, "text string, label int").coalesce(1)
+    counts = {r["unit"]: r for r in rows.mapInPandas(toxicity._count_units, "unit string, clean long, toxic long, contexts array<long>").collect()}
+    assert counts["vilno"]["toxic"] == 3 and len(counts["vilno"]["contexts"]) >= 3 and "go.vilno" not in counts
+
+
 def test_toxicity_learns(spark):
     rng, rows, labels = random.Random(2), [], []
     for i in range(400):
