@@ -7,7 +7,8 @@ and sent with the tasks. A score is the logistic of the difference of the two Ma
 
 Defined results: a null text is an empty one, whose statistics are all zero, and is scored like
 any other; labels that are null or whose document is missing are not used; several labels of a
-document count as their mean, ties as 1; without training rows of both classes every score is 0.5;
+document count as their mean, ties as 1; without training rows of both classes every score is 0.5
+and ``keep`` keeps all documents;
 rows with equal or null ids are kept; further columns are ignored.
 """
 
@@ -132,14 +133,16 @@ def learn(rows: DataFrame, labels: DataFrame) -> Discriminant | None:
 
 
 def keep(docs: DataFrame, labels: DataFrame, held_out: Column, least: float) -> DataFrame:
-    """The documents, all columns, with a score of at least ``least``."""
+    """The documents, all columns, with a score of at least ``least``; all of them without training rows of both classes."""
     rows = write_and_read(with_statistics(docs), "statistics").withColumn("held_out", held_out)
     model = learn(rows, labels)
+    if model is None:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array([statistics(t) for t in batch.column("text").to_pylist()], float).reshape(-1, len(NAMES))
-            yield batch.filter(pa.array(model.scores(x) >= least if model else np.full(len(x), 0.5 >= least)))
+            yield batch.filter(pa.array(model.scores(x) >= least))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -150,6 +150,14 @@ def test_discriminant(spark):
     assert quality_qda.score(frame(spark, []), labels, fold_is("doc_id", 4, 2)).count() == 0
 
 
+def test_discriminant_keeps_all_without_both_classes(spark):
+    rows = [(i, prose(i, 80)) for i in range(20)] + [(None, None)]
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    for known in (labels, labels.limit(0)):
+        assert quality_qda.keep(docs, known, fold_is("doc_id", 4, 2), 0.7).count() == 21
+
+
 def test_grammar_reads_clauses():
     g = toxicity.Grammar({"idiot": 6.0, "lowe-": 5.0}, {}, 0.02)
     assert g.score(None) == g.score("") == g.score("a quiet text") == pytest.approx(0.02)
