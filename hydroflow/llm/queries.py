@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hydroflow.llm import (backoff_lm, decontamination, kd_sharding, ngram_join, packing, quality_llr, quality_qda, toxicity,
-                           warc_archive, wavelet)
+from hydroflow.llm import (backoff_lm, decontamination, kd_sharding, ngram_join, order_minhash, packing, prefix_trie, quality_llr,
+                           quality_qda, ranked_search, toxicity, warc_archive, wavelet)
 from hydroflow.llm.common import fold_is, scratch_path, table
 
 #: Scores from here on count as label 1.
@@ -114,3 +114,51 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold_is("doc_id", 3, 1))
     return scored.withColumn("predicted", (F.col("score") >= LEAST_SCORE).cast("int"))
+
+
+@query("op11_ranked_search", """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+a AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, a GROUP BY term, big_n),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+q AS (SELECT item_id, text, term, count(*) AS n FROM (
+        SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+m AS (SELECT r, doc_id, 25 + (75 * len(w) * big_n) // big_l AS m FROM d, a),
+s AS (SELECT item_id, text, r, doc_id, CAST(sum(n * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN f USING (term) JOIN t USING (term) JOIN m USING (r) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM k WHERE rank <= 10""")
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@query("op12_order_minhash")
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited_fingerprints(table(spark, sf_dir, "documents"), from_files=True)
+
+
+@query("op13_prefix_trie", """
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''),
+         sha256(concat(octet_length(encode(coalesce(role, ''))), ':', coalesce(role, ''), coalesce(text, '')))) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT *, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+        lambda v, b: list_reduce(list_prepend(xor(v, b), [1::UBIGINT, 1, 1, 1, 1, 1, 1, 1]),
+                                 lambda x, o: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END)), 4294967295::UBIGINT) % 9 AS n FROM t),
+b AS (SELECT h.conv_id, list_concat(coalesce(g.s, [])[1:h.n], h.s[h.n + 1:]) AS s FROM h LEFT JOIN t g ON g.conv_id = h.conv_id - h.conv_id % 5),
+p AS (SELECT conv_id, unnest(range(0, len(s) + 1)) AS d, s FROM b),
+g AS (SELECT s[1:d] AS pre, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(s) = d), '')) AS ends_sha256 FROM p GROUP BY ALL),
+e AS (SELECT g.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM g c WHERE c.d = g.d + 1 AND c.pre[1:g.d] = g.pre) AS n_children,
+             CASE WHEN g.d = 0 THEN 0 ELSE (g.n_convs - 1) * octet_length(encode(g.pre[g.d].t)) END AS saved
+      FROM g LEFT JOIN g u ON u.d = g.d - 1 AND u.pre = g.pre[1:g.d - 1])
+SELECT e.conv_id, CAST(e.d AS BIGINT) AS depth, e.parent_conv_id, e.n_convs, e.n_children, CAST(sum((x.n_children = 0)::INT) AS BIGINT) AS n_leaves,
+       CAST(sum(x.saved) AS BIGINT) AS saved_tokens, e.ends_sha256
+FROM e JOIN e x ON x.d >= e.d AND x.pre[1:e.d] = e.pre
+GROUP BY e.pre, e.conv_id, e.d, e.parent_conv_id, e.n_convs, e.n_children, e.ends_sha256""")
+def trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
