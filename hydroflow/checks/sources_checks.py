@@ -12,6 +12,7 @@ from hydroflow.session import scratch_path
 from hydroflow.sources import payloads as P
 from hydroflow.sources import sinks as K
 from hydroflow.sources import tables as S
+from hydroflow.sources import versions
 
 LEVELS = V.with_views(V.LEVELS_SQL)
 WEATHER = V.with_views(V.WEATHER_SQL)
@@ -269,6 +270,18 @@ def src_18(spark, d):
     return K.upsert(old, new, ["site", "date"], scratch_path(spark, "upsert"))
 
 
+@query("src_18_upsert_by_month", LEVELS + """
+    , fresh AS (SELECT site, date, -level_m AS level_m FROM levels WHERE month(date) = 5)
+    SELECT * FROM fresh UNION ALL SELECT * FROM levels WHERE month(date) <> 5""", "level_m")
+def src_18_by_month(spark, d):
+    """The table is written once; only the months that new rows lie in are read and written again."""
+    path, month = scratch_path(spark, "by-month"), F.date_format("date", "yyyy-MM")
+    versions.merge(V.levels(spark, d), path, ["site", "date"], partition=month)
+    new = versions.read(spark, path).where(F.month("date") == 5).withColumn("level_m", -F.col("level_m"))
+    versions.merge(new, path, ["site", "date"], partition=month)
+    return versions.read(spark, path)
+
+
 @query("src_19_forecast_template", LEVELS + "SELECT site, max(date) + CAST(k AS INT) AS date, " + ", ".join(
     f"CAST(NULL AS DOUBLE) AS {c}" for c in C.FORECAST_COLUMNS[1:]) + " FROM levels, range(1, 8) r(k) GROUP BY site, k")
 def src_19(spark, d):

@@ -9,6 +9,7 @@ from hydroflow.checks.recurrences_checks import BUCKET_SQL, series
 from hydroflow.checks.registry import query
 from hydroflow.session import scratch_path
 from hydroflow.streaming import jobs as J
+from hydroflow.streaming import replay as R
 
 CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
@@ -73,27 +74,73 @@ def str_3(spark, d):
         F.to_date("o_orderdate").alias("date"), "o_orderkey", F.col("o_totalprice").alias("level_m"))
     # several files, one per batch: later batches bring older rows as well as newer ones
     stream = landed(spark, rows.repartition(4, "o_orderkey"), "orders", 1)
-    return J.run_upsert(stream, ["date"], "o_orderkey", scratch_path(spark, "upserted"))
+    return J.run_upsert(stream, ["date"], "o_orderkey", scratch_path(spark, "upserted"), F.date_format("date", "yyyy"))
 
 
-@query("str_4_stuck_sensor", """
+@query("str_3_deduplicated", """
+    SELECT DISTINCT CAST(user_id AS VARCHAR) AS station, ts, event_type, value, event_id FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) = 1""", "value")
+def str_3_deduplicated(spark, d):
+    """Every reading is delivered twice; one of each (station, time) comes through."""
+    rows = V.table(spark, d, "events").select(F.col("user_id").cast("string").alias("station"), "ts", "event_type", "value", "event_id")
+    least = rows.groupBy("station", "ts").agg(F.min(F.struct("event_id", "event_type", "value")).alias("r")).select("station", "ts", "r.*")
+    twice = least.select("station", "ts", "event_type", "value", "event_id")
+    stream = landed(spark, twice.unionByName(twice).repartition(3, F.xxhash64("event_id")), "twice")
+    out = J.run_to_table(J.deduplicated(stream, ["station"]), "once")
+    return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+STUCK_SQL = """
     WITH w AS (SELECT l_returnflag AS site, CAST(l_shipdate AS DATE) AS date, max(l_quantity) AS value FROM lineitem GROUP BY ALL),
     f AS (SELECT *, CASE WHEN value = lag(value) OVER (PARTITION BY site ORDER BY date) THEN 0 ELSE 1 END AS s FROM w),
     g AS (SELECT *, sum(s) OVER (PARTITION BY site ORDER BY date) AS run FROM f),
     n AS (SELECT *, row_number() OVER (PARTITION BY site, run ORDER BY date) AS run_length FROM g)
-    SELECT site, date, value, CAST(run_length AS INT) AS run_length FROM n WHERE run_length >= 3""", "value")
-def str_4(spark, d):
-    days = V.weather(spark, d).select("site", "date", F.col("temp_max_C").alias("value"))
-    return J.run_to_table(J.stuck_sensor_alerts(landed(spark, days, "stuck"), ["site"], 3), "alerts")
-
-
-@query("str_5_catchment_state", BUCKET_SQL + """
+    SELECT site, date, value, CAST(run_length AS INT) AS run_length FROM n WHERE run_length >= 3"""
+STATE_SQL = BUCKET_SQL + """
     , api AS (SELECT a.site, a.date, sum(b.rain * pow(0.9, a.i - b.i)) AS api
               FROM rows0 a JOIN rows0 b ON a.site = b.site AND b.i <= a.i GROUP BY ALL)
     SELECT r.site, r.date, api, s AS bucket_S, q AS bucket_Q FROM rows0 r
-    JOIN bucket b ON r.site = b.site AND r.i = b.i JOIN api ON api.site = r.site AND api.date = r.date""",
-       "api bucket_S bucket_Q")
+    JOIN bucket b ON r.site = b.site AND r.i = b.i JOIN api ON api.site = r.site AND api.date = r.date"""
+#: A century: no day of the record is out of reach of a correction.
+CENTURY = 36_525
+
+
+def alerts(spark, days, files, name):
+    stream = landed(spark, days, name, files)
+    return R.newest(J.run_to_table(J.stuck_sensor_alerts(stream, ["site"], 3, CENTURY), f"{name}-alerts"), ["site"]) \
+            .select("site", "date", "value", "run_length")
+
+
+def states(spark, days, files, name):
+    stream = landed(spark, days, name, files)
+    return R.newest(J.run_to_table(J.catchment_states(stream, ["site"], CENTURY), f"{name}-states"), ["site"]) \
+            .select("site", "date", "api", "bucket_S", "bucket_Q")
+
+
+def dealt(days):
+    """Daily rows as six files, each with days of all years."""
+    return days.repartition(6, F.xxhash64("date"))
+
+
+def daily_values(spark, d):
+    return V.weather(spark, d).select("site", "date", F.col("temp_max_C").alias("value"))
+
+
+@query("str_4_stuck_sensor", STUCK_SQL, "value")
+def str_4(spark, d):
+    return alerts(spark, daily_values(spark, d), 1000, "stuck")
+
+
+@query("str_4_stuck_sensor_late_files", STUCK_SQL, "value")
+def str_4_late(spark, d):
+    return alerts(spark, dealt(daily_values(spark, d)), 1, "late-stuck")
+
+
+@query("str_5_catchment_state", STATE_SQL, "api bucket_S bucket_Q")
 def str_5(spark, d):
-    stream = landed(spark, series(spark, d), "weather")
-    return J.run_to_table(J.catchment_states(stream, ["site"]), "catchment")
+    return states(spark, series(spark, d), 1000, "weather")
+
 
+@query("str_5_catchment_state_late_files", STATE_SQL, "api bucket_S bucket_Q")
+def str_5_late(spark, d):
+    return states(spark, dealt(series(spark, d)), 1, "late-weather")

@@ -6,17 +6,16 @@ folder of the session, so a restarted job goes on where it stopped.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from hydroflow import config as C
-from hydroflow.operators.joins import replace_rows
-from hydroflow.session import ROCKSDB_PROVIDER, path_is_complete, scratch_path
+from hydroflow.session import scratch_path
+from hydroflow.sources import versions
+from hydroflow.streaming.replay import KEEP_DAYS, catchment, replayed, stuck_sensor
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet",
@@ -68,29 +67,42 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", out: str |
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: Batches after which folders of replaced sums are removed.
+TIDY_EVERY = 10
+
+
 def run_partials(stream: DataFrame, keys: Sequence[str], path: str, value: str = "value", ts: str = "ts",
-                 slot: str = "10 minutes") -> DataFrame:
-    """Sums per key and slot of each batch, kept below ``path``; the table of all batches so far.
+                 slot: str = "10 minutes", tidy_every: int = TIDY_EVERY) -> DataFrame:
+    """Sums per key and slot, kept below ``path`` in one folder a day; the table of all batches so far.
 
-    No row is late here: a batch adds its own sums, so files may arrive in any order and any number
-    per batch. A batch that is repeated after a failure writes its folder again, and a later
-    call with the same path goes on with the files that are new.
+    No row is late here: a batch adds its sums to those of the days it has rows of, so files may arrive in any
+    order and any number per batch, and days without new rows are neither read nor written. A batch that is
+    repeated after a failure adds nothing twice (``sources.versions``), and a later call with the same path goes
+    on with the files that are new. Replaced folders are removed every ``tidy_every`` batches.
     """
     spark = stream.sparkSession
+    by = [*keys, "slot"]
+
+    def joined(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*by).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"), F.min("min").alias("min"),
+                                     F.max("max").alias("max"), F.max("last").alias("last"))
 
     def add(batch: DataFrame, number: int) -> None:
         timed = batch.withColumn(ts, F.col(ts).cast("timestamp"))
         sums = timed.groupBy(*keys, F.window(ts, slot).alias("w")).agg(
             F.sum(value).alias("sum"), F.count(value).alias("n"), F.min(value).alias("min"),
             F.max(value).alias("max"), F.max(ts).alias("last"))
-        sums.select(*keys, F.col("w.start").alias("slot"), "sum", "n", "min", "max", "last") \
-            .write.mode("overwrite").parquet(f"{path}/batch={number}")
+        sums = sums.select(*keys, F.col("w.start").alias("slot"), "sum", "n", "min", "max", "last")
+        versions.rewrite(sums, path, by, lambda old, new: joined(old.unionByName(new)), F.to_date("slot"), number)
+        if number % tidy_every == tidy_every - 1:
+            versions.drop_unreferenced(spark, path)
 
     query = (stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{path}-state")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    if path_is_complete(spark, f"{path}/batch=0"):
-        return spark.read.parquet(path).drop("batch")
+    table = versions.read(spark, path)
+    if table is not None:
+        return table
     kinds = {"sum": "double", "n": "long", "min": stream.schema[value].dataType.simpleString(),
              "max": stream.schema[value].dataType.simpleString(), "slot": "timestamp", "last": "timestamp"}
     fields = ", ".join([f"`{k}` {stream.schema[k].dataType.simpleString()}" for k in keys]
@@ -123,129 +135,33 @@ def hours_of_partials(partials: DataFrame, keys: Sequence[str], lateness: str =
         F.when(F.col("n") == slots, F.col("_sum")).alias("hour_sum"), "n")
 
 
-def run_upsert(stream: DataFrame, keys: Sequence[str], order: str, path: str) -> DataFrame:
+def run_upsert(stream: DataFrame, keys: Sequence[str], order: str, path: str, partition: Column | None = None) -> DataFrame:
     """Merge each batch into a keyed table: the newest row per key wins, whatever the order of arrival.
 
-    Batch n writes version n below ``path`` from version n-1, so a batch that is
-    repeated after a failure writes the same version again, also in a new process.
+    ``partition`` is an expression of the keys; a batch rewrites the partitions that its keys lie in and no
+    others. Batch n makes version n of the table at ``path`` (see ``sources.versions``), so a batch that is
+    repeated after a failure changes nothing twice, also in a new process.
     """
     spark = stream.sparkSession
 
-    def version(number: int) -> str:
-        return f"{path}/v={number}"
-
     def merge(batch: DataFrame, number: int) -> None:
-        rest = [c for c in batch.columns if c not in keys]
-        merged = batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")) \
-                      .select(*keys, "_r.*")
-        if number > 0:
-            old = batch.sparkSession.read.parquet(version(number - 1))
-            seen = merged.join(old.select(*keys, F.col(order).alias("_old")), list(keys), "left")
-            fresh = seen.where(F.col("_old").isNull() | (F.col(order) >= F.col("_old"))).drop("_old")
-            merged = replace_rows(old, fresh, keys)
-        merged.write.mode("overwrite").parquet(version(number))
+        versions.merge(batch, path, keys, order, partition, number)
 
     query = (stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}-state")
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    done = 0
-    while path_is_complete(spark, version(done)):
-        done += 1
-    return spark.read.parquet(version(done - 1)) if done else spark.createDataFrame([], stream.schema)
+    table = versions.read(spark, path)
+    return spark.createDataFrame([], stream.schema) if table is None else table
 
 
 # keyed state ---------------------------------------------------------------------------------
 
-ALERT_SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField("value", T.DoubleType()),
-                             T.StructField("run_length", T.IntegerType())])
-RUN_STATE = T.StructType([T.StructField("date", T.DateType()), T.StructField("value", T.DoubleType()),
-                          T.StructField("run_length", T.IntegerType())])
-
-
-def ordered_days(rows: Iterator[pd.DataFrame], after) -> pd.DataFrame:
-    """The days of one series in a batch, in date order, without days already seen."""
-    days = pd.concat(rows, ignore_index=True).sort_values("date")
-    return days if after is None else days[days["date"] > after]
-
-
-class StuckSensor(StatefulProcessor):
-    """Alert on every day from the ``min_run``-th identical consecutive value of a series on."""
-
-    def __init__(self, keys: Sequence[str], min_run: int = C.PERSISTENCE_RUN):
-        self.keys, self.min_run = list(keys), min_run
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", RUN_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, value, length = self.state.get() if self.state.exists() else (None, None, 0)
-        alerts = []
-        for date, v in ordered_days(rows, last)[["date", "value"]].itertuples(index=False):
-            missing = pd.isna(v)
-            length = 0 if missing else length + 1 if v == value else 1
-            last, value = date, None if missing else float(v)
-            if length >= self.min_run:
-                alerts.append((date, value, length))
-        if last is not None:
-            self.state.update((last, value, length))
-        out = pd.DataFrame(alerts, columns=["date", "value", "run_length"])
-        for name, part in zip(reversed(self.keys), reversed(key)):
-            out.insert(0, name, part)
-        yield out
-
-    def close(self) -> None:
-        pass
-
-
-STATE_SCHEMA = T.StructType([T.StructField("date", T.DateType()), T.StructField("api", T.DoubleType()),
-                             T.StructField("bucket_S", T.DoubleType()),
-                             T.StructField("bucket_Q", T.DoubleType())])
-CATCHMENT_STATE = T.StructType([T.StructField("date", T.DateType()), T.StructField("api", T.DoubleType()),
-                                T.StructField("storage", T.DoubleType())])
-
-
-class CatchmentState(StatefulProcessor):
-    """Antecedent index and soil bucket of a site, carried from batch to batch."""
-
-    def __init__(self, keys: Sequence[str], decay: float = C.API_DECAY, s_max: float = C.BUCKET_S_MAX):
-        self.keys, self.decay, self.s_max = list(keys), decay, s_max
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("catchment", CATCHMENT_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last, api, storage = self.state.get() if self.state.exists() else (None, 0.0, self.s_max / 2)
-        out = []
-        for date, rain, et in ordered_days(rows, last)[["date", "rain", "et"]].itertuples(index=False):
-            rain, et = (0.0 if pd.isna(v) else v for v in (rain, et))  # as in the batch operator
-            level = storage + rain - et
-            api, storage, last = self.decay * api + rain, min(max(level, 0.0), self.s_max), date
-            out.append((date, api, storage, max(level - self.s_max, 0.0)))
-        if last is not None:
-            self.state.update((last, api, storage))
-        frame = pd.DataFrame(out, columns=["date", "api", "bucket_S", "bucket_Q"])
-        for name, part in zip(reversed(self.keys), reversed(key)):
-            frame.insert(0, name, part)
-        yield frame
-
-    def close(self) -> None:
-        pass
-
-
-def with_state(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor,
-               result: T.StructType) -> DataFrame:
-    """Run a keyed processor over a stream of daily rows (one row per key and date)."""
-    spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
-    fields = [T.StructField(k, stream.schema[k].dataType) for k in keys]
-    return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T.StructType([*fields, *result.fields]),
-        outputMode="Append", timeMode="None")
-
-
-def stuck_sensor_alerts(days: DataFrame, keys: Sequence[str], min_run: int = C.PERSISTENCE_RUN) -> DataFrame:
-    return with_state(days, keys, StuckSensor(keys, min_run), ALERT_SCHEMA)
+def stuck_sensor_alerts(days: DataFrame, keys: Sequence[str], min_run: int = C.PERSISTENCE_RUN,
+                        keep_days: int = KEEP_DAYS) -> DataFrame:
+    """Alerts on runs of identical values (one row per key and date in), corrected when days come late."""
+    return replayed(days, keys, stuck_sensor(min_run), keep_days)
 
 
-def catchment_states(days: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return with_state(days, keys, CatchmentState(keys), STATE_SCHEMA)
+def catchment_states(days: DataFrame, keys: Sequence[str], keep_days: int = KEEP_DAYS) -> DataFrame:
+    """Antecedent index and soil bucket of each site and day, corrected when days come late."""
+    return replayed(days, keys, catchment(), keep_days)
