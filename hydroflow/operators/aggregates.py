@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from hydroflow import config as C
 from hydroflow.functions.scalars import m3s_to_m3day, slot_radiation_to_MJ
-from hydroflow.operators.ranks import exact_quantiles, ordered_counts, with_key_table
+from hydroflow.operators.ranks import beside_key_table, ordered_counts, profile
+from hydroflow.session import write_and_read
 
 
 # readings -> days ------------------------------------------------------------
@@ -165,22 +166,20 @@ def date_coverage(df: DataFrame, keys: Sequence[str], date: str, value: str) ->
 
 
 def column_profile(long: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Count, moments, extremes and exact quartiles per key, of any group size.
+    """Count, moments, extremes and exact quartiles per key, of any group size, in one reading of the rows.
 
     Skew and excess kurtosis are the unbiased estimators.
     """
-    present = long.where(F.col(value).isNotNull())
-    n = F.col("n").cast("double")
-    moments = present.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"),
-        F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2"))
-    skew = F.col("_g1") * F.sqrt(n * (n - 1)) / (n - 2)
-    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_g2") + 6)
-    moments = (moments.withColumn("skew", F.when(n > 2, skew))
-               .withColumn("kurt", F.when(n > 3, kurt)).drop("_g1", "_g2"))
-    quartiles = exact_quantiles(present, keys, value, {"p25": 0.25, "median": 0.5, "p75": 0.75})
-    return moments.join(quartiles, list(keys))
+    found = profile(long, keys, value, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    n, m2 = F.col("n").cast("double"), F.col("m2")
+    g1 = F.col("m3") / F.pow(m2, F.lit(1.5))
+    g2 = F.col("m4") / (m2 * m2) - 3
+    skew = g1 * F.sqrt(n * (n - 1)) / (n - 2)
+    kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
+    varies = m2 > 0
+    return found.select(
+        *keys, "n", "mean", F.when(n > 1, F.sqrt(m2 * n / (n - 1))).alias("std"), "min", "max",
+        F.when(varies & (n > 2), skew).alias("skew"), F.when(varies & (n > 3), kurt).alias("kurt"), "p25", "median", "p75")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (),
@@ -214,29 +213,34 @@ def pair_trend(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 # distributions ------------------------------------------------------------------------
 
 def histogram(long: DataFrame, keys: Sequence[str], value: str, bins: int = 40) -> DataFrame:
-    """Density histogram with ``bins`` equal bins from minimum to maximum per key."""
-    present = long.where(F.col(value).isNotNull())
+    """Density histogram with ``bins`` equal bins from minimum to maximum per key: one pass for the span, one for the bins."""
+    present = long.select(*keys, value).where(F.col(value).isNotNull())
     span = present.groupBy(*keys).agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(value).alias("_n"))
-    span = span.withColumn("_w", F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(bins)),
-                                            F.lit(1e-9)))
+    span = write_and_read(span.withColumn("_w", F.greatest((F.col("_hi") - F.col("_lo")) / F.lit(float(bins)),
+                                                           F.lit(1e-9))), "spans")
     place = F.least(F.floor((F.col(value) - F.col("_lo")) / F.col("_w")), F.lit(bins - 1))
-    counted = (with_key_table(present, span, keys, "_n").withColumn("bin", place.cast("int"))
+    counted = (beside_key_table(present, span, keys, "_n", value).withColumn("bin", place.cast("int"))
                .groupBy(*keys, "bin", "_lo", "_w", "_n").agg(F.count(F.lit(1)).alias("n")))
     return counted.select(
         *keys, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_start"), "n",
         (F.col("n") / (F.col("_n") * F.col("_w"))).alias("density"))
 
 
+#: Terms of the kernel's series; with values at most half a bandwidth from their cell's centre the next is below 1e-15.
+KERNEL_TERMS = 20
+
+
 def density(long: DataFrame, keys: Sequence[str], value: str, points: int = 300,
             min_values: int = 5) -> DataFrame:
     """Gaussian kernel density on an even grid per key, bandwidth 1.06 sd n^-0.2.
 
-    Equal values are counted first; a distinct value then adds only to the grid
-    points within 39 bandwidths, past which a double kernel is zero. The partial
-    sums leave each task as at most ``points`` rows per key.
+    After one pass for the statistics, rows are summed to cells of one bandwidth: each cell keeps the sums of the
+    powers of its values' distance from its centre, made where the rows are. A cell's kernel sum at a grid point is
+    a Hermite series of these sums, exact to the last digits of a double, so grid points are met by cells and not
+    by rows. A cell adds to points within 39 bandwidths, past which a double kernel is zero.
     """
-    present = long.where(F.col(value).isNotNull())
+    present = long.select(*keys, value).where(F.col(value).isNotNull())
     stats = present.groupBy(*keys).agg(
         F.count(value).alias("_n"), F.stddev_pop(value).alias("_sd"),
         F.min(value).alias("_min"), F.max(value).alias("_max")).where(F.col("_n") >= min_values)
@@ -245,26 +249,33 @@ def density(long: DataFrame, keys: Sequence[str], value: str, points: int = 300,
     stats = (stats.withColumn("_lo", F.col("_min") - 3 * F.col("_h"))
              .withColumn("_step", (F.col("_max") - F.col("_min") + 6 * F.col("_h"))
                          / F.lit(float(points - 1))))
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    x, h = F.col(value), F.col("_h")
-    first = F.greatest(F.ceil((x - 39 * h - F.col("_lo")) / F.col("_step")), F.lit(0))
-    last = F.least(F.floor((x + 39 * h - F.col("_lo")) / F.col("_step")), F.lit(points - 1))
-    spread = (with_key_table(counts, stats, keys, "_n")
-              .withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-              .withColumn("x", F.col("_lo") + F.col("point") * F.col("_step")))
-    kernel = F.col("_c") * F.exp(F.lit(-0.5) * F.pow((F.col("x") - x) / h, F.lit(2.0)))
+    stats = write_and_read(stats.select(*keys, "_n", "_h", "_lo", "_step"), "kernels")
+    place = (F.col(value) - F.col("_lo")) / F.col("_h")
+    rows = beside_key_table(present, stats, keys, "_n", value).select(
+        *keys, "_n", "_h", "_lo", "_step", F.floor(place).alias("_cell"), (place - F.floor(place) - 0.5).alias("_u1"))
+    for p in range(2, KERNEL_TERMS):
+        rows = rows.withColumn(f"_u{p}", F.col(f"_u{p // 2}") * F.col(f"_u{p - p // 2}"))
+    cells = rows.groupBy(*keys, "_n", "_h", "_lo", "_step", "_cell").agg(
+        F.count(F.lit(1)).cast("double").alias("_m0"), *[F.sum(f"_u{p}").alias(f"_m{p}") for p in range(1, KERNEL_TERMS)])
+    centre = F.col("_lo") + (F.col("_cell") + 0.5) * F.col("_h")
+    first = F.greatest(F.ceil((centre - 40 * F.col("_h") - F.col("_lo")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((centre + 40 * F.col("_h") - F.col("_lo")) / F.col("_step")), F.lit(points - 1))
+    met = (cells.withColumn("point", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+           .withColumn("x", F.col("_lo") + F.col("point") * F.col("_step"))
+           .withColumn("_v", (F.col("x") - centre) / F.col("_h"))
+           .withColumn("_e0", F.exp(F.lit(-0.5) * F.col("_v") * F.col("_v"))).withColumn("_e1", F.col("_v") * F.col("_e0")))
+    series = F.col("_m0") * F.col("_e0") + F.col("_m1") * F.col("_e1")
+    for p in range(2, KERNEL_TERMS):  # Hermite functions over p!, each from the two before
+        met = met.withColumn(f"_e{p}", (F.col("_v") * F.col(f"_e{p - 1}") - F.col(f"_e{p - 2}")) / F.lit(float(p)))
+        series = series + F.col(f"_m{p}") * F.col(f"_e{p}")
     area = F.first("_n") * F.first("_h") * F.lit(math.sqrt(2 * math.pi))
-    return spread.groupBy(*keys, "point").agg(F.first("x").alias("x"),
-                                              (F.sum(kernel) / area).alias("density"))
+    return met.groupBy(*keys, "point").agg(F.first("x").alias("x"), (F.sum(series) / area).alias("density"))
 
 
 def box(long: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Quartiles with mean and population standard deviation, for groups of any size."""
-    base = long.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"),
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    return base.join(exact_quantiles(long, keys, value, {"q1": .25, "median": .5, "q3": .75}),
-                     list(keys))
+    """Quartiles with mean and population standard deviation, for groups of any size, in one reading of the rows."""
+    found = profile(long, keys, value, {"q1": .25, "median": .5, "q3": .75})
+    return found.select(*keys, "min", "max", "mean", F.sqrt("m2").alias("sd"), "q1", "median", "q3")
 
 
 def top_counts(df: DataFrame, keys: Sequence[str], top: int) -> DataFrame:

@@ -163,6 +163,74 @@ def test_a_hot_key_is_not_shuffled_to_meet_its_statistics(spark, monkeypatch):
     assert "BroadcastHashJoin [k" in plan and "LeftAnti, BuildRight" in plan
 
 
+def in_slices(monkeypatch):
+    monkeypatch.setattr(ranks, "SLICE_ROWS", 16)
+    monkeypatch.setattr(ranks, "SAMPLE_ROWS", 4)
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_ranks_quantiles_and_profiles_do_not_depend_on_slices(spark, monkeypatch, cut):
+    if cut:
+        in_slices(monkeypatch)
+    pdf = scores(spark)
+    pdf.loc[::50, "k"] = None
+    pdf.loc[1::97, "v"] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "k string, v double, y boolean")
+    shares = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.901, "e": 1.0}
+    quantiles = {r.k: r for r in ranks.exact_quantiles(df, ["k"], "v", shares).collect()}
+    profiles = {r.k: r for r in ranks.profile(df, ["k"], "v", shares).collect()}
+    counts = {(r.k, r.v): r for r in ranks.ordered_counts(df, ["k"], "v").collect()}
+    assert len(quantiles) == len(profiles) == 3
+    for k in ("hot", "cold", None):
+        v = pdf[pdf.k.isna() if k is None else pdf.k == k].v.dropna()
+        np.testing.assert_allclose(list(quantiles[k])[1:], np.quantile(v, list(shares.values())))
+        p, gap = profiles[k], v - v.mean()
+        np.testing.assert_allclose([p[c] for c in shares], np.quantile(v, list(shares.values())))
+        np.testing.assert_allclose([p.n, p["mean"], p["min"], p["max"], p.m2, p.m3, p.m4], [
+            len(v), v.mean(), v.min(), v.max(), (gap ** 2).mean(), (gap ** 3).mean(), (gap ** 4).mean()], rtol=1e-9)
+        for x, n in v.value_counts().items():
+            assert (counts[k, x].n, counts[k, x].n_below, counts[k, x].n_total) == (n, (v < x).sum(), len(v))
+
+
+def test_a_cut_key_is_ranked_in_slices_and_its_source_is_read_once(spark, monkeypatch, tmp_path):
+    in_slices(monkeypatch)
+    path = str(tmp_path / "scores")
+    spark.createDataFrame(scores(spark)).write.parquet(path)
+    ranked = ranks.ordered_counts(spark.read.parquet(path), ["k"], "v")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "/scores" not in plan  # the counts are written, the source is not read again
+    windows = [line for line in plan.split("\n") if "hashpartitioning(k" in line and "_slice" in line]
+    assert plan.count("Exchange hashpartitioning") <= 3 and windows
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # a few rows would share a task
+    try:
+        sizes = ranked.groupBy("k", F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len([r for r in sizes if r.k == "hot"]) > 1
+
+
+def test_density_equals_the_plain_kernel_sum(spark):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 700, p=[.9, .1]), "v": np.where(rng.random(700) < .3, 4.0, rng.gamma(2, 30, 700))})
+    got = A.density(spark.createDataFrame(pdf), ["k"], "v").toPandas()
+    for k, part in pdf.groupby("k"):
+        v, mine = part.v.values, got[got.k == k].sort_values("point")
+        h = 1.06 * v.std() * len(v) ** -0.2
+        x = v.min() - 3 * h + np.arange(300) * (v.max() - v.min() + 6 * h) / 299
+        want = np.exp(-0.5 * ((x[:, None] - v) / h) ** 2).sum(axis=1) / (len(v) * h * np.sqrt(2 * np.pi))
+        np.testing.assert_allclose(mine.x, x)
+        np.testing.assert_allclose(mine.density, want, rtol=1e-9, atol=1e-14)
+
+
+def test_histogram_and_density_read_their_rows_twice(spark, tmp_path):
+    path = str(tmp_path / "values")
+    spark.createDataFrame(scores(spark)).write.parquet(path)
+    df = spark.read.parquet(path)
+    for made in (A.histogram(df, ["k"], "v"), A.density(df, ["k"], "v")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("/values") == 1  # once more than for the written statistics
+
+
 def test_average_ranks_equal_pandas(spark):
     pdf = scores(spark)
     got = ranks.ordered_counts(spark.createDataFrame(pdf), ["k"], "v").withColumn(
