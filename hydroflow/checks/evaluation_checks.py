@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from hydroflow import config as C
 from hydroflow.checks import views as V
 from hydroflow.checks.fits_checks import (
-    DAYS, TEST_YEARS, daily_levels, days, harmonic_sql, rates_sql, value_sql)
+    DAYS, TEST_YEARS, clear_sql, daily_levels, days, harmonic_sql, rates_sql, value_sql)
 from hydroflow.checks.models_checks import SMALL, TRAIN_FROM
 from hydroflow.checks.registry import query
 from hydroflow.checks.scalars_checks import RA
@@ -83,20 +83,27 @@ def evl_3(spark, d):
 # long range -----------------------------------------------------------------------------
 
 HS = f"0.0023 * 0.408 * {RA} * ((temp_max_C + temp_min_C) / 2 + 17.8) * sqrt(greatest(temp_max_C - temp_min_C, 0))"
-FOLD_SQL = DAYS[:-1] + ", " + ", ".join([
-    "wf AS (SELECT *, CAST(unnest([1999, 2000]) AS INT) AS fold FROM weather)",
-    harmonic_sql("h", "wf", "dtr", "site, fold", "year(date) < fold AND year(date) >= 1995"),
-    harmonic_sql("t", "wf", "temp_max_C", "site, fold", "year(date) < fold AND year(date) >= 1995"),
-    f"""clear AS (SELECT h.site, h.fold, any_value(h.c0) + quantile_cont(dtr - {value_sql('h')}, 0.9) AS c0,
-        any_value(h.c1) AS c1, any_value(h.c2) AS c2 FROM wf w JOIN h ON w.site = h.site AND w.fold = h.fold
-        WHERE year(date) < w.fold AND year(date) >= 1995 GROUP BY h.site, h.fold)""",
-    f"""sg AS (SELECT t.site, t.fold, stddev_pop(temp_max_C - {value_sql('t')}) AS sigma FROM wf w
-        JOIN t ON w.site = t.site AND w.fold = t.fold WHERE year(date) < w.fold AND year(date) >= 1995 GROUP BY t.site, t.fold)""",
-    f"""feat AS (SELECT w.*, {HS} AS et0_hs,
-        1 - least(greatest(sqrt(dtr) / sqrt(greatest({value_sql('clear')}, 1e-9)), 0), 1) AS cloud_index,
-        (temp_max_C - {value_sql('t')}) / sigma AS tmax_anom_z
-        FROM wf w JOIN clear ON w.site = clear.site AND w.fold = clear.fold JOIN t ON w.site = t.site AND w.fold = t.fold
-        JOIN sg ON w.site = sg.site AND w.fold = sg.fold)"""]) + " "
+SEEN = "year(date) < fold AND year(date) >= 1995"
+FEATURES = "et0_hs cloud_index tmax_anom_z"
+
+
+def fold_sql(k: int) -> str:
+    """Daily features per fold, their references fitted with ``k`` harmonics on the train years."""
+    normal = value_sql("t", harmonics=k)
+    return DAYS[:-1] + ", " + ", ".join([
+        "wf AS (SELECT *, CAST(unnest([1999, 2000]) AS INT) AS fold FROM weather)",
+        harmonic_sql("h", "wf", "dtr", "site, fold", SEEN, k), harmonic_sql("t", "wf", "temp_max_C", "site, fold", SEEN, k),
+        clear_sql("wf", ("site", "fold"), "year(date) < w.fold AND year(date) >= 1995", k),
+        f"""sg AS (SELECT t.site, t.fold, stddev_pop(temp_max_C - {normal}) AS sigma FROM wf w
+            JOIN t ON w.site = t.site AND w.fold = t.fold WHERE year(date) < w.fold AND year(date) >= 1995 GROUP BY t.site, t.fold)""",
+        f"""feat AS (SELECT w.*, {HS} AS et0_hs,
+            1 - least(greatest(sqrt(dtr) / sqrt(greatest({value_sql('clear', harmonics=k)}, 1e-9)), 0), 1) AS cloud_index,
+            (temp_max_C - {normal}) / sigma AS tmax_anom_z
+            FROM wf w JOIN clear ON w.site = clear.site AND w.fold = clear.fold JOIN t ON w.site = t.site AND w.fold = t.fold
+            JOIN sg ON w.site = sg.site AND w.fold = sg.fold)"""]) + " "
+
+
+FOLD_SQL = fold_sql(1)
 
 
 def long_days(spark, d, harmonics=1):
@@ -110,6 +117,12 @@ def fit_12(spark, d):
     return long_days(spark, d).select("site", "fold", "date", "et0_hs", "cloud_index", "tmax_anom_z")
 
 
+@query("fit_12_training_only_references_three_harmonics", fold_sql(3) + "SELECT site, fold, date, et0_hs, cloud_index, tmax_anom_z FROM feat",
+       FEATURES)
+def fit_12b(spark, d):
+    return long_days(spark, d, 3).select("site", "fold", "date", *FEATURES.split())
+
+
 def samples(spark, d, harmonics=1):
     lake = long_days(spark, d, harmonics).withColumns({
         "volume_Mm3": F.col("level_m") * 300 + 67000, "season_sin": F.sin(F.col("doy") / 58.0),
@@ -118,7 +131,7 @@ def samples(spark, d, harmonics=1):
     return L.change_samples(L.mark_anchors(lake), L.FOLD)
 
 
-SAMPLES_SQL = FOLD_SQL + """, marked AS (SELECT *, level_m * 300 + 67000 AS v,
+SAMPLES_OF = """, marked AS (SELECT *, level_m * 300 + 67000 AS v,
         row_number() OVER (PARTITION BY site, fold, year(date) < fold ORDER BY date) AS k_train,
         row_number() OVER (PARTITION BY site, fold, year(date) ORDER BY date) AS k_test FROM feat),
     ahead AS (SELECT *, """ + ", ".join(
@@ -131,6 +144,7 @@ SAMPLES_SQL = FOLD_SQL + """, marked AS (SELECT *, level_m * 300 + 67000 AS v,
         tmax_anom_z_{h} AS mean_tmax_anom_z, et0_hs_{h} AS mean_et0_hs, v{h} - v AS target FROM ahead
         WHERE v{h} IS NOT NULL AND ((year(date) < fold AND k_train % 2 = 1) OR (year(date) = fold AND k_test % 7 = 1))"""
     for h in C.LEADS) + ") "
+SAMPLES_SQL = FOLD_SQL + SAMPLES_OF
 MEANS = "mean_cloud_index mean_dtr mean_tmax_anom_z mean_et0_hs target"
 
 
@@ -141,22 +155,40 @@ def evl_4(spark, d):
     return samples(spark, d).where("test_anchor").select("site", "fold", "date", "horizon_h", *MEANS.split())
 
 
-CLIM_SQL = SAMPLES_SQL + ", " + harmonic_sql("cl", "samples", "target", "site, fold, horizon_h", "train_anchor") + f"""
-    , scored AS (SELECT s.*, {value_sql('cl')} AS pred_clim, target * 0.9 AS pred_base, target * 0.8 + 1 AS pred_temp,
+@query("evl_4_change_samples_all_anchors", fold_sql(3) + SAMPLES_OF + f"""
+    SELECT site, fold, date, CAST(horizon_h AS DOUBLE) AS horizon_h, train_anchor, test_anchor, {', '.join(MEANS.split())} FROM samples""",
+       "horizon_h " + MEANS)
+def evl_4b(spark, d):
+    return samples(spark, d, 3).select("site", "fold", "date", "horizon_h", "train_anchor", "test_anchor", *MEANS.split())
+
+
+def clim_sql(k: int, k_lead: int) -> str:
+    return fold_sql(k) + SAMPLES_OF + ", " + harmonic_sql("cl", "samples", "target", "site, fold, horizon_h", "train_anchor", k_lead) + f"""
+    , scored AS (SELECT s.*, {value_sql('cl', harmonics=k_lead)} AS pred_clim, target * 0.9 AS pred_base, target * 0.8 + 1 AS pred_temp,
         target * 0.7 + mean_dtr AS pred_tempbucket FROM samples s
         JOIN cl ON s.site = cl.site AND s.fold = cl.fold AND s.horizon_h = cl.horizon_h WHERE test_anchor)"""
 
 
+CLIM_SQL = clim_sql(1, 1)
+LEAD_CLIMATE = "SELECT site, fold, date, CAST(horizon_h AS DOUBLE) AS horizon_h, pred_clim FROM scored"
+
+
 def with_climatology(spark, d):
     return L.climatology_predictor(samples(spark, d), harmonics=1).where("test_anchor")
 
 
-@query("evl_5_lead_climatology", CLIM_SQL + """
-    SELECT site, fold, date, CAST(horizon_h AS DOUBLE) AS horizon_h, pred_clim FROM scored""", "horizon_h pred_clim")
+@query("evl_5_lead_climatology", CLIM_SQL + LEAD_CLIMATE, "horizon_h pred_clim")
 def evl_5(spark, d):
     return with_climatology(spark, d).select("site", "fold", "date", "horizon_h", "pred_clim")
 
 
+@query("evl_5_lead_climatology_as_published", clim_sql(3, 2) + LEAD_CLIMATE, "horizon_h pred_clim")
+def evl_5b(spark, d):
+    """References with three harmonics, the normal of a lead with two."""
+    made = L.climatology_predictor(samples(spark, d, 3)).where("test_anchor")
+    return made.select("site", "fold", "date", "horizon_h", "pred_clim")
+
+
 def skill_sql(lead, where):
     se = {p: f"avg((target - pred_{p}) ** 2)" for p in ("clim", "base", "temp", "tempbucket")}
     return f"""SELECT {lead} AS lead, CASE WHEN month(date) IN (11, 12, 1, 2, 3) THEN 'wet' ELSE 'dry' END AS season,
@@ -241,12 +273,12 @@ def evl_9(spark, d):
     return A.roc_auc(scored, ["lang"], "score", "quality")
 
 
-@query("evl_10_premise", DAYS[:-1] + ", " + ", ".join([
-    harmonic_sql("h", "weather", "dtr"), harmonic_sql("t", "weather", "temp_max_C"),
-    f"""clear AS (SELECT h.site, any_value(h.c0) + quantile_cont(dtr - {value_sql('h')}, 0.9) AS c0,
-        any_value(h.c1) AS c1, any_value(h.c2) AS c2 FROM weather w JOIN h ON w.site = h.site GROUP BY h.site)""",
-    f"""sc AS (SELECT w.site, date, rainfall_mm, 1 - least(greatest(sqrt(dtr) / sqrt(greatest({value_sql('clear')}, 1e-9)), 0), 1) AS ci,
-        temp_max_C - {value_sql('t')} AS resid FROM weather w JOIN clear ON w.site = clear.site JOIN t ON w.site = t.site)""",
+def premise_sql(k: int) -> str:
+    return (DAYS[:-1] + ", " + ", ".join([
+    harmonic_sql("h", "weather", "dtr", harmonics=k), harmonic_sql("t", "weather", "temp_max_C", harmonics=k),
+    clear_sql("weather", harmonics=k),
+    f"""sc AS (SELECT w.site, date, rainfall_mm, 1 - least(greatest(sqrt(dtr) / sqrt(greatest({value_sql('clear', harmonics=k)}, 1e-9)), 0), 1) AS ci,
+        temp_max_C - {value_sql('t', harmonics=k)} AS resid FROM weather w JOIN clear ON w.site = clear.site JOIN t ON w.site = t.site)""",
     """z AS (SELECT site, month(date) IN (11, 12, 1, 2, 3) AS season, rainfall_mm, ci,
         CAST(rainfall_mm > 1 AS INT) AS wet, round(ci - 0.5 * resid / stddev_pop(resid) OVER (PARTITION BY site), 12) AS score FROM sc)"""])
     + """, ranks AS (SELECT *, rank() OVER (PARTITION BY site ORDER BY score) + (count(*) OVER (PARTITION BY site, score) - 1) / 2.0 AS rk FROM z),
@@ -255,12 +287,22 @@ def evl_9(spark, d):
     s AS (SELECT site, (sum(rk) FILTER (WHERE wet = 1) - sum(wet) * (sum(wet) + 1) / 2) / nullif(sum(wet) * (count(*) - sum(wet)), 0) AS auc,
                  corr(ci, rainfall_mm) AS c FROM ws GROUP BY ALL)
     SELECT o.site, o.auc AS overall_auc, s.auc AS wet_season_auc, c AS wet_season_cloud_rain_corr, 0.6::DOUBLE AS auc_threshold,
-           CASE WHEN s.auc >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM o JOIN s ON o.site = s.site""",
-    "overall_auc wet_season_auc wet_season_cloud_rain_corr auc_threshold")
+           CASE WHEN s.auc >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM o JOIN s ON o.site = s.site""")
+
+
+PREMISE = "overall_auc wet_season_auc wet_season_cloud_rain_corr auc_threshold"
+
+
+@query("evl_10_premise", premise_sql(1), PREMISE)
 def evl_10(spark, d):
     return L.premise(days(spark, d), harmonics=1)
 
 
+@query("evl_10_premise_three_harmonics", premise_sql(3), PREMISE)
+def evl_10b(spark, d):
+    return L.premise(days(spark, d))
+
+
 @query("evl_11_hindcast", V.with_views(V.ENSEMBLE_SQL, V.LEVELS_SQL) + """
     , m AS (SELECT model AS site, date, quantile_cont(tmax, 0.5) AS level_pred FROM ensemble WHERE year(date) <= 2000 GROUP BY ALL)
     SELECT m.site, sqrt(avg((level_pred - level_m) ** 2)) AS rmse_m, corr(level_pred, level_m) AS corr, count(*) AS n_days

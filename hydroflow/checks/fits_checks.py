@@ -1,7 +1,7 @@
 """FIT-1 .. FIT-13 on the driver tables.
 
-The SQL twins fit one harmonic (a 3x3 system written out as determinants); the
-three-harmonic fits of the same functions are compared with numpy in the tests.
+The SQL twins of one harmonic write a 3x3 system out as determinants; those of three eliminate the 7x7 system
+column by column, one table after the other.
 """
 
 from __future__ import annotations
@@ -29,8 +29,10 @@ def solve3(gram, right, names):
                      f" / ({whole}) AS {n}" for i, n in enumerate(names))
 
 
-def harmonic_sql(name: str, source: str, y: str, keys: str = "site", where: str = "true") -> str:
-    """CTE ``name``(keys, c0, c1, c2): the one-harmonic least-squares fit of ``y`` on doy."""
+def harmonic_sql(name: str, source: str, y: str, keys: str = "site", where: str = "true", harmonics: int = 1) -> str:
+    """CTE ``name``(keys, c0, c1, c2 ...): the least-squares fit of ``y`` on doy."""
+    if harmonics > 1:
+        return eliminated(name, source, y, keys, where, harmonics)
     gram = [["n", "c", "s"], ["c", "cc", "cs"], ["s", "cs", "ss"]]
     return f"""{name}_sums AS (SELECT {keys}, count(y) AS n, sum(c) AS c, sum(s) AS s, sum(c * c) AS cc, sum(c * s) AS cs,
             sum(s * s) AS ss, sum(y) AS y, sum(c * y) AS cy, sum(s * y) AS sy
@@ -39,10 +41,39 @@ def harmonic_sql(name: str, source: str, y: str, keys: str = "site", where: str
     {name} AS (SELECT {keys}, n AS n_fitted, {solve3(gram, ['y', 'cy', 'sy'], ('c0', 'c1', 'c2'))} FROM {name}_sums)"""
 
 
-def value_sql(alias: str, doy: str = "doy") -> str:
+def waves(doy: str, harmonics: int) -> list[str]:
+    return ["1.0::DOUBLE"] + [f"{f}({2 * k} * pi() * {doy} / 365)" for k in range(1, harmonics + 1) for f in ("cos", "sin")]
+
+
+def eliminated(name: str, source: str, y: str, keys: str, where: str, harmonics: int) -> str:
+    """``harmonic_sql`` by Gauss-Jordan elimination: table p has column p of the normal equations cleared."""
+    size = 2 * harmonics + 1
+    rows = ", ".join(f"{w} AS b{i}" for i, w in enumerate(waves("doy", harmonics)))
+    cells = [f"sum(b{i} * {f'b{j}' if j < size else 'y'}) AS a{i}_{j}" for i in range(size) for j in range(size + 1)]
+    out = [f"""{name}_0 AS (SELECT {keys}, count(*) AS n_fitted, {', '.join(cells)}
+        FROM (SELECT {keys}, {rows}, {y} AS y FROM {source} WHERE {where}) WHERE y IS NOT NULL GROUP BY {keys})"""]
+    for p in range(size):
+        cells = [f"a{p}_{j} / a{p}_{p} AS a{i}_{j}" if i == p else f"a{i}_{j} - a{i}_{p} / a{p}_{p} * a{p}_{j} AS a{i}_{j}"
+                 for i in range(size) for j in range(p + 1, size + 1)]
+        out.append(f"{name}_{p + 1} AS (SELECT {keys}, n_fitted, {', '.join(cells)} FROM {name}_{p})")
+    last = ", ".join(f"a{i}_{size} AS c{i}" for i in range(size))
+    return ", ".join([*out, f"{name} AS (SELECT {keys}, n_fitted, {last} FROM {name}_{size})"])
+
+
+def value_sql(alias: str, doy: str = "doy", harmonics: int = 1) -> str:
+    if harmonics > 1:
+        return "(" + " + ".join(f"{alias}.c{i} * {w}" for i, w in enumerate(waves(doy, harmonics))) + ")"
     return f"({alias}.c0 + {alias}.c1 * cos(2 * pi() * {doy} / 365) + {alias}.c2 * sin(2 * pi() * {doy} / 365))"
 
 
+def clear_sql(source: str, keys: tuple[str, ...] = ("site",), where: str = "true", harmonics: int = 1, fit: str = "h", name: str = "clear") -> str:
+    """CTE ``name``: the fit raised by the 0.9 quantile of its residuals."""
+    own, same = ", ".join(f"{fit}.{k}" for k in keys), " AND ".join(f"w.{k} = {fit}.{k}" for k in keys)
+    rest = ", ".join(f"any_value({fit}.c{i}) AS c{i}" for i in range(1, 2 * harmonics + 1))
+    return f"""{name} AS (SELECT {own}, any_value({fit}.c0) + quantile_cont(dtr - {value_sql(fit, 'doy', harmonics)}, 0.9) AS c0, {rest}
+        FROM {source} w JOIN {fit} ON {same} WHERE {where} GROUP BY {own})"""
+
+
 def days(spark, d):
     return V.weather(spark, d).withColumn("dtr", F.col("temp_max_C") - F.col("temp_min_C")) \
             .withColumn("et0_mm", F.col("radiation_MJm2") / 4)
@@ -80,10 +111,14 @@ def fit_2(spark, d):
     return fit.select("site", "n_fitted", *coefficients(fit, "c0", "c1", "c2"))
 
 
-@query("fit_2_three_harmonics")
+SEVEN = [f"c{i}" for i in range(7)]
+
+
+@query("fit_2_three_harmonics", V.with_views(V.WEATHER_SQL, harmonic_sql("h", "weather", "temp_max_C", harmonics=3))
+       + f"SELECT site, {', '.join(SEVEN)} FROM h", " ".join(SEVEN))
 def fit_2b(spark, d):
     fit = T.fit_harmonic(V.weather(spark, d), SITE, "doy", "temp_max_C", 3)
-    return fit.select("site", *coefficients(fit, *[f"c{i}" for i in range(7)]))
+    return fit.select("site", *coefficients(fit, *SEVEN))
 
 
 @query("fit_3_anomaly", V.with_views(V.WEATHER_SQL, harmonic_sql("h", "weather", "temp_max_C")) + f"""
@@ -95,6 +130,28 @@ def fit_3(spark, d):
     return T.anomaly(df, SITE, "doy", "temp_max_C", fit, harmonics=1).select("site", "date", "anomaly_z")
 
 
+@query("fit_3_anomaly_three_harmonics", V.with_views(V.WEATHER_SQL, harmonic_sql("h", "weather", "temp_max_C", harmonics=3)) + f"""
+    , r AS (SELECT w.site, w.date, temp_max_C - {value_sql('h', harmonics=3)} AS resid FROM weather w JOIN h ON w.site = h.site)
+    SELECT site, date, resid / stddev_pop(resid) OVER (PARTITION BY site) AS anomaly_z FROM r""", "anomaly_z")
+def fit_3b(spark, d):
+    df = V.weather(spark, d)
+    fit = T.fit_harmonic(df, SITE, "doy", "temp_max_C")
+    return T.anomaly(df, SITE, "doy", "temp_max_C", fit).select("site", "date", "anomaly_z")
+
+
+@query("fit_4_seasonal_anomaly_three_harmonics", V.with_views(
+    V.WEATHER_SQL, harmonic_sql("h", "weather", "temp_max_C", harmonics=3),
+    f"r AS (SELECT w.site, w.date, w.doy, temp_max_C - {value_sql('h', harmonics=3)} AS resid FROM weather w JOIN h ON w.site = h.site)",
+    harmonic_sql("v", "r", "resid * resid", harmonics=3)) + f"""
+    SELECT r.site, date, resid / sqrt(greatest({value_sql('v', harmonics=3)}, 1e-9)) AS anomaly_z FROM r JOIN v ON r.site = v.site""",
+       "anomaly_z")
+def fit_4b(spark, d):
+    df = V.weather(spark, d)
+    fit = T.fit_harmonic(df, SITE, "doy", "temp_max_C")
+    spread = T.fit_variance(df, SITE, "doy", "temp_max_C", fit)
+    return T.anomaly(df, SITE, "doy", "temp_max_C", fit, variance_fit=spread).select("site", "date", "anomaly_z")
+
+
 @query("fit_4_seasonal_anomaly", V.with_views(
     V.WEATHER_SQL, harmonic_sql("h", "weather", "temp_max_C"),
     f"r AS (SELECT w.site, w.date, w.doy, temp_max_C - {value_sql('h')} AS resid FROM weather w JOIN h ON w.site = h.site)",
@@ -120,9 +177,19 @@ def fit_5(spark, d):
                                 for i in range(3)])
 
 
-CLEAR_SQL = [harmonic_sql("h", "weather", "dtr"), f"""clear AS (SELECT h.site, any_value(h.c0)
-        + quantile_cont(dtr - {value_sql('h')}, 0.9) AS c0, any_value(h.c1) AS c1, any_value(h.c2) AS c2
-        FROM weather w JOIN h ON w.site = h.site GROUP BY h.site)"""]
+@query("fit_5_rain_normals_three_harmonics", V.with_views(
+    V.WEATHER_SQL, harmonic_sql("p", "weather", "CAST(rainfall_mm > 1 AS INT)", harmonics=3),
+    harmonic_sql("a", "weather", "rainfall_mm", where="rainfall_mm > 1", harmonics=3)) + "SELECT p.site, "
+       + ", ".join(f"{n}.c{i} AS {n}{i}" for n in "pa" for i in range(7)) + " FROM p JOIN a ON p.site = a.site",
+       " ".join(f"{n}{i}" for n in "pa" for i in range(7)))
+def fit_5b(spark, d):
+    fit = T.fit_rain(V.weather(spark, d), SITE, "doy", "rainfall_mm")
+    return fit.select("site", *[F.col(c)[i].alias(f"{n}{i}") for c, n in (("p_wet", "p"), ("amount", "a"))
+                                for i in range(7)])
+
+
+CLEAR_SQL = [harmonic_sql("h", "weather", "dtr"), clear_sql("weather")]
+CLEAR_SQL_3 = [harmonic_sql("h", "weather", "dtr", harmonics=3), clear_sql("weather", harmonics=3)]
 
 
 @query("fit_6_clear_sky", DAYS[:-1] + ", " + ", ".join(CLEAR_SQL) + " SELECT * FROM clear", "c0 c1 c2")
@@ -131,28 +198,40 @@ def fit_6(spark, d):
     return fit.select("site", *coefficients(fit, "c0", "c1", "c2"))
 
 
-NORMALS = {"temp_max_clim": "temp_max_C", "temp_min_clim": "temp_min_C", "et0_clim": "et0_mm"}
+@query("fit_6_clear_sky_three_harmonics", DAYS[:-1] + ", " + ", ".join(CLEAR_SQL_3) + " SELECT * FROM clear", " ".join(SEVEN))
+def fit_6b(spark, d):
+    fit = T.fit_clear_sky(days(spark, d), SITE, "doy", "dtr")
+    return fit.select("site", *coefficients(fit, *SEVEN))
 
 
-@query("fit_7_climatology", DAYS[:-1] + ", " + ", ".join([
-    *CLEAR_SQL, *[harmonic_sql(f"f_{n}", "weather", c) for n, c in NORMALS.items()],
-    harmonic_sql("p", "weather", "CAST(rainfall_mm > 1 AS INT)"),
-    harmonic_sql("a", "weather", "rainfall_mm", where="rainfall_mm > 1"),
-    harmonic_sql("o", "weather", "outflow_m3", where="date >= DATE '1997-01-01'")])
-    + ", grid AS (SELECT site, CAST(unnest(range(1, 367)) AS INT) AS doy FROM h) SELECT g.site, g.doy, "
-    + ", ".join(f"{value_sql(f'f_{n}', 'g.doy')} AS {n}" for n in NORMALS)
-    + f""", {value_sql('h', 'g.doy')} AS dtr_clim, {value_sql('clear', 'g.doy')} AS dtr_clearsky,
-    greatest(least({value_sql('p', 'g.doy')}, 1), 0) AS p_wet_clim, greatest({value_sql('a', 'g.doy')}, 0) AS amount_clim,
-    {value_sql('o', 'g.doy')} AS outflow_clim FROM grid g JOIN h ON g.site = h.site JOIN clear ON g.site = clear.site
-    JOIN p ON g.site = p.site JOIN a ON g.site = a.site JOIN o ON g.site = o.site """
-    + " ".join(f"JOIN f_{n} ON g.site = f_{n}.site" for n in NORMALS),
-    "temp_max_clim temp_min_clim et0_clim dtr_clim dtr_clearsky p_wet_clim amount_clim outflow_clim:4")
+NORMALS = {"temp_max_clim": "temp_max_C", "temp_min_clim": "temp_min_C", "et0_clim": "et0_mm"}
+CLIMATE = "temp_max_clim temp_min_clim et0_clim dtr_clim dtr_clearsky p_wet_clim amount_clim outflow_clim:4"
+
+
+def climatology_sql(k: int) -> str:
+    def value(alias):
+        return value_sql(alias, "g.doy", k)
+    return DAYS[:-1] + ", " + ", ".join([
+        *(CLEAR_SQL if k == 1 else CLEAR_SQL_3), *[harmonic_sql(f"f_{n}", "weather", c, harmonics=k) for n, c in NORMALS.items()],
+        harmonic_sql("p", "weather", "CAST(rainfall_mm > 1 AS INT)", harmonics=k),
+        harmonic_sql("a", "weather", "rainfall_mm", where="rainfall_mm > 1", harmonics=k),
+        harmonic_sql("o", "weather", "outflow_m3", where="date >= DATE '1997-01-01'", harmonics=k)]) + \
+        ", grid AS (SELECT site, CAST(unnest(range(1, 367)) AS INT) AS doy FROM h) SELECT g.site, g.doy, " + \
+        ", ".join(f"{value(f'f_{n}')} AS {n}" for n in NORMALS) + \
+        f""", {value('h')} AS dtr_clim, {value('clear')} AS dtr_clearsky,
+        greatest(least({value('p')}, 1), 0) AS p_wet_clim, greatest({value('a')}, 0) AS amount_clim,
+        {value('o')} AS outflow_clim FROM grid g JOIN h ON g.site = h.site JOIN clear ON g.site = clear.site
+        JOIN p ON g.site = p.site JOIN a ON g.site = a.site JOIN o ON g.site = o.site """ + \
+        " ".join(f"JOIN f_{n} ON g.site = f_{n}.site" for n in NORMALS)
+
+
+@query("fit_7_climatology", climatology_sql(1), CLIMATE)
 def fit_7(spark, d):
     df = days(spark, d)
     return T.climatology(df, df, SITE, "1997-01-01", 1)
 
 
-@query("fit_7_climatology_three_harmonics")
+@query("fit_7_climatology_three_harmonics", climatology_sql(3), CLIMATE)
 def fit_7b(spark, d):
     df = days(spark, d)
     return T.climatology(df, df, SITE, "1997-01-01")
@@ -186,15 +265,27 @@ def fit_9(spark, d):
     return T.fit_line(V.weather(spark, d), SITE, "temp_max_C", "radiation_MJm2")
 
 
-@query("fit_10_inflow_climatology", V.with_views(
-    V.WEATHER_SQL, """g AS (SELECT site, doy, radiation_MJm2 / 4 AS et, outflow_m3,
-        level_m - lag(level_m) OVER (PARTITION BY site ORDER BY date) AS dv FROM weather)""",
-    harmonic_sql("h", "g", "dv + et * 166 * 0.001 + outflow_m3 / 1e6")) + f"""
-    SELECT site, doy, {value_sql('h')} AS inflow_clim_Mm3
-    FROM (SELECT *, CAST(unnest(range(1, 367)) AS INT) AS doy FROM h) h""", "inflow_clim_Mm3")
+def inflow_sql(k: int) -> str:
+    return V.with_views(
+        V.WEATHER_SQL, """g AS (SELECT site, doy, radiation_MJm2 / 4 AS et, outflow_m3,
+            level_m - lag(level_m) OVER (PARTITION BY site ORDER BY date) AS dv FROM weather)""",
+        harmonic_sql("h", "g", "dv + et * 166 * 0.001 + outflow_m3 / 1e6", harmonics=k)) + f"""
+        SELECT site, doy, {value_sql('h', harmonics=k)} AS inflow_clim_Mm3
+        FROM (SELECT *, CAST(unnest(range(1, 367)) AS INT) AS doy FROM h) h"""
+
+
+def inflow_days(spark, d):
+    return days(spark, d).withColumn("volume_change_Mm3", difference("level_m", SITE, "date"))
+
+
+@query("fit_10_inflow_climatology", inflow_sql(1), "inflow_clim_Mm3")
 def fit_10(spark, d):
-    df = days(spark, d).withColumn("volume_change_Mm3", difference("level_m", SITE, "date"))
-    return T.inflow_climatology(df, SITE, 1)
+    return T.inflow_climatology(inflow_days(spark, d), SITE, 1)
+
+
+@query("fit_10_inflow_climatology_three_harmonics", inflow_sql(3), "inflow_clim_Mm3")
+def fit_10b(spark, d):
+    return T.inflow_climatology(inflow_days(spark, d), SITE)
 
 
 TEST_YEARS = (1998, 1999, 2000)

@@ -8,11 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from hydroflow import config as C
 from hydroflow.functions.meteo import harmonic_row, harmonic_value
@@ -77,13 +74,32 @@ def fit_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
 
 # harmonics -----------------------------------------------------------------------
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _solve(gram: pd.Series, right: pd.Series) -> pd.Series:
-    out = []
-    for g, r in zip(gram, right):
-        r = np.asarray(r, dtype=float)
-        out.append(np.linalg.lstsq(np.asarray(g, dtype=float).reshape(r.size, r.size), r, rcond=None)[0])
-    return pd.Series(out)
+#: Weight of a coefficient's size where the days are too few to tell the waves apart, as a share of the mean diagonal.
+LEAST_SIZE = 1e-9
+
+
+def solve_normal(normal: DataFrame, size: int, out: str) -> DataFrame:
+    """Solve the systems of columns ``g{i}_{j}`` (i <= j) and ``r{i}``, one per row, by a Cholesky factor L D L'.
+
+    The right side is one more row of the factor. A step reads the columns of the steps before, so the work grows
+    with the cube of ``size`` and stays in the JVM.
+    """
+    used = {f"g{i}_{j}" for i in range(size) for j in range(i, size)} | {f"r{i}" for i in range(size)}
+    rest = [c for c in normal.columns if c not in used]
+    for j in range(size):
+        def left(i: int) -> Column:
+            cell = F.col(f"r{j}") if i == size else F.col(f"g{j}_{i}")
+            for k in range(j):
+                cell = cell - F.col(f"_m{i}_{k}") * F.col(f"_l{j}_{k}")
+            return cell
+        made = {i: left(i) for i in range(j, size + 1)}
+        normal = normal.withColumns({f"_m{i}_{j}": c for i, c in made.items()} | {f"_l{i}_{j}": c / made[j] for i, c in made.items()})
+    for i in reversed(range(size)):
+        value = F.col(f"_l{size}_{i}")
+        for k in range(i + 1, size):
+            value = value - F.col(f"_l{k}_{i}") * F.col(f"_c{k}")
+        normal = normal.withColumn(f"_c{i}", value)
+    return normal.select(*rest, F.array(*[F.col(f"_c{i}") for i in range(size)]).alias(out))
 
 
 def fit_harmonics(df: DataFrame, keys: Sequence[str], doy: str, values: Mapping[str, Column],
@@ -92,7 +108,8 @@ def fit_harmonics(df: DataFrame, keys: Sequence[str], doy: str, values: Mapping[
 
     Rows are first summed per (key, doy), so the normal equations are built from
     at most 366 rows per key and value whatever the size of the record. Nulls are
-    dropped value by value. Result: (keys, one coefficient array per value).
+    dropped value by value. Fewer days of the year than coefficients leave the waves undetermined;
+    the smallest coefficients are taken then. Result: (keys, one coefficient array per value).
     """
     long = _fit_long(df, keys, doy, values, harmonics)
     return long.groupBy(*keys).agg(*[
@@ -109,14 +126,17 @@ def _fit_long(df: DataFrame, keys: Sequence[str], doy: str, values: Mapping[str,
     row = harmonic_row("_doy", harmonics)
     size = len(row)
     named = by_value.where("_n > 0").select(
-        *keys, "_name", "_n", "_sy", *[c.alias(f"_b{i}") for i, c in enumerate(row)])
+        *keys, "_doy", "_name", "_n", "_sy", *[c.alias(f"_b{i}") for i, c in enumerate(row)])
     cells = [F.sum(F.col("_n") * F.col(f"_b{i}") * F.col(f"_b{j}")).alias(f"g{i}_{j}")
              for i in range(size) for j in range(i, size)]
     right = [F.sum(F.col("_sy") * F.col(f"_b{i}")).alias(f"r{i}") for i in range(size)]
-    normal = named.groupBy(*keys, "_name").agg(*cells, *right, F.sum("_n").alias("n_fitted"))
-    gram = F.array(*[F.col(f"g{min(i, j)}_{max(i, j)}") for i in range(size) for j in range(size)])
-    solved = _solve(gram, F.array(*[F.col(f"r{i}") for i in range(size)]))
-    return normal.select(*keys, "_name", "n_fitted", solved.alias("coefficients"))
+    on_year = F.count(F.when(F.col("_doy") <= 365, F.lit(1)))  # day 366 has the waves of day 1
+    last_only = ((F.max("_doy") == 366) & (F.min("_doy") > 1)).cast("long")
+    normal = named.groupBy(*keys, "_name").agg(*cells, *right, F.sum("_n").alias("n_fitted"), (on_year + last_only).alias("_days"))
+    trace = sum((F.col(f"g{i}_{i}") for i in range(1, size)), F.col("g0_0"))
+    held = F.when(F.col("_days") < size, F.lit(LEAST_SIZE / size) * trace).otherwise(F.lit(0.0))
+    normal = normal.withColumn("_held", held).withColumns({f"g{i}_{i}": F.col(f"g{i}_{i}") + F.col("_held") for i in range(size)})
+    return solve_normal(normal.drop("_held", "_days"), size, "coefficients").select(*keys, "_name", "n_fitted", "coefficients")
 
 
 def fit_harmonic(df: DataFrame, keys: Sequence[str], doy: str, value: str | Column,

@@ -277,3 +277,24 @@ def test_left_out_year_equals_a_fit_without_it(spark):
     doy = s.groupby(s.index.dayofyear).mean().reindex(range(1, 367)).interpolate()
     want = pd.concat([doy] * 3).rolling(15, center=True, min_periods=1).mean().iloc[366:732]
     np.testing.assert_allclose(got, want.values, atol=1e-12)
+
+
+def test_three_harmonics_of_short_records_are_the_smallest_coefficients(spark):
+    days = [3, 60, 130, 250]
+    rows = [("few", d, float(d % 11)) for d in days] + [("full", d, float(5 + np.sin(d / 58.1) * 3 + (d % 5))) for d in range(1, 367, 3)]
+    rows += [("none", 5, None)]
+    df = spark.createDataFrame(rows, "site string, doy int, y double")
+    found = {r.site: r for r in fits.fit_harmonic(df, ["site"], "doy", "y").collect()}
+    assert found.keys() == {"few", "full"}
+    for site in found:
+        own = [r for r in rows if r[0] == site]
+        d = np.array([r[1] for r in own])
+        basis = np.column_stack([np.ones(len(d))] + [f(2 * np.pi * k * d / 365) for k in (1, 2, 3) for f in (np.cos, np.sin)])
+        want = np.linalg.lstsq(basis, np.array([r[2] for r in own]), rcond=None)[0]
+        np.testing.assert_allclose(found[site].coefficients, want, rtol=1e-5 if site == "few" else 1e-10, atol=1e-6 if site == "few" else 1e-10)
+
+
+def test_harmonic_fits_use_no_python_worker(spark):
+    df = spark.createDataFrame([("a", 5, 1.0)], "site string, doy int, y double")
+    plan = fits.fit_harmonic(df, ["site"], "doy", "y")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
