@@ -10,7 +10,7 @@ from hydroflow.checks import views
 from hydroflow.operators import aggregates, fill, windows
 
 GROUPS = ("sources", "selects", "joins", "aggregates", "windows", "quality", "scalars",
-          "fits", "recurrences", "models", "evaluation", "marts", "streams")
+          "fits", "recurrences", "models", "evaluation", "marts", "streams", "raw")
 for _group in GROUPS:
     try:
         importlib.import_module(f"hydroflow.checks.{_group}_checks")

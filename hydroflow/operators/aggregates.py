@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,10 +91,32 @@ def pivot_wide(df: DataFrame, keys: Sequence[str], name: str, value: str,
     return cells.groupBy(*keys).pivot(name, list(names)).agg(F.first(value, ignorenulls=True))
 
 
-def non_empty_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
-    """The columns that hold at least one value, in their order (one row is fetched)."""
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    return [c for c in columns if counts[c] > 0]
+def last_per_slot(rows: DataFrame, keys: Sequence[str], params: Sequence[str], order: str) -> DataFrame:
+    """One row per key: of each parameter, number or text, the last value that is not null."""
+    return rows.groupBy(*keys).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in params])
+
+
+def as_readings(slots: DataFrame, keys: Sequence[str], params: Sequence[str]) -> DataFrame:
+    """Wide slots to long readings (keys, param, value) without nulls."""
+    cells = F.filter(F.array(*[F.struct(F.lit(p).alias("param"), F.col(p).alias("value")) for p in params]),
+                     lambda c: c["value"].isNotNull())
+    return slots.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.param", "c.value")
+
+
+def pivot_sensors(rows: DataFrame, keys: Sequence[str], by: str, params: Sequence[str], order: str) -> DataFrame:
+    """One row per key with a column ``<by>_<param>`` for every pair that has a value, stations in order.
+
+    Parameters may be numbers and texts side by side. A pass of counts finds the stations and their empty
+    columns; then each key and station keeps its last values, and one pivot sets the stations beside each other.
+    """
+    counts = rows.groupBy(by).agg(*[F.count(p).alias(p) for p in params]).where(F.col(by).isNotNull()).collect()
+    found = sorted((r[by], [p for p in params if r[p]]) for r in counts)
+    found = [(name, held) for name, held in found if held]
+    slots = last_per_slot(rows, [*keys, by], params, order)
+    any_value = reduce(lambda a, b: a | b, [F.col(p).isNotNull() for p in params])
+    cell = F.first(F.struct(*params), ignorenulls=True)
+    wide = slots.where(any_value).groupBy(*keys).pivot(by, [name for name, _ in found] or [""]).agg(cell)
+    return wide.select(*keys, *[F.col(f"`{name}`")[p].alias(f"{name}_{p}") for name, held in found for p in held])
 
 
 def month_matrix(df: DataFrame, keys: Sequence[str], date: str, value: str) -> DataFrame:

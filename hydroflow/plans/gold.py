@@ -37,7 +37,11 @@ def daily_silver(readings: DataFrame, strict: bool = False) -> DataFrame:
     The last reading of a slot wins, days are aggregated per parameter, then the
     four quality layers run. The result still carries its change list.
     """
-    slots = aggregates.last_reading(readings, ("site", "station", "ts", "param"), "value", "src_ord")
+    return checked_days(aggregates.last_reading(readings, ("site", "station", "ts", "param"), "value", "src_ord"), strict)
+
+
+def checked_days(slots: DataFrame, strict: bool = False) -> DataFrame:
+    """The same from one reading per slot (site, station, ts, param, value)."""
     daily = aggregates.daily_parameters(slots, STATION, strict=strict)
     temperature = slots.where(F.col("param") == "temperature_C")
     covered = quality.slot_coverage(temperature, STATION, "ts", "value")
@@ -64,7 +68,11 @@ def flow_silver(flows: DataFrame, limit_mode: str = "prefix") -> DataFrame:
 def rain_intensity(readings: DataFrame, config: SiteConfig) -> DataFrame:
     """Peak one-hour rain per day from ten-minute rain, priority station first."""
     rain = readings.where(F.col("param") == "rainfall_mm")
-    slots = aggregates.last_reading(rain, ("site", "station", "ts"), "value", "src_ord")
+    return slot_intensity(aggregates.last_reading(rain, ("site", "station", "ts"), "value", "src_ord"), config)
+
+
+def slot_intensity(slots: DataFrame, config: SiteConfig) -> DataFrame:
+    """The same from one rain reading per slot (site, station, ts, value)."""
     own = F.max(F.when(F.col("station") == config.priority_station, F.col("value")))
     merged = slots.groupBy("site", "ts").agg(F.coalesce(own, F.avg("value")).alias("value"))
     return peak_intensity(merged, SITE, "ts", "value")

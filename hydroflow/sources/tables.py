@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +38,47 @@ def read_sensor_csv(spark: SparkSession, paths_by_header: Mapping[str, Sequence[
     for paths in groups:
         raw = spark.read.option("header", True).option("encoding", "UTF-8") \
             .option("enforceSchema", False).csv(list(paths))
-        order = F.struct(F.col("_metadata.file_path").alias("file"),
-                         F.col("_metadata.file_block_start").alias("block"),
-                         F.monotonically_increasing_id().alias("row"))
-        raw = raw.withColumn("source_order", order)
+        raw = raw.withColumn("source_order", _source_order())
         frames.append(raw.withColumnsRenamed({c: c.lstrip("\ufeff").strip() for c in raw.columns}))
     return union_aligned(frames)
 
 
+def file_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """Header cells of every CSV file, by path: one job, which sends back one line per file."""
+    lines = read_lines(spark, paths).where(F.col("block_start") == 0)
+    first = lines.groupBy("source_file").agg(F.min_by("line", "line_id").alias("line")).collect()
+    return {unquote(r["source_file"]): [c.strip() for c in next(csv.reader([r["line"]]), [])] for r in first}
+
+
+def read_sensor_files(spark: SparkSession, paths: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """All-string rows of sensor CSV files, each by its own header.
+
+    Headers are read first and mapped; files whose mapped headers agree are one scan with that schema, whatever
+    the order of columns in other files. A column that a file does not have is null in its rows, a byte-order mark is
+    dropped, and a header that names a column twice is an error.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path, cells in sorted(file_headers(spark, paths).items()):
+        names = tuple(columns.get(c, c) for c in cells)
+        if len(set(names)) < len(names):
+            raise ValueError(f"{path} names a column twice: {names}")
+        groups.setdefault(names, []).append(path)
+    if not groups:
+        raise FileNotFoundError(f"no sensor files in {list(paths)}")
+    frames = []
+    for names, files in groups.items():
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").csv(files)
+        frames.append(raw.withColumn("source_order", _source_order()))
+    return union_aligned(frames)
+
+
+def _source_order():
+    """Place of a row: file, split of the file, row in the split."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+
+
 def normalize_sensor_rows(raw: DataFrame, columns: Mapping[str, str], stations: Mapping[str, str],
                           expected: Sequence[str]) -> DataFrame:
     """Rename columns and stations by map, drop unmapped stations, add missing columns.

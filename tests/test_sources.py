@@ -198,3 +198,39 @@ def test_sensor_files_of_another_header_raise(spark, tmp_path):
         S.read_sensor_csv(spark, paths).collect()
     rows = S.read_sensor_csv(spark, {"a": paths[:1], "b": paths[1:]}).collect()
     assert {(r.station, r.temp, r.rain) for r in rows} == {("x", "1", "2"), ("x", "2", "1")}
+
+
+# files by their own header -----------------------------------------------------------------------
+
+def test_every_sensor_file_is_read_by_its_own_header(spark, tmp_path):
+    folder = tmp_path / "a folder with spaces"
+    folder.mkdir()
+    (folder / "b 1.csv").write_text('﻿Station,"Date, time",Temp (C),"Sun (W/m""2)"\nNorth,01/01/2024 00:10,5.5,1\nNorth,01/01/2024 00:20,-,\n', encoding="utf-8")
+    (folder / "a.csv").write_text(' Temp (C) , Station ,"Date, time",End\n7,South,01/01/2024 00:10,0007\n', encoding="utf-8")
+    (folder / "c.csv").write_text('Station,"Date, time",Temp (C),"Sun (W/m""2)"\nElse,01/01/2024 00:10,9,1\n', encoding="utf-8")
+    (folder / "empty.csv").write_text("")
+    columns = {"Station": "station", "Date, time": "datetime", "Temp (C)": "temperature_C", 'Sun (W/m"2)': "global_radiation_Wm2",
+               "End": "wind_speed_max10min_time"}
+    heads = S.file_headers(spark, [str(folder)])
+    assert {p.rsplit("/", 1)[1] for p in heads} == {"a.csv", "b 1.csv", "c.csv"}
+    raw = S.read_sensor_files(spark, [str(folder)], columns)
+    expected = ("station", "datetime", "temperature_C", "global_radiation_Wm2", "wind_speed_max10min_time")
+    rows = S.normalize_sensor_rows(raw, {}, {"North": "n", "South": "s"}, expected)
+    got = sorted(tuple(r)[:5] for r in rows.collect())
+    assert got == [("n", "01/01/2024 00:10", "5.5", "1", None), ("n", "01/01/2024 00:20", None, None, None),
+                   ("s", "01/01/2024 00:10", "7", None, "0007")]
+    assert raw._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 2  # one scan per header
+    (folder / "d.csv").write_text("Station,Station\n1,2\n")
+    with pytest.raises(ValueError, match="d.csv names a column twice"):
+        S.read_sensor_files(spark, [str(folder)], columns)
+
+
+def test_mixed_pivot_keeps_texts_and_drops_empty_columns(spark):
+    rows = spark.createDataFrame([
+        ("b", 1, 5.0, None, "0007", 1), ("b", 1, 6.0, None, None, 2), ("a", 1, None, None, "0010", 3), ("a", 2, None, None, None, 4),
+        ("b", 3, None, None, "0030", 5), (None, 3, 1.0, None, None, 6), ("c", 9, None, None, None, 7)],
+        "station string, ts int, temp double, rain double, hhmm string, source_order int")
+    wide = A.pivot_sensors(rows, ["ts"], "station", ["temp", "rain", "hhmm"], "source_order")
+    assert wide.columns == ["ts", "a_hhmm", "b_temp", "b_hhmm"]
+    assert sorted(map(tuple, wide.collect())) == [(1, "0010", 6.0, "0007"), (3, None, None, "0030")]
+    assert A.pivot_sensors(rows.limit(0), ["ts"], "station", ["temp", "hhmm"], "source_order").columns == ["ts"]
