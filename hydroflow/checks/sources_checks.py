@@ -138,6 +138,46 @@ def src_8(spark, d):
     return P.parse_daily_arrays(payloads, ["site"], "body")
 
 
+#: What is done to the body of payload number k: cut off, emptied, an error message, or nothing.
+def damaged(body, k):
+    cut = F.substring(body, 1, 40)
+    return F.when(k % 5 == 1, cut).when(k % 5 == 2, F.lit(" {} ")).when(k % 5 == 3, F.lit('{"error": true}')).otherwise(body)
+
+
+def outcome(good_rows, bad, keys):
+    """Per payload: how many rows it gave, or why it was put aside."""
+    counts = good_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("reason", F.lit(None).cast("string"))
+    return counts.unionByName(bad.select(*keys, F.lit(0).cast("long").alias("n_rows"), "reason"))
+
+
+@query("src_8_quarantine", WEATHER + f"""
+    , k AS (SELECT site, year(date) AS y, count(*) AS n FROM weather GROUP BY ALL)
+    SELECT site, CAST(y AS INT) AS y, CASE WHEN y % 5 IN (0, 4) THEN n * {sum(len(P.REANALYSIS_METRICS[v][0]) for v in VARIABLES)} ELSE 0 END AS n_rows,
+           CASE y % 5 WHEN 1 THEN 'malformed' WHEN 3 THEN 'no daily part' END AS reason FROM k WHERE y % 5 <> 2""")
+def src_8_quarantine(spark, d):
+    day = F.struct(F.col("date").cast("string").alias("time"), *[F.col(c).alias(v) for v, c in VARIABLES.items()])
+    years = V.weather(spark, d).groupBy("site", F.year("date").alias("y")).agg(F.sort_array(F.collect_list(day)).alias("days"))
+    arrays = F.struct(*[F.col(f"days.{v}").alias(v) for v in ("time", *VARIABLES)])
+    body = damaged(F.to_json(F.struct(arrays.alias("daily"))), F.col("y"))
+    good, bad = P.quarantine(years.select("site", "y", body.alias("body")), P.daily_array_fault("body"))
+    rows = P.with_at_most(P.parse_daily_arrays(good, ["site", "y"], "body"), bad, 1_000)
+    return outcome(rows, bad, ["site", "y"])
+
+
+@query("src_9_quarantine", """
+    SELECT event_id, CASE WHEN event_id % 5 IN (0, 4) AND user_id % 5 IN (1, 2) THEN 1 ELSE 0 END AS n_rows,
+           CASE event_id % 5 WHEN 1 THEN 'malformed' WHEN 3 THEN 'malformed' END AS reason
+    FROM events WHERE event_id % 5 IN (1, 3) OR event_id % 5 IN (0, 4) AND user_id % 5 IN (1, 2)""")
+def src_9_quarantine(spark, d):
+    code = (F.col("user_id") % 5).cast("string")
+    body = F.to_json(F.create_map(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
+                                  F.create_map(code, F.array("value", F.col("user_id").cast("double")))))
+    short = F.when(F.col("event_id") % 5 == 1, F.substring(body, 1, 20)).otherwise(damaged(body, F.col("event_id")))
+    payloads = V.table(spark, d, "events").select("event_id", short.alias("body"))
+    good, bad = P.quarantine(payloads, P.station_map_fault("body"))
+    return outcome(P.parse_station_maps(good, ["event_id"], "body", {"1": "upper", "2": "lower"}), bad, ["event_id"])
+
+
 @query("src_9_station_maps", """
     SELECT date_trunc('second', ts) AS ts, CASE user_id % 5 WHEN 1 THEN 'upper' ELSE 'lower' END AS station,
            value AS flow_m3s FROM events WHERE user_id % 5 IN (1, 2)""", "flow_m3s")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,67 @@ REANALYSIS_METRICS = {
 EPOCH_ORIGIN = "1904-01-01 00:00:00"
 
 
+# bad payloads ------------------------------------------------------------------------------------
+
+#: Bodies that say nothing: no rows and no fault.
+EMPTY_BODIES = ("", "{}", "[]", "null")
+CORRUPT = "_corrupt"
+
+
+def _is_empty(body: str) -> Column:
+    return F.trim(F.coalesce(F.col(body), F.lit(""))).isin(*EMPTY_BODIES)
+
+
+def daily_array_fault(body: str, metrics: Mapping[str, tuple[Sequence[str], float]] | None = None) -> Column:
+    """Why a payload of daily arrays cannot be used, null for good and for empty ones."""
+    names = list(REANALYSIS_METRICS if metrics is None else metrics)
+    fields = ", ".join(f"`{v}`: array<double>" for v in names)
+    schema = f"struct<daily: struct<time: array<string>, {fields}>, {CORRUPT}: string>"
+    p = F.from_json(body, schema, {"columnNameOfCorruptRecord": CORRUPT})
+    days = p["daily"]["time"]
+    uneven = [days.isNotNull() & p["daily"][v].isNotNull() & (F.size(p["daily"][v]) != F.size(days)) for v in names]
+    return F.when(_is_empty(body), F.lit(None)).when(p.isNull() | p[CORRUPT].isNotNull(), F.lit("malformed")) \
+        .when(p["daily"].isNull(), F.lit("no daily part")) \
+        .when(reduce(lambda a, b: a | b, uneven), F.lit("arrays of different length")) \
+        .when(F.exists(days, lambda t: t.try_cast("date").isNull()), F.lit("unknown date"))
+
+
+def station_map_fault(body: str) -> Column:
+    """The same for maps of times to stations."""
+    p = F.from_json(body, "map<string,map<string,array<double>>>")
+    return F.when(_is_empty(body), F.lit(None)).when(p.isNull(), F.lit("malformed")) \
+        .when(F.exists(F.map_keys(p), lambda t: t.try_cast("timestamp_ntz").isNull()), F.lit("unknown time"))
+
+
+def forecast_fault(body: str) -> Column:
+    """The same for ``Location`` elements."""
+    p = F.from_xml(body, f"{FORECAST_XML}, {CORRUPT} string", {"columnNameOfCorruptRecord": CORRUPT})
+    steps = p["LocationData"]["Forecast"]
+    return F.when(_is_empty(body), F.lit(None)).when(p.isNull() | p[CORRUPT].isNotNull(), F.lit("malformed")) \
+        .when(p["LocationMetaData"]["LocationId"].isNull(), F.lit("no location")) \
+        .when(F.exists(steps, lambda f: f["ForecastTime"].try_cast("timestamp_ntz").isNull()), F.lit("unknown time"))
+
+
+def quarantine(payloads: DataFrame, fault: Column) -> tuple[DataFrame, DataFrame]:
+    """Payloads that can be parsed, and the others with their ``reason``."""
+    marked = payloads.withColumn("reason", fault)
+    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
+
+
+def fault_counts(bad: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    return bad.groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("n_payloads"))
+
+
+def with_at_most(rows: DataFrame, bad: DataFrame, most: int = 0) -> DataFrame:
+    """The rows, with an error when they are read and there are more than ``most`` bad payloads."""
+    failure = F.raise_error(F.concat(F.col("n").cast("string"), F.lit(f" bad payloads, at most {most} are allowed"))).cast("boolean")
+    found = bad.agg(F.count(F.lit(1)).alias("n")).select(F.when(F.col("n") <= most, F.lit(True)).otherwise(failure).alias("ok"))
+    # a one-row subquery: it runs even when no row would come out
+    return rows.unionByName(found.where("not ok").select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes]))
+
+
+# payloads ----------------------------------------------------------------------------------------
+
 def parse_daily_arrays(payloads: DataFrame, keys: Sequence[str], body: str,
                        metrics: Mapping[str, tuple[Sequence[str], float]] = REANALYSIS_METRICS) -> DataFrame:
     """``{"daily": {"time": [...], "<variable>": [...]}}`` to long daily metrics.
@@ -73,11 +135,9 @@ def parse_script_rows(pages: DataFrame, keys: Sequence[str], html: str) -> DataF
             .where(F.col("date").isNotNull()))
 
 
-FORECAST_XML = """
-    LocationMetaData struct<LocationId: string>,
+FORECAST_XML = """LocationMetaData struct<LocationId: string>,
     LocationData struct<Forecast: array<struct<ForecastTime: string, MaxTemp: double,
-        MinTemp: double, Rain: double, RelativeHumidity: double, WindSpeed: double>>>
-"""
+        MinTemp: double, Rain: double, RelativeHumidity: double, WindSpeed: double>>>"""
 
 
 def read_forecast_xml(spark: SparkSession, paths: Sequence[str], location_id: str) -> DataFrame:

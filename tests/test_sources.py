@@ -234,3 +234,38 @@ def test_mixed_pivot_keeps_texts_and_drops_empty_columns(spark):
     assert wide.columns == ["ts", "a_hhmm", "b_temp", "b_hhmm"]
     assert sorted(map(tuple, wide.collect())) == [(1, "0010", 6.0, "0007"), (3, None, None, "0030")]
     assert A.pivot_sensors(rows.limit(0), ["ts"], "station", ["temp", "hhmm"], "source_order").columns == ["ts"]
+
+
+def test_bad_payloads_are_put_aside_with_their_reason(spark):
+    good = json.dumps({"daily": {"time": ["2024-01-01", "2024-01-02"], "temperature_2m_max": [1.0, 2.0]}})
+    bodies = [good, good[:50], "{}", None, "  ", json.dumps({"daily": {}}), json.dumps({"error": "no"}), "not json",
+              json.dumps({"daily": {"time": ["2024-01-01"], "temperature_2m_max": [1.0, 2.0]}}),
+              json.dumps({"daily": {"time": ["2024-13-01"], "temperature_2m_max": [1.0]}})]
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    fine, bad = P.quarantine(df, P.daily_array_fault("body"))
+    assert {r.k: r.reason for r in bad.collect()} == {
+        1: "malformed", 6: "no daily part", 7: "malformed", 8: "arrays of different length", 9: "unknown date"}
+    rows = P.parse_daily_arrays(fine, ["k"], "body")
+    assert {r.k for r in rows.collect()} == {0} and rows.count() == 4
+    assert P.with_at_most(rows, bad, 5).count() == 4
+    with pytest.raises(Exception, match="5 bad payloads, at most 4"):
+        P.with_at_most(rows, bad, 4).collect()
+    with pytest.raises(Exception, match="5 bad payloads"):
+        P.with_at_most(rows.limit(0), bad).collect()
+    assert sorted((r.reason, r.n_payloads) for r in P.fault_counts(bad).collect())[-1] == ("unknown date", 1)
+
+
+def test_bad_station_maps_and_forecasts_are_put_aside(spark):
+    maps = ['{"2026-05-27 06:00:00":{"79":[15.5,2.1]}}', '{"2026-05-27 06:00:00":{"79":[15.5', "", "[]", '{"yesterday":{"79":[1.0]}}', '{"error":true}']
+    df = spark.createDataFrame(list(enumerate(maps)), "k int, body string")
+    good, bad = P.quarantine(df, P.station_map_fault("body"))
+    assert {r.k: r.reason for r in bad.collect()} == {1: "malformed", 4: "unknown time", 5: "malformed"}
+    assert {r.k for r in P.parse_station_maps(good, ["k"], "body", {"79": "a"}).collect()} == {0}
+    step = "<Forecast><ForecastTime>{}</ForecastTime><MaxTemp>30</MaxTemp></Forecast>"
+    whole = "<Location><LocationMetaData><LocationId>1</LocationId></LocationMetaData><LocationData>" + step + "</LocationData></Location>"
+    bodies = [whole.format("2024-01-01 06:00:00"), whole.format("2024-01-01 06:00:00")[:90], None, whole.format("noon"),
+              whole.format("2024-01-01 06:00:00").replace("LocationId>", "Name>")]
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    good, bad = P.quarantine(df, P.forecast_fault("body"))
+    assert {r.k: r.reason for r in bad.collect()} == {1: "malformed", 3: "unknown time", 4: "no location"}
+    assert P.parse_forecast_xml(good, "body", "1").count() == 1
