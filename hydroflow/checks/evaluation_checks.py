@@ -367,6 +367,40 @@ def evl_12b(spark, d):
     return E.fold_matrix(rows, ["2-HIGH", "5-LOW"])
 
 
+MODELS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("evl_12_fold_matrix_all_models", V.with_views(BOARD_SQL) + "SELECT fold, " + ", ".join(
+    f"round(max(s2_r2) FILTER (WHERE model = '{m}'), 6) + 0.0 AS \"{m}\"" for m in MODELS) + " FROM folds GROUP BY ALL")
+def evl_12c(spark, d):
+    matrix = E.fold_matrix(fold_scores(spark, d), MODELS)
+    return matrix.select("fold", *[F.round(F.col(f"`{m}`"), 6).alias(m) for m in MODELS])
+
+
+@query("evl_12_fold_map", V.with_views(BOARD_SQL) + """
+    SELECT model, fold, s2_r2 FROM folds WHERE s2_r2 IS NOT NULL""", "s2_r2")
+def evl_12_map(spark, d):
+    board = E.leaderboard(fold_scores(spark, d))
+    return board.select("model", F.explode("cv_vol_r2_by_fold").alias("fold", "s2_r2"))
+
+
+@query("evl_12_updated_entry", V.with_views(BOARD_SQL) + """
+    SELECT model, CASE WHEN model = '2-HIGH' THEN 0.5 ELSE cv_vol_r2_mean END AS cv_vol_r2_mean, cv_vol_mae_mean, cv_7d_drift_mean_m,
+           cv_inflow_r2_mean FROM board""", "cv_vol_r2_mean cv_vol_mae_mean cv_7d_drift_mean_m cv_inflow_r2_mean")
+def evl_12_entry(spark, d):
+    """One model is scored anew for volume only: the rest of its entry and all other entries stay."""
+    board = E.leaderboard(fold_scores(spark, d)).drop("cv_vol_r2_by_fold")
+    fresh = board.where("model = '2-HIGH'").select("model", F.lit(0.5).alias("cv_vol_r2_mean"), F.lit(None).cast("double").alias("cv_7d_drift_mean_m"))
+    return E.update_entry(board, fresh)
+
+
+@query("evl_12_champion_score", V.with_views(BOARD_SQL) + """
+    SELECT model, coalesce(cv_vol_r2_mean, 0.25) AS cv_vol_r2_mean FROM board
+    ORDER BY CASE WHEN cv_vol_r2_mean = 0 THEN -1 ELSE cv_vol_r2_mean END DESC, model DESC LIMIT 1""", "cv_vol_r2_mean")
+def evl_12_champion(spark, d):
+    return E.champion_score(E.leaderboard(fold_scores(spark, d)), 0.25).select("model", "cv_vol_r2_mean")
+
+
 # forecast against actual -----------------------------------------------------------------------------
 
 FORECAST_SQL = V.WEATHER_SQL + """, fc AS (SELECT site, date, row_number() OVER (PARTITION BY site, date_trunc('month', date) ORDER BY date) AS day,

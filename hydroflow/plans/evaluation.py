@@ -32,12 +32,13 @@ def week_drift(predictions: DataFrame, gold: DataFrame, keys: Sequence[str] = ("
 
 def fold_metrics(predictions: DataFrame, gold: DataFrame, models: Sequence[str] = ("model",),
                  config: SiteConfig = SiteConfig()) -> DataFrame:
-    """Per model and fold: R2 of both stages, MAE of the change, weekly drift where there are horizons."""
+    """Per model and fold: R2 and MAE of both stages, weekly drift where there are horizons."""
     keys = [*models, "fold"]
     scores = error_metrics(predictions, [*keys, "stage"], "actual", "predicted")
     def of(stage: str, column: str) -> Column:
         return F.max(F.when(F.col("stage") == stage, F.col(column)))
     table = scores.groupBy(*keys).agg(of("volume", "n").alias("n_test"), of("inflow", "r2").alias("s1_r2"),
+                                      of("inflow", "mae").alias("s1_mae"),
                                       of("volume", "r2").alias("s2_r2"), of("volume", "mae").alias("s2_mae"))
     ahead = predictions.where("stage = 'volume' and horizon_h > 0").withColumnRenamed("predicted", "pred_dvol")
     drift = week_drift(ahead, gold, groups=keys, config=config).groupBy(*keys).agg(
@@ -79,6 +80,14 @@ def refresh_entry(board: DataFrame, fresh: DataFrame, keys: Sequence[str] = ())
     return replace_rows(board, fresh, [*keys, "model"])
 
 
+def update_entry(board: DataFrame, fresh: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Fresh scores over a model's entry; what they leave empty stays, and other entries are not touched."""
+    by = [*keys, "model"]
+    both = board.join(fresh.select(*by, F.struct("*").alias("_fresh")), by, "full")
+    return both.select(*by, *[F.coalesce(F.col("_fresh")[c], c).alias(c) if c in fresh.columns else F.col(c)
+                              for c in board.columns if c not in by])
+
+
 def fold_matrix(folds: DataFrame, models: Sequence[str]) -> DataFrame:
     """Year by model table of fold R2."""
     return folds.groupBy("fold").pivot("model", list(models)).agg(F.max("s2_r2"))

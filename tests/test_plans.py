@@ -15,6 +15,7 @@ from hydroflow.plans import evaluation as E
 from hydroflow.plans import gold as G
 from hydroflow.plans import longrange as L
 from hydroflow.plans import models as M
+from hydroflow.plans import winner as W
 
 TREES = M.Learner(trees=2)
 
@@ -263,3 +264,60 @@ def test_ensemble_balance_keeps_the_anchor_volume(spark):
     assert out.volume_Mm3[:2].isna().all() and out.volume_Mm3[2] == 4000
     np.testing.assert_allclose(out.volume_Mm3[3:].diff().dropna(), out.dv_Mm3[4:])
     np.testing.assert_allclose(out.lake_ET_Mm3, out.et0_lake_mm * 0.166)
+
+
+# the winner, whichever it is ---------------------------------------------------------------------
+
+BOARD = "model string, cv_vol_r2_mean double, cv_vol_r2_by_fold map<string,double>, cv_vol_mae_mean double, cv_7d_drift_mean_m double, cv_inflow_r2_mean double"
+
+
+def board_of(spark, **scores):
+    return spark.createDataFrame([(m, s, {"2014": s}, 0.5, 0.02, 0.7) for m, s in scores.items()], BOARD)
+
+
+def test_winner_must_be_there_and_known(spark, frame, tmp_path):
+    with pytest.raises(ValueError, match="unknown_model"):
+        W.train_winner(frame, board_of(spark, unknown_model=0.9, baseline=0.1), str(tmp_path))
+    with pytest.raises(LookupError, match="no winner"):
+        W.train_winner(frame, board_of(spark, baseline=0.9).limit(0), str(tmp_path))
+
+
+@pytest.mark.parametrize("name", ["baseline", "direct_anchor", "single_stage", "max_chain"])
+def test_any_winner_is_fitted_saved_served_and_recorded(spark, frame, tmp_path, name):
+    board = board_of(spark, **{name: 0.99, "other": 0.1})
+    won, models, fresh = W.train_winner(frame, board, str(tmp_path), 0, (2015,), 2012, TREES, TREES)
+    assert won == name and models.keys() == W.ARCHITECTURES[name].parts.keys()
+    new = {r.model: r for r in fresh.collect()}
+    assert new["other"] == {r.model: r for r in board.collect()}["other"]
+    assert new[name].cv_vol_r2_mean != 0.99 and set(new[name].cv_vol_r2_by_fold) == {"2015"}
+    assert new[name].cv_7d_drift_mean_m is not None
+    assert (new[name].cv_inflow_r2_mean == 0.7) == (name in ("single_stage", "max_chain"))  # kept where it is not measured
+    record = spark.read.json(str(tmp_path / "record/v=0")).first()
+    assert (record.winner, str(record.trained_through), record.n_rows_total) == (name, "2015-12-31", frame.count())
+    fold = record.cv_results[0].asDict()
+    assert fold["fold"] == "2015" and fold["s2_mae_Mm3"] > 0 and fold["n_test"] > 0
+    assert (fold.get("s1_mae_Mm3") is not None) == (name in ("baseline", "direct_anchor"))
+    last = dt.date(2015, 12, 31)
+    days = [("a", last + dt.timedelta(days=i), 20.0, 10.0, 1.0, 50.0, 2.0, 15.0) for i in range(1, 8)]
+    forecast = spark.createDataFrame(days, "site string, date date, temp_max_C double, temp_min_C double, rainfall_mm double, "
+                                           "humidity_pct double, wind_speed_ms double, radiation_MJm2 double")
+    features = G.forecast_features(frame, forecast, SiteConfig())
+    served = W.ARCHITECTURES[name].serve(features, frame, W.load_winner(str(tmp_path), name))
+    rows = served.orderBy("day").toPandas()
+    assert rows.day.tolist() == list(range(1, 8)) and rows.pred_level_m.notna().all()
+    np.testing.assert_allclose(rows.cum_dvol_Mm3, rows.pred_dvol_Mm3.cumsum())
+    assert rows.pred_inflow_Mm3.isna().all() == (name == "single_stage")
+    assert W.ARCHITECTURES[name].serve(features.limit(6), frame, models).count() == 0  # a week has seven days
+
+
+def test_a_record_keeps_what_only_the_one_before_says(spark, tmp_path):
+    path = str(tmp_path / "record")
+    W.save_record(spark, spark.createDataFrame([("x", 0.1, "[1, 2]")], "winner string, cv_s2_mean_r2 double, curve string"), path, 0)
+    W.save_record(spark, spark.createDataFrame([("y", 0.8)], "winner string, cv_s2_mean_r2 double"), path, 1)
+    assert spark.read.json(f"{path}/v=1").first().asDict() == {"winner": "y", "cv_s2_mean_r2": 0.8, "curve": "[1, 2]"}
+
+
+def test_stage_one_error_is_in_the_fold_table(spark, frame):
+    rows = spark.createDataFrame([("m", "f", "a", dt.date(2014, 1, i), 0, "inflow", 10.0, 10.0 + i) for i in (1, 2, 3)],
+                                 "model string, fold string, site string, date date, horizon_h int, stage string, actual double, predicted double")
+    assert E.fold_metrics(rows, frame).first().s1_mae == 2.0
