@@ -5,7 +5,7 @@ recomputed from the bytes; the exact header bytes of every record are kept in a
 second table. Records are put together again by a join of the two.
 
 Defined results: a null or empty payload is a record with an empty payload; a null url
-gives a record without target line; rows with the same page id and payload are all kept
+gives a record without target line, control characters and line ends of any kind in a url are percent-encoded; rows with the same page id and payload are all kept
 and are all responses if that id is the payload's smallest; a payload of which no row has
 an id has responses only; an empty table gives an empty archive; further columns are ignored.
 """
@@ -28,6 +28,18 @@ def _record_id(page_id: Column, digest: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *parts), F.lit(">"))
 
 
+#: Characters that end a line for one reader or another, and other controls; they are percent-encoded in a url.
+CONTROLS = [chr(c) for c in (*range(32), 0x7F, 0x85, 0x2028, 0x2029)]
+
+
+def _one_line(url: Column) -> Column:
+    """The url with control characters percent-encoded, so that it cannot end its header line."""
+    encoded = url
+    for c in CONTROLS:
+        encoded = F.replace(encoded, F.lit(c), F.lit("".join(f"%{b:02X}" for b in c.encode())))
+    return F.when(url.rlike("[\\x00-\\x1F\\x7F\\x85\\u2028\\u2029]"), encoded).otherwise(url)
+
+
 def _lines(*lines: Column) -> Column:
     """Header lines, each ended by CRLF; null ones are left out."""
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF))
@@ -61,12 +73,12 @@ def headers(pages: DataFrame) -> DataFrame:
         F.concat(F.lit("WARC-Type: "), F.when(F.col("revisit"), "revisit").otherwise("response")),
         F.concat(F.lit("WARC-Record-ID: "), _record_id(F.col("page_id"), F.col("digest"))),
         F.lit("WARC-Date: " + WARC_DATE),
-        F.concat(F.lit("WARC-Target-URI: "), F.regexp_replace("url", "[\\r\\n]", "")),
+        F.concat(F.lit("X-Page: "), F.col("page_id").cast("string")),
         F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
         F.when(F.col("revisit"), F.concat(F.lit("WARC-Refers-To: "), _record_id(F.col("first_id"), F.col("digest")))),
         F.when(F.col("revisit"), F.concat(F.lit("X-Refers-To-Page: "), F.col("first_id").cast("string"))),
         F.when(F.col("revisit"), F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        F.concat(F.lit("X-Page: "), F.col("page_id").cast("string")),
+        F.concat(F.lit("WARC-Target-URI: "), _one_line(F.col("url"))),
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), block.cast("string")))
     return rows.select("page_id", "digest", F.encode(F.concat(warc, http), "UTF-8").alias("header"))
@@ -94,7 +106,7 @@ def write_archive(pages: DataFrame, folder: str) -> None:
 
 def field(header: Column, name: str) -> Column:
     """The value of a header line, or null."""
-    value = F.regexp_extract(header, f"(?m)^{name}: ([^\\r\\n]*)", 1)
+    value = F.regexp_extract(header, f"(?md)^{name}: ([^\\r\\n]*)", 1)
     return F.when(value != "", value)
 
 
@@ -108,7 +120,7 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     records = records.select(
         field(F.col("head"), "X-Page").cast("long").alias("page_id"), field(F.col("head"), "WARC-Type").alias("record_type"),
         field(F.col("head"), "X-Refers-To-Page").cast("long").alias("refers_to"),
-        F.regexp_extract("head", "(?m)^WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("payload_digest"), "header")
+        F.regexp_extract("head", "(?md)^WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("payload_digest"), "header")
     stored = spark.read.parquet(f"{folder}/payloads").select(
         F.col("digest").alias("stored_digest"),
         F.when(F.sha2("payload", 256) == F.col("digest"), F.col("payload")).otherwise(
@@ -135,7 +147,7 @@ def page_digests(spark: SparkSession, folder: str) -> DataFrame:
     records = records.select(
         field(F.col("head"), "X-Page").cast("long").alias("page_id"), field(F.col("head"), "WARC-Type").alias("record_type"),
         field(F.col("head"), "X-Refers-To-Page").cast("long").alias("refers_to"),
-        F.regexp_extract("head", "(?m)^WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("named"))
+        F.regexp_extract("head", "(?md)^WARC-Payload-Digest: sha256:([0-9a-f]{64})", 1).alias("named"))
     stored = spark.read.parquet(f"{folder}/payloads").select(
         F.sha2("payload", 256).alias("payload_digest"), F.octet_length("payload").cast("long").alias("payload_bytes"))
     joined = records.join(stored, records["named"] == stored["payload_digest"], "left")

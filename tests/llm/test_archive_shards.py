@@ -165,3 +165,34 @@ def test_sequences_hold_all_ids(spark, docs):
     rows = packing.sequences(own, packed, public_tokenizers.path("word_bpe_49k.json")).collect()
     total = sum(len(_tokens("word_bpe_49k.json", r[1], 2)) for r in ROWS if r[0] and r[0] >= 100)
     assert sum(len(r["ids"]) for r in rows) == total and max(len(r["ids"]) for r in rows) <= 64
+
+
+def test_urls_cannot_end_their_header_line(spark):
+    breaks = ["\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029", "\x00", "\x0b", "\x0c", "\x1f", "\x7f"]
+    rows = [(i, f"http://a/{c}X-Page: 77{c}WARC-Type: revisit{c}WARC-Payload-Digest: sha256:{'0' * 64}", "page" * 50) for i, c in enumerate(breaks)]
+    rows += [(50, "http://plain/é?a=1%20b", "other" * 50)]
+    folder = scratch_path(spark, "test-warc")
+    warc_archive.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    for found in (warc_archive.page_digests(spark, folder), warc_archive.read_records(spark, folder)):
+        got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_digest"]) for r in found.collect()}
+        assert got.keys() == {r[0] for r in rows}
+        assert got[0][:2] == ("response", None) and all(got[i][:2] == ("revisit", 0) for i in range(1, len(breaks)))
+        assert got[50][2] == hashlib.sha256(rows[-1][2].encode()).hexdigest()
+    heads = {r["page_id"]: bytes(r["header"]).decode() for r in warc_archive.read_records(spark, folder).collect()}
+    assert "WARC-Target-URI: http://plain/é?a=1%20b\r\n" in heads[50] and "http://a/%E2%80%A8X-Page: 77" in heads[5 - 1]
+    assert heads[0].split("WARC-Target-URI: ")[1].startswith("http://a/%0AX-Page: 77%0A")
+
+
+def test_equal_rows_are_cut_apart(spark):
+    rows = [(7, "copy of a text", "en", "a", 1, 0, 0)] * 2000 + [(1000 + i, "x" * (i % 50), "en", "a", 1, 0, 0) for i in range(1000)]
+    found = kd_sharding.kd_shards(spark.createDataFrame(rows, DOCS).repartition(5), 8).collect()
+    assert len(found) == 3000 and sum(r["doc_id"] == 7 for r in found) == 2000
+    sizes = [sum(r["size"] for r in found if r["shard"] == k) for k in range(8)]
+    assert max(sizes) - min(sizes) <= 3 * 66  # a row at each of three levels
+    for k in range(8):
+        assert sorted(r["slot"] for r in found if r["shard"] == k) == list(range(sum(r["shard"] == k for r in found)))
+
+
+def test_all_rows_equal(spark):
+    found = kd_sharding.kd_shards(spark.createDataFrame([ROWS[0]] * 64, DOCS), 4).collect()
+    assert sorted(r["shard"] for r in found) == [k for k in range(4) for _ in range(16)]
