@@ -87,7 +87,7 @@ def sensor_files(spark, d, step=1):
         line(lambda n: F.col(f"_{n}")).alias("line"))
     heads = days(spark, d).select("site", "station", "y").distinct().select(
         F.concat("site", "station", F.col("y").cast("string")).alias("file"), F.lit("").alias("place"),
-        F.concat(F.when(odd, F.lit("﻿")).otherwise(F.lit("")), line(caption)).alias("line"))
+        F.concat(F.when(odd, F.lit("\ufeff")).otherwise(F.lit("")), line(caption)).alias("line"))
     return land(body.unionByName(heads), scratch_path(spark, "sensor-files"))
 
 

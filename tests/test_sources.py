@@ -15,7 +15,7 @@ from hydroflow.sources import tables as S
 
 def test_sensor_files_with_different_headers(spark, tmp_path):
     a, b = tmp_path / "a.csv", tmp_path / "b.csv"
-    a.write_text("﻿Stn, Time ,Temp\nS-1,01/02/2024 00:10,21.5\nS-9,01/02/2024 00:10,1\n", "utf-8")
+    a.write_text("\ufeffStn, Time ,Temp\nS-1,01/02/2024 00:10,21.5\nS-9,01/02/2024 00:10,1\n", "utf-8")
     b.write_text("Stn,Time,Rain\nS-1,31/02/2024 00:10,2\nS-1,02/02/2024 00:20,-\n", "utf-8")
     raw = S.read_sensor_csv(spark, {"temp": [str(a)], "rain": [str(b)]})
     rows = S.normalize_sensor_rows(raw, {"Stn": "station", "Time": "datetime", "Temp": "temperature_C", "Rain": "rainfall_mm"},
@@ -51,7 +51,7 @@ def test_sheet_skips_three_title_rows(spark, tmp_path):
 
 def test_two_level_layouts_and_first_wins(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Survey_Date,Survey_Level\n01/9/1966,-210.1\n02/9/1966,-210.2\n")
-    (tmp_path / "b.csv").write_text("﻿Date,Level\n1966-09-02,-999\n1966-09-03,-210.3\n\n  Downloaded from: x,\n", "utf-8")
+    (tmp_path / "b.csv").write_text("\ufeffDate,Level\n1966-09-02,-999\n1966-09-03,-210.3\n\n  Downloaded from: x,\n", "utf-8")
     (tmp_path / "c.csv").write_text("Depth,Area\n1,2\n")
     levels = S.read_level_files(spark, [str(tmp_path / n) for n in ("a.csv", "b.csv", "c.csv")])
     kept = A.first_reading(levels, ["date"], "source_order").orderBy("date").collect()
@@ -205,7 +205,7 @@ def test_sensor_files_of_another_header_raise(spark, tmp_path):
 def test_every_sensor_file_is_read_by_its_own_header(spark, tmp_path):
     folder = tmp_path / "a folder with spaces"
     folder.mkdir()
-    (folder / "b 1.csv").write_text('﻿Station,"Date, time",Temp (C),"Sun (W/m""2)"\nNorth,01/01/2024 00:10,5.5,1\nNorth,01/01/2024 00:20,-,\n', encoding="utf-8")
+    (folder / "b 1.csv").write_text('\ufeffStation,"Date, time",Temp (C),"Sun (W/m""2)"\nNorth,01/01/2024 00:10,5.5,1\nNorth,01/01/2024 00:20,-,\n', encoding="utf-8")
     (folder / "a.csv").write_text(' Temp (C) , Station ,"Date, time",End\n7,South,01/01/2024 00:10,0007\n', encoding="utf-8")
     (folder / "c.csv").write_text('Station,"Date, time",Temp (C),"Sun (W/m""2)"\nElse,01/01/2024 00:10,9,1\n', encoding="utf-8")
     (folder / "empty.csv").write_text("")
