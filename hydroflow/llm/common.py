@@ -45,20 +45,51 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-class WordHashes(dict):
-    """A 64-bit hash per word, kept for the words a worker has met; ``least`` keeps small numbers free for other uses."""
+_IN_USE: list[dict] = []
 
-    def __init__(self, least: int = 0, most: int = 1_000_000):
+
+def claim(table: dict) -> None:
+    """Let go of the word table that another step has left in this worker: workers are reused, and hold one at a time."""
+    if not _IN_USE or _IN_USE[0] is not table:
+        if _IN_USE:
+            _IN_USE[0].clear()
+        _IN_USE[:] = [table]
+
+
+class Bounded(dict):
+    """What a worker has found out about words, up to ``most_bytes``, about; words met after that are not kept."""
+
+    #: Bytes of an entry besides its word, about.
+    ENTRY = 180
+
+    def __init__(self, most_bytes: int = 64_000_000):
         super().__init__()
-        self.least, self.most = least, most
+        self.most_bytes, self.held = most_bytes, 0
+
+    def keep(self, word, found) -> None:
+        if self.held < self.most_bytes:
+            self[word] = found
+            self.held += len(word) + self.ENTRY
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+
+class WordHashes(Bounded):
+    """A 64-bit hash per word; ``least`` keeps small numbers free for other uses."""
+
+    def __init__(self, least: int = 0):
+        super().__init__()
+        self.least = least
 
     def __missing__(self, word: bytes) -> int:
         found = max(self.least, xxhash.xxh3_64_intdigest(word))
-        if len(self) < self.most:
-            self[word] = found
+        self.keep(word, found)
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        claim(self)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

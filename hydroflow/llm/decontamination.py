@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hydroflow.llm.common import write_and_read
+from hydroflow.llm.common import Bounded, claim, write_and_read
 
 WINDOW = 8
 #: Plain words that a window with slots needs; with less, windows get longer.
@@ -83,12 +83,14 @@ def _hash(word: str) -> bytes:
     return xxhash.xxh3_64_intdigest(word).to_bytes(8, sys.byteorder)
 
 
-class _Words(dict):
+class _Words(Bounded):
     """What each word as it stands in a text is: (word, its hash, kind, unit), whether it ends a sentence, whether a sign follows it.
 
     Kinds: none (no letters or digits), both (a number with its unit), num, unit, title, starter (in title case too), word.
     """
 
+    ENTRY = 450
+
     def __missing__(self, raw: str) -> tuple[str, bytes, str, str, bool, bool]:
         word, ends = raw.strip(EDGE), raw.endswith(SENTENCE_END)
         low, closed = word.lower(), raw[-1] in EDGE
@@ -109,8 +111,7 @@ class _Words(dict):
         else:
             found = low, "word", "", ends, closed
         found = found[0], _hash(found[0]), *found[1:]
-        if len(self) < 500_000:
-            self[raw] = found
+        self.keep(raw, found)
         return found
 
 
@@ -122,6 +123,7 @@ def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
 
     A name is a word in title case, for certain if it does not begin a sentence or line; a unit follows a number.
     """
+    claim(_SEEN)
     words, hashes, types, seen = [], [], bytearray(), _SEEN
     for line in (text or "").split("\n"):
         start, title = True, -1  # number of words up to the title-case word that another may go on with

@@ -13,6 +13,8 @@ import unicodedata
 
 import numpy as np
 
+from hydroflow.llm.common import claim
+
 #: Words a worker keeps; past that the table starts anew.
 KEPT_WORDS = 1_500_000
 #: Words encoded in one call of the library.
@@ -130,6 +132,7 @@ def word_table(path: str, dtype: str, lower_case_words: bool) -> WordTable:
     key = (path, dtype, lower_case_words)
     if key not in _TABLES:
         _TABLES[key] = WordTable(*key)
+    claim(_TABLES[key])
     return _TABLES[key]
 
 

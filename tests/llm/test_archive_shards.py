@@ -196,3 +196,15 @@ def test_equal_rows_are_cut_apart(spark):
 def test_all_rows_equal(spark):
     found = kd_sharding.kd_shards(spark.createDataFrame([ROWS[0]] * 64, DOCS), 4).collect()
     assert sorted(r["shard"] for r in found) == [k for k in range(4) for _ in range(16)]
+
+
+def test_a_worker_holds_one_bounded_word_table():
+    from hydroflow.llm import common
+
+    a, b = common.WordHashes(), common.WordHashes(least=3)
+    a.most_bytes = 1000
+    first = a.of([b"w%d" % i for i in range(100)])
+    assert 0 < len(a) < 10 and a.held >= 1000
+    assert (a.of([b"w%d" % i for i in range(100)]) == first).all()  # words that are not kept have the same hash
+    assert len(b.of([b"x"])) == 1 and len(a) == 0 and a.held == 0
+    assert (a.of([b"w1"]) == first[1]).all() and len(b) == 0
