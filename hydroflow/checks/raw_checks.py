@@ -1,7 +1,7 @@
 """Files that Spark lands from the driver tables, through the readers: headers, pivots and the way to the gold table.
 
-A day of a return flag and line status becomes 144 sensor slots of whole hundredths, so both engines read the same
-numbers: some days end early, some cells are dashes, some sensors are stuck or far out of bounds. Files differ in the
+A day of a return flag and line status becomes 144 sensor slots of quarters, so both engines read the same
+numbers and equal days have equal means: some days end early, some cells are dashes, some sensors are stuck or far out of bounds. Files differ in the
 order of their columns, some begin with a byte-order mark, some lack a column.
 """
 
@@ -33,13 +33,14 @@ BASE = {"q": "CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)", "n": "count(*)",
         "dsc": "CAST(sum(CAST(round(l_discount * 100) AS BIGINT)) AS BIGINT)",
         "tx": "CAST(sum(CAST(round(l_tax * 100) AS BIGINT)) AS BIGINT)",
         "ep": "CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS BIGINT)"}
-#: Hundredths of each parameter in slot s of a day; ``//`` divides whole numbers.
+#: Hundredths of each parameter in slot s of a day; ``//`` divides whole numbers. All are quarters, so sums are exact in any order.
 CELLS = {
-    "temperature_C": "CASE WHEN (s + q) % 29 = 0 THEN NULL ELSE (q * 100) // n + (s * 37) % 1301 - 650 + CASE WHEN q % 97 = 0 THEN 4000 ELSE 0 END END",
-    "relative_humidity_pct": "CASE WHEN site = 'R' AND m = 3 THEN 5000 + (s % 4) * 25 ELSE (dsc * 1000) // n + s % 50 END",
-    "wind_speed_ms": "CASE WHEN y % 4 = 1 THEN NULL ELSE (tx * 100) // n + s % 30 END",
-    "rainfall_mm": "CASE WHEN tx % 5 = 0 THEN (s * 11) % 7 * 4 ELSE 0 END",
-    "global_radiation_Wm2": "(ep // n) % 60000 // 4 * 4",
+    "temperature_C": "CASE WHEN (s + q) % 29 = 0 THEN NULL ELSE (q * 100) // n // 25 * 25 + (s * 37) % 52 * 25 - 650 "
+                     "+ CASE WHEN q % 97 = 0 THEN 4000 ELSE 0 END END",
+    "relative_humidity_pct": "CASE WHEN site = 'R' AND m = 3 THEN 5000 + (s % 4) * 25 ELSE (dsc * 1000) // n // 25 * 25 + s % 2 * 25 END",
+    "wind_speed_ms": "CASE WHEN y % 4 = 1 THEN NULL ELSE (tx * 100) // n // 25 * 25 + s % 3 * 25 END",
+    "rainfall_mm": "CASE WHEN tx % 5 = 0 THEN (s * 11) % 7 // 5 * 25 ELSE 0 END",
+    "global_radiation_Wm2": "(ep // n) % 60000 // 100 * 100",
 }
 HHMM = "CASE WHEN s % 36 = 6 THEN lpad(CAST(s * 10 // 60 * 100 + s * 10 % 60 AS VARCHAR), 4, '0') END"
 CAPTIONS = {"station": "Station", "datetime": "Date, time", "temperature_C": "Temp (C)", "relative_humidity_pct": "Humidity (%)",

@@ -228,7 +228,8 @@ def test_histogram_and_density_read_their_rows_twice(spark, tmp_path):
     df = spark.read.parquet(path)
     for made in (A.histogram(df, ["k"], "v"), A.density(df, ["k"], "v")):
         plan = made._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("/values") == 1  # once more than for the written statistics
+        assert plan.count("FileScan parquet") == 2 and plan.count("FileScan parquet [k#") == 2  # the rows, and the written statistics
+        assert len([line for line in plan.split("\n") if "FileScan" in line and "ReadSchema: struct<k:string,v:double>" in line]) == 1
 
 
 def test_average_ranks_equal_pandas(spark):
