@@ -24,7 +24,6 @@ with null ids are not reported; repeated rows give one pair; empty tables give n
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hydroflow.llm.common import Bounded, claim, write_and_read
+from hydroflow.llm.tokens import in_slices
 
 WINDOW = 8
 #: Plain words that a window with slots needs; with less, windows get longer.
@@ -44,6 +44,8 @@ LEAST_SHARE, LEAST_WINDOWS = 0.5, 8
 #: Words that may be put in or left out between windows of one passage.
 SHIFT = 4
 FILTER_BITS = 1 << 23
+#: Characters of texts that are read together, about; a longer text is read alone.
+SLICE_CHARS = 500_000
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|~_-=+…“”„»«¡¿"
 NUMBER = re.compile(r"[+-]?(\d+([.,/:]\d+)*|\d*\.\d+)(st|nd|rd|th)?")
 WITH_UNIT = re.compile(r"([+-]?\d[\d.,]*)([a-zA-Zµ°%]+[23]?)")
@@ -79,84 +81,134 @@ def _number(low: str) -> bool:
         bool(NUMBER.fullmatch(low)) or "-" in low and all(p in NUMBER_WORDS or NUMBER.fullmatch(p) for p in low.split("-")))
 
 
-def _hash(word: str) -> bytes:
-    return xxhash.xxh3_64_intdigest(word).to_bytes(8, sys.byteorder)
+#: What a word as it stands in a text is; BOTH is a number with its unit, NONE has no letters or digits.
+WORD, IS_NUM, IS_UNIT, TITLE, STARTER, BOTH, NONE = range(7)
+#: Added to that: the word ends a sentence, a sign follows it.
+ENDS, CLOSED = 8, 16
 
 
 class _Words(Bounded):
-    """What each word as it stands in a text is: (word, its hash, kind, unit), whether it ends a sentence, whether a sign follows it.
+    """A number for each word as it stands in a text; by number: the plain word, its hash and what it is.
 
-    Kinds: none (no letters or digits), both (a number with its unit), num, unit, title, starter (in title case too), word.
+    Words met when the table is full are let go at the next call.
     """
 
-    ENTRY = 450
-
-    def __missing__(self, raw: str) -> tuple[str, bytes, str, str, bool, bool]:
-        word, ends = raw.strip(EDGE), raw.endswith(SENTENCE_END)
-        low, closed = word.lower(), raw[-1] in EDGE
-        both = WITH_UNIT.fullmatch(word) if word and not word.isalpha() else None
-        front, _, back = low.rpartition("-")
+    ENTRY = 220
+
+    def __init__(self, most_bytes: int = 96_000_000):
+        super().__init__(most_bytes)
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.plain, self.units, self._over, self._kept = [], {}, [], 0
+        self.hashes, self.marks, self._new = np.zeros(0, np.uint64), np.zeros(0, np.uint8), ([], [])
+
+    def _add(self, word: str, mark: int) -> int:
+        self.plain.append(word)
+        self._new[0].append(xxhash.xxh3_64_intdigest(word))
+        self._new[1].append(mark)
+        return len(self.plain) - 1
+
+    def __missing__(self, raw: str) -> int:
+        word, mark, unit = raw.strip(EDGE), 0, ""
+        if word is not raw:
+            mark = ENDS * raw.endswith(SENTENCE_END) + CLOSED * (raw[-1] in EDGE)
+        low = word.lower()
+        if word.isalpha():
+            both, front, back = None, "", ""
+        else:
+            both = WITH_UNIT.fullmatch(word)
+            front, _, back = low.rpartition("-")
         if not word:
-            found = "", "none", "", ends, closed
+            kind = NONE
         elif both and both[2].lower() in UNITS:
-            found = both[1], "both", both[2].lower(), ends, closed
+            low, kind, unit = both[1], BOTH, both[2].lower()
         elif back in UNITS and _number(front):
-            found = front, "both", back, ends, closed
+            low, kind, unit = front, BOTH, back
         elif _number(low):
-            found = low, "num", "", ends, closed
+            kind = IS_NUM
         elif low in UNITS:
-            found = low, "unit", "", ends, closed
+            kind = IS_UNIT
         elif len(word) > 1 and word[0].isupper() and word[1:].islower():
-            found = low, "starter" if low in STARTERS else "title", "", ends, closed
+            kind = STARTER if low in STARTERS else TITLE
         else:
-            found = low, "word", "", ends, closed
-        found = found[0], _hash(found[0]), *found[1:]
-        self.keep(raw, found)
+            kind = WORD
+        self[raw] = n = self._add(low, kind + mark)
+        if unit:
+            self.units[n] = self._add(unit, IS_UNIT)
+        if self.held < self.most_bytes:
+            self.held += len(raw) + self.ENTRY
+            self._kept = len(self.plain)
+        else:
+            self._over.append(raw)
+        return n
+
+    def numbers(self, raws: list[str]) -> np.ndarray:
+        """The numbers of words, good until the next call."""
+        claim(self)
+        for raw in self._over:
+            del self[raw]
+        self._over, kept = [], self._kept
+        del self.plain[kept:]
+        found = np.fromiter(map(self.__getitem__, raws), np.int64, len(raws))
+        self.hashes = np.concatenate([self.hashes[:kept], np.array(self._new[0], np.uint64)])
+        self.marks = np.concatenate([self.marks[:kept], np.array(self._new[1], np.uint8)])
+        self._new = [], []
         return found
 
 
 _SEEN = _Words()
 
 
-def template(text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(plain lower-cased words, their 64-bit hashes, their types).
+class Template(NamedTuple):
+    """The words of some texts, one text after the other."""
+
+    edges: np.ndarray  # where each text begins, and the end
+    plain: list[str]  # lower-cased words by number
+    numbers: np.ndarray
+    hashes: np.ndarray
+    types: np.ndarray
+
+
+def template(texts: list[str | None]) -> Template:
+    """Plain words of texts, their 64-bit hashes and types.
 
     A name is a word in title case, for certain if it does not begin a sentence or line; a unit follows a number.
     """
-    claim(_SEEN)
-    words, hashes, types, seen = [], [], bytearray(), _SEEN
-    for line in (text or "").split("\n"):
-        start, title = True, -1  # number of words up to the title-case word that another may go on with
-        for raw in line.split():
-            word, own, kind, unit, ends, closed = seen[raw]
-            if kind == "word":
-                words.append(word)
-                hashes.append(own)
-                types.append(LITERAL)
-            elif kind == "none":
-                start, title = start or ends, -1
-                continue
-            elif kind == "both":
-                words += [word, unit]
-                hashes += [own, _hash(unit)]
-                types += bytes((OF_NUM, OF_UNIT))
-            elif kind == "num":
-                words.append(word)
-                hashes.append(own)
-                types.append(OF_NUM)
-            elif kind == "unit":
-                words.append(word)
-                hashes.append(own)
-                types.append(OF_UNIT if types and types[-1] == OF_NUM else LITERAL)
-            else:
-                name = OF_NAME if not start else MAYBE if kind == "title" else LITERAL
-                types.append(name + GOES_ON if name and title == len(words) else name)
-                words.append(word)
-                hashes.append(own)
-                if name and not closed:
-                    title = len(words)
-            start = ends
-    return words, np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(types, np.uint8)
+    raws, lines, text_ends = [], [], []
+    for text in texts:
+        for line in (text or "").split("\n"):
+            lines.append(len(raws))
+            raws += line.split()
+        text_ends.append(len(raws))
+    numbers, n = _SEEN.numbers(raws), len(raws)
+    marks = _SEEN.marks[numbers]
+    kind, ends, closed, at = marks & 7, marks & ENDS > 0, marks & CLOSED > 0, np.arange(n)
+    # A word begins a sentence if no word of its line is before it, or if the last sign or word that tells ends one.
+    begins = np.zeros(n + 1, bool)
+    begins[lines] = True
+    begins = begins[:n]
+    tells = np.concatenate([[-1], np.maximum.accumulate(np.where((kind != NONE) | ends, at, -1))])[:n]
+    start = (tells < np.maximum.accumulate(np.where(begins, at, 0))) | ends[tells] if n else ends
+    types = np.zeros(n, np.uint8)
+    types[(kind == IS_NUM) | (kind == BOTH)] = OF_NUM
+    title = kind == TITLE
+    name = title | (kind == STARTER) & ~start
+    types[name] = OF_NAME
+    types[title & start] = MAYBE
+    types[1:][name[1:] & name[:-1] & ~closed[:-1] & ~begins[1:]] += GOES_ON
+    # Words without letters or digits go; a number with its unit becomes two words.
+    times = (kind != NONE) + (kind == BOTH).astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(times)])[np.concatenate([[0], text_ends]).astype(np.int64)]
+    numbers, types, kind = np.repeat(numbers, times), np.repeat(types, times), np.repeat(kind, times)
+    second = np.cumsum(times)[times == 2] - 1
+    types[second] = OF_UNIT
+    numbers[second] = [_SEEN.units[k] for k in numbers[second].tolist()]
+    follows = np.concatenate([[False], types[:-1] == OF_NUM])[:len(types)]
+    follows[edges[edges < len(types)]] = False
+    types[follows & (kind == IS_UNIT)] = OF_UNIT
+    return Template(edges, _SEEN.plain, numbers, _SEEN.hashes[numbers], types)
 
 
 #: Powers of an odd number and of its inverse modulo 2 ** 64, as many as the longest text so far needs.
@@ -193,28 +245,50 @@ class _Windows:
 
 
 class Found(NamedTuple):
-    """Windows of a text that may be matched, all of one reading."""
+    """Windows of texts that may be matched, all of one reading."""
 
     hashes: np.ndarray
     starts: np.ndarray  # words
     ends: np.ndarray
     sizes: np.ndarray  # tokens; 0 for windows as long as their slots ask
-    slots: np.ndarray | None  # types of the text's words in this reading; None: plain words
+    slots: np.ndarray | None  # types of the texts' words in this reading; None: plain words
 
 
-_SLOT_HASHES = np.frombuffer(b"".join(map(_hash, SLOTS)), np.uint64)
+_SLOT_HASHES = np.array([xxhash.xxh3_64_intdigest(s) for s in SLOTS], np.uint64)
 
 
-def _of_text(text: str | None, sizes: list[int] | None) -> tuple[list[str], np.ndarray, list[Found]]:
-    """(words, place of each word when runs of names are one, windows); no sizes: ``WINDOW`` or the whole of a shorter text."""
-    words, plain, types = template(text)
-    n = len(words)
+class Reading(NamedTuple):
+    words: Template
+    text: np.ndarray  # which text each word is of
+    places: np.ndarray  # place of each word in its text when runs of names are one
+    found: list[Found]
+
+    def fillers(self, slots: np.ndarray | None, a: int, b: int) -> list[str]:
+        """What stands in the slots of a window, with its type."""
+        out = []
+        if slots is not None:
+            for k in range(a, b):
+                word = self.words.plain[self.words.numbers[k]]
+                if k > a and self.places[k] == self.places[k - 1] and slots[k] == slots[k - 1] == OF_NAME:
+                    out[-1] += " " + word
+                elif slots[k]:
+                    out.append(SLOTS[slots[k]] + " " + word)
+        return out
+
+
+def _read(texts: list[str | None], sizes: list[int] | None) -> Reading:
+    """The windows of texts, none across two of them; no sizes: ``WINDOW``, or the whole of one shorter text."""
+    words = template(texts)
+    plain, types, n = words.hashes, words.types, len(words.types)
+    text = np.repeat(np.arange(len(texts)), np.diff(words.edges))
     hasher, found = _Windows(plain), []
     for size in sizes or [min(n, WINDOW)]:
         at = np.arange(max(0, n - size + 1) if size else 0)
-        found.append(Found(hasher.all(size)[:len(at)], at, at + size, np.full(len(at), size), None))
+        inside = text[at] == text[at + size - 1]
+        at = at[inside]
+        found.append(Found(hasher.all(size)[:len(inside)][inside], at, at + size, np.full(len(at), size), None))
     if not types.any():
-        return words, np.arange(n), found
+        return Reading(words, text, np.arange(n) - words.edges[text], found)
     goes_on, types = types >= GOES_ON, types & (GOES_ON - 1)
     maybe, places = types == MAYBE, None
     for with_maybe in (True, False) if maybe.any() else (True,):
@@ -223,9 +297,10 @@ def _of_text(text: str | None, sizes: list[int] | None) -> tuple[list[str], np.n
         kept = np.ones(n, bool)
         kept[1:] = ~(goes_on[1:] & names[1:] & names[:-1])
         if places is None:
-            places = np.cumsum(kept) - 1
+            places = np.cumsum(kept)
+            places -= places[words.edges[text]]
         first = np.flatnonzero(kept)
-        m, edge, is_literal = len(first), np.append(first, n), slots[first] == LITERAL
+        m, edge, is_literal, of = len(first), np.append(first, n), slots[first] == LITERAL, text[first]
         hasher = _Windows(np.where(is_literal, plain[first], _SLOT_HASHES[slots[first]]))
         literal = np.concatenate([[0], np.cumsum(is_literal)])
         spans = []
@@ -238,25 +313,14 @@ def _of_text(text: str | None, sizes: list[int] | None) -> tuple[list[str], np.n
         far = b - a > WINDOW
         spans.append((a[far], b[far], np.zeros(far.sum(), int)))
         a, b, size = (np.concatenate(x) for x in zip(*spans))
+        wanted = of[a] == of[b - 1]
         if not with_maybe:  # windows without such words are those of the other reading
             so_far = np.concatenate([[0], np.cumsum(maybe[first])])
-            other = so_far[b] > so_far[a]
-            a, b, size = a[other], b[other], size[other]
+            wanted &= so_far[b] > so_far[a]
+        a, b, size = a[wanted], b[wanted], size[wanted]
         if len(a):
             found.append(Found(hasher.of(a, b), edge[a], edge[b], size, slots))
-    return words, places, found
-
-
-def _fillers(words: list[str], places: np.ndarray, slots: np.ndarray | None, a: int, b: int) -> list[str]:
-    """What stands in the slots of a window, with its type."""
-    out = []
-    if slots is not None:
-        for k in range(a, b):
-            if k > a and places[k] == places[k - 1] and slots[k] == slots[k - 1] == OF_NAME:
-                out[-1] += " " + words[k]
-            elif slots[k]:
-                out.append(SLOTS[slots[k]] + " " + words[k])
-    return out
+    return Reading(words, text, places, found)
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
@@ -265,11 +329,12 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for item, text in zip(batch["item_id"], batch["text"]):
-                words, places, found = _of_text(text, None)
-                least = min(len(words), WINDOW)
-                for x in found:
-                    rows += [(int(h.astype(np.int64)), item, int(places[a]), int(a), int(max(a, b - least)), _fillers(words, places, x.slots, a, b),
-                              int(size), len(words) - least + 1) for h, a, b, size in zip(x.hashes, x.starts, x.ends, x.sizes)]
+                read = _read([text], None)
+                n = len(read.text)
+                least = min(n, WINDOW)
+                for x in read.found:
+                    rows += [(int(h.astype(np.int64)), item, int(read.places[a]), int(a), int(max(a, b - least)), read.fillers(x.slots, a, b),
+                              int(size), n - least + 1) for h, a, b, size in zip(x.hashes, x.starts, x.ends, x.sizes)]
             yield pd.DataFrame(rows, columns=["hash", "item_id", "item_at", "low", "high", "item_fillers", "size", "n_windows"])
 
     return items.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text").mapInPandas(
@@ -292,14 +357,15 @@ def document_windows(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = sent.value
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                words, places, found = _of_text(text, sizes)
-                for x in found:
+            rows, docs, texts = [], batch["doc_id"].tolist(), [t or "" for t in batch["text"]]
+            for i, j in in_slices(texts, SLICE_CHARS):
+                read = _read(texts[i:j], sizes)
+                for x in read.found:
                     b = (x.hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    for k in np.flatnonzero(bits[b >> 3] >> (b & 7).astype(np.uint8) & 1):
-                        rows.append((int(x.hashes[k].astype(np.int64)), doc, int(places[x.starts[k]]),
-                                     _fillers(words, places, x.slots, x.starts[k], x.ends[k])))
+                    hits = np.flatnonzero(bits[b >> 3] >> (b & 7).astype(np.uint8) & 1)
+                    at, end = x.starts[hits], x.ends[hits]
+                    rows += [(h, docs[i + t], place, read.fillers(x.slots, a, e)) for h, t, place, a, e in zip(
+                        x.hashes[hits].astype(np.int64).tolist(), read.text[at].tolist(), read.places[at].tolist(), at.tolist(), end.tolist())]
             yield pd.DataFrame(rows, columns=["hash", "doc_id", "doc_at", "fillers"])
 
     return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(

@@ -327,3 +327,31 @@ def test_pipeline_stages_with_repeated_and_null_ids(spark, tmp_path):
 def test_statistics_of_odd_texts():
     for text in (None, "", " \n", "x", "é" * 100_000, "a b " * 50_000):
         assert np.isfinite(quality_qda.statistics(text)).all()
+
+
+def test_templates_of_many_texts_are_those_of_each(monkeypatch):
+    texts = [None, "", "Tom has 5 apples. -- Tom eats 3 km\nkm 12kg of five-mile New York. New\nYork! ... it", "km 7", "\n\n", "km " + prose(7, 3000), "Ann 8"]
+    kinds = {decontamination.LITERAL: "", decontamination.OF_NUM: "num", decontamination.OF_UNIT: "unit", decontamination.OF_NAME: "name",
+             decontamination.MAYBE: "maybe", decontamination.OF_NAME + decontamination.GOES_ON: "name+"}
+
+    def read(many):
+        t = decontamination.template(many)
+        rows = [(t.plain[n], int(h), kinds[k]) for n, h, k in zip(t.numbers.tolist(), t.hashes, t.types.tolist())]
+        return [rows[a:b] for a, b in zip(t.edges[:-1], t.edges[1:])]
+
+    def windows(many):
+        r = decontamination._read(many, [3, 8])
+        return sorted((int(r.text[a]), int(h), int(r.places[a]), int(s), *r.fillers(x.slots, a, b))
+                      for x in r.found for h, a, b, s in zip(x.hashes, x.starts.tolist(), x.ends.tolist(), x.sizes))
+
+    for most_bytes in (96_000_000, 500):  # a table that holds all words, one that is full at once
+        monkeypatch.setattr(decontamination, "_SEEN", decontamination._Words(most_bytes))
+        whole = read(texts)
+        assert whole == [read([t])[0] for t in texts]
+        assert windows(texts) == sorted((i, *w[1:]) for i, t in enumerate(texts) for w in windows([t]))
+        assert [(w, k) for w, _, k in whole[2]] == [
+            ("tom", "maybe"), ("has", ""), ("5", "num"), ("apples", ""), ("tom", "maybe"), ("eats", ""), ("3", "num"), ("km", "unit"), ("km", ""),
+            ("12", "num"), ("kg", "unit"), ("of", ""), ("five", "num"), ("mile", "unit"), ("new", "name"), ("york", "name+"), ("new", "maybe"),
+            ("york", "maybe"), ("it", "")]
+        assert [(w, k) for w, _, k in whole[3]] == [("km", ""), ("7", "num")] and len(whole[5]) == 3001
+    assert whole[0] == whole[1] == whole[4] == []
