@@ -409,4 +409,4 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents, all columns, without those that hold a benchmark item."""
     bad = contaminated(docs, items).select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id") == F.col("_bad_id"), "left_anti")
+    return docs.join(bad.hint("merge"), docs["doc_id"] == bad["_bad_id"], "left_anti")

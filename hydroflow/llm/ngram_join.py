@@ -397,8 +397,9 @@ def without_copies(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
     stay = members.groupBy("root").agg(F.min(order)["row_key"].alias("stays"), F.count("*").alias("k")).filter("k > 1")
     told = members.join(stay, "root").select(F.col("row_key").alias("_told"), (F.col("row_key") == F.col("stays")).alias("_stays")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    rows = docs.withColumn("_key", key).withColumn("_tie", F.xxhash64(*docs.columns))
+    # the row's own columns are held in one, where their names meet no other
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_key"), F.xxhash64(*own).alias("_tie"), F.struct(*own).alias("_row"))
     rows = rows.join(told.hint("merge"), F.col("_key") == F.col("_told"), "left").filter("_stays IS NULL OR _stays")
     rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_key").orderBy("_tie")))
-    return rows.filter("_stays IS NULL OR _place = 1").select(*docs.columns)
+    return rows.filter("_stays IS NULL OR _place = 1").select("_row.*")

@@ -33,27 +33,28 @@ SIGNS = SYMBOLS + "!"
 GAPS = " \t\n\x0b\x0c\r"
 
 
-def _words(text: Column) -> Column:
-    """Words of a text: all white space becomes a space, at which a split needs no pattern."""
-    for c in GAPS[1:]:
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+def _words(spaced: Column) -> Column:
+    """Words of a text whose gaps are spaces, at which a split needs no pattern."""
+    return F.array_remove(F.split(spaced, " "), "")
 
 
 def with_lists(docs: DataFrame) -> DataFrame:
-    """doc_id, text, number of symbols, words, tokens and lines with a word."""
+    """doc_id, number of symbols, words, tokens and lines with a word."""
     text = F.coalesce("text", F.lit(""))
-    spaced = text
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(GAPS)) != "")
+    plain = text
+    for c in GAPS[1:]:
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    rows = docs.select("doc_id", lines.alias("lines"), plain.alias("plain"), *[c for c in docs.columns if c == "trusted"])
+    spaced = F.col("plain")
     for c in SIGNS:
         spaced = F.replace(spaced, F.lit(c), F.lit(f" {c} "))
-    rows = docs.select("doc_id", text.alias("text"), spaced.alias("spaced"), *[c for c in docs.columns if c == "trusted"])
+    rows = rows.withColumns({"spaced": spaced, "words": _words(F.col("plain"))})
     # a sign adds two spaces; those that are no symbols are counted by taking them out
-    size = F.octet_length("text")
-    others = sum((size - F.octet_length(F.replace("text", F.lit(c), F.lit(""))) for c in SIGNS if c not in SYMBOLS), F.lit(0))
-    symbols = F.expr("(octet_length(spaced) - octet_length(text)) div 2") - others
-    lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(GAPS)) != "")
-    return rows.withColumns({"n_symbols": symbols.cast("long"), "words": _words(F.col("text")), "tokens": _words(F.col("spaced")),
-                             "lines": lines}).drop("spaced")
+    size, signs = F.octet_length("plain"), F.expr("(octet_length(spaced) - octet_length(plain)) div 2")
+    others = sum((size - F.octet_length(F.replace("plain", F.lit(c), F.lit(""))) for c in SIGNS if c not in SYMBOLS), F.lit(0))
+    return rows.withColumns({"n_symbols": F.when(signs == 0, F.lit(0)).otherwise(signs - others).cast("long"),
+                             "tokens": F.when(signs == 0, F.col("words")).otherwise(_words(F.col("spaced")))}).drop("spaced", "plain")
 
 
 def base_columns(rows: DataFrame) -> DataFrame:

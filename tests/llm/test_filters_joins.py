@@ -355,3 +355,18 @@ def test_templates_of_many_texts_are_those_of_each(monkeypatch):
             ("york", "maybe"), ("it", "")]
         assert [(w, k) for w, _, k in whole[3]] == [("km", ""), ("7", "num")] and len(whole[5]) == 3001
     assert whole[0] == whole[1] == whole[4] == []
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    bench = prose("bench", 30)
+    rows = [(1, prose(1, 150)), (2, prose(1, 150)), (2, prose(1, 150)), (3, prose(3, 60) + " " + bench), (4, ""), (None, prose(5, 60)), (None, prose(1, 150))]
+    names = ["_key", "_tie", "_row", "_told", "_stays", "_place", "_bad_id", "root", "n", "row_key", "signature", "a.b", "k"]
+    docs = spark.createDataFrame([(d, t, *[f"{i} {c}" for c in names]) for i, (d, t) in enumerate(rows)],
+                                 "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    given = {(r["doc_id"], r["text"]): {tuple(x) for x in docs.collect() if (x["doc_id"], x["text"]) == (r["doc_id"], r["text"])} for r in docs.collect()}
+    items = spark.createDataFrame([(1, bench)], "item_id long, text string")
+    for left, want in ((ngram_join.without_copies(docs), [1, 3, 4, None]), (decontamination.clean_documents(docs, items), [1, 2, 2, 4, None, None])):
+        assert left.columns == docs.columns
+        found = left.collect()
+        assert sorted(map(str, (r["doc_id"] for r in found))) == sorted(map(str, want))
+        assert all(tuple(r) in given[r["doc_id"], r["text"]] for r in found)
