@@ -18,7 +18,8 @@ and loses none.
 Defined results: null or empty texts on either side match nothing; an item shorter than a window
 has one window of its whole length; items with less than ``LEAST_LITERAL`` plain words (short items: that
 share) cannot be told from their slots and match by plain words only; equal items are all reported; rows
-with null ids are not reported; repeated rows give one pair; empty tables give no rows; further columns are ignored.
+with null ids are not reported, but ``clean_documents`` heeds items without an id; repeated rows give one
+pair; empty tables give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -407,6 +408,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents, all columns, without those that hold a benchmark item."""
+    """The documents, all columns, without those that hold a benchmark item, be its id null or not."""
+    items = items.select(F.xxhash64("item_id", "text").alias("item_id"), "text").distinct()
     bad = contaminated(docs, items).select(F.col("doc_id").alias("_bad_id")).distinct()
     return docs.join(bad.hint("merge"), docs["doc_id"] == bad["_bad_id"], "left_anti")

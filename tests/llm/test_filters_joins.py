@@ -370,3 +370,11 @@ def test_filters_keep_columns_of_any_name(spark):
         found = left.collect()
         assert sorted(map(str, (r["doc_id"] for r in found))) == sorted(map(str, want))
         assert all(tuple(r) in given[r["doc_id"], r["text"]] for r in found)
+
+
+def test_items_without_an_id_clean_documents(spark):
+    first, second = prose("bench", 30), prose("other", 30)
+    items = spark.createDataFrame([(None, first), (None, first), (None, None), (7, second), (7, second)], "item_id long, text string")
+    docs = frame(spark, [(1, prose(1, 60) + " " + first), (2, prose(2, 60)), (3, prose(3, 60) + " " + second), (4, None)])
+    assert sorted(r["doc_id"] for r in decontamination.clean_documents(docs, items).collect()) == [2, 4]
+    assert [(r["doc_id"], r["item_id"]) for r in decontamination.contaminated(docs, items).collect()] == [(3, 7)]
