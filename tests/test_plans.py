@@ -238,6 +238,18 @@ def test_premise_passes_on_cloudy_rain(spark):
     assert row.verdict == "PASS" and row.wet_season_auc > 0.9 and 0 < row.wet_season_cloud_rain_corr <= 1
 
 
+def test_premise_of_a_span_that_never_varies(spark):
+    dates = pd.date_range("2013-01-01", "2014-12-31")
+    rain = np.arange(len(dates)) % 7.0
+    pdf = pd.concat([pd.DataFrame({"site": site, "date": dates.date, "temp_max_C": 50.0, "temp_min_C": 1.0 + np.arange(len(dates)) % k,
+                                   "rainfall_mm": rain}) for site, k in (("same", 1), ("varied", 7))])
+    for harmonics in (1, 3):
+        rows = {r.site: r.wet_season_cloud_rain_corr for r in L.premise(spark.createDataFrame(pdf), harmonics=harmonics).collect()}
+        assert np.isnan(rows["same"]) and rows["varied"] > 0.5
+        dry = spark.createDataFrame(pdf).withColumn("rainfall_mm", F.lit(0.0))
+        assert all(np.isnan(r.wet_season_cloud_rain_corr) for r in L.premise(dry, harmonics=harmonics).collect())
+
+
 def test_embargo_drops_targets_in_the_test_year(spark, frame):
     ready = L.per_fold(frame.withColumns({"bucket_S": F.lit(1.0), "bucket_Q30": F.lit(0.0)}), (2015,), 2012)
     marked = L.mark_anchors(L.temperature_features(ready))
