@@ -8,9 +8,9 @@ gives what is discounted from words to all unknown words as one class. Each stat
 Work. Documents are cut into blocks. A block's words and bigrams are counted where it is read, its texts are
 kept as word numbers in a file of the shared folder, and its counts go out in packed arrays, one per block and
 bucket of hashes; a bucket adds up the counts of all blocks and answers each block with the totals of just the words and bigrams
-that it holds. A block then builds its part of the automaton and reads each text once from left to right,
-carrying the state. What moves is one entry per block and distinct bigram, so a word that makes up a third of all text is
-one entry per block, and counts cover all training text.
+that it holds. A block then builds its part of the automaton, weighs each of its bigrams once, as the step from the first word's
+state on the second word, and adds up the steps of each text from left to right. What moves is one entry per block and
+distinct bigram, so a word that makes up a third of all text is one entry per block, and counts cover all training text.
 
 Defined results: a null or empty text is scored as its end alone; rows with a null id belong to training;
 rows with equal ids are kept; without training texts all probabilities are 1; an empty table gives no rows;
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,8 @@ from hydroflow.llm.common import (SharedFolder, WordHashes, lower_words, mix64,
 
 #: Tokens in a block and entries in a bucket, about.
 BLOCK_TOKENS, BUCKET_ENTRIES = 1_500_000, 1_500_000
+#: Bytes of texts that a worker opens at a time, about.
+OPEN_BYTES = 4_000_000
 #: Bigrams with fewer training counts are left to the failure arc.
 LEAST_COUNT = 2
 END, BEGIN = np.uint64(1), np.uint64(2)
@@ -56,6 +59,8 @@ def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
 
 
 SEGMENT = "block string, bucket int, kind string, keys binary, counts binary, heads binary, head_at binary"
+SEGMENT_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()),
+                           ("heads", pa.binary()), ("head_at", pa.binary())])
 
 
 def _segments(block: str, kind: str, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int, heads: np.ndarray | None = None):
@@ -116,8 +121,16 @@ class Block:
         return found | dict(zip(("heads", "tails", "pair_of"), _pairs(found["ids"], found["ends"], len(found["words"]) - 1)))
 
 
+def _opened(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Rows of a batch; about ``OPEN_BYTES`` of it stand as Python objects at a time."""
+    step = max(1, batch.num_rows * OPEN_BYTES // max(1, batch.nbytes))
+    for start in range(0, batch.num_rows, step):
+        part = batch.slice(start, step)
+        yield from zip(*[part.column(c).to_pylist() for c in ("doc_id", "held_out", "text")])
+
+
 def _count_blocks(folder: str, buckets: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         files, task, made = SharedFolder(folder), TaskContext.get().partitionId(), 0
@@ -126,11 +139,12 @@ def _count_blocks(folder: str, buckets: int):
         def close():
             nonlocal made
             block, made = Block(ids, held, hashes), made + 1
-            return block.segments(files.write(f"block-{task}-{made}", block.file(), fixed=True), buckets)
+            rows = block.segments(files.write(f"block-{task}-{made}", block.file(), fixed=True), buckets)
+            return pa.RecordBatch.from_pandas(rows, schema=SEGMENT_ARROW, preserve_index=False)
 
         for batch in batches:
-            for doc, out, text in zip(batch["doc_id"].astype("Int64"), batch["held_out"], batch["text"]):
-                ids.append(None if doc is pd.NA else int(doc))
+            for doc, out, text in _opened(batch):
+                ids.append(doc)
                 held.append(bool(out))
                 hashes.append(_WORDS.of(lower_words(text)))
                 size += len(hashes[-1]) + 1
@@ -222,20 +236,14 @@ class Automaton:
         else:
             single, left = np.ones(self.width), np.ones(self.width)
             is_arc, weight = np.zeros(len(pairs), bool), np.zeros(0)
-        self.words = np.log10(single).tolist()
-        self.failure = np.log10(np.maximum(left, 1e-300)).tolist()
-        arcs = np.full(len(pairs), None, object)
-        arcs[is_arc] = weight
-        self.arcs = arcs.tolist()
-
-    def score(self, ids: list[int], pair_of: list[int]) -> float:
-        """One pass: take the state's arc for the word, or fail to the empty state and take its arc; the word is the next state."""
-        state, total, arcs, words, failure = self.width - 1, 0.0, self.arcs, self.words, self.failure
-        for word, step in zip(ids, pair_of):
-            weight = arcs[step]
-            total += failure[state] + words[word] if weight is None else weight
-            state = word
-        return total
+        #: log10 weight of each bigram of the block: its arc's, or that of failing to the empty state and taking the word's arc.
+        self.steps = np.log10(np.maximum(left, 1e-300))[block["heads"]] + np.log10(single)[block["tails"]]
+        self.steps[is_arc] = weight
+
+    def score(self, pair_of: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums over texts in a row, from left to right: the state is the word before, so a place's bigram names its step."""
+        text_of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        return np.bincount(text_of, weights=self.steps[pair_of], minlength=len(ends))
 
 
 def _aligned(rows: pd.DataFrame, bucket: np.ndarray, column: str, kind: str) -> np.ndarray:
@@ -276,7 +284,7 @@ def _score_block(folder: str, buckets: int, model: dict):
         rows = pd.DataFrame({
             "doc_id": pd.array(block["doc_ids"], dtype="Int64"), "held_out": block["held_out"], "n_tokens": ends - starts,
             "n_known": np.add.reduceat(known.astype(np.int64), starts), "train_tokens": n, "base_score": np.add.reduceat(base, starts),
-            "score": [automaton.score(ids[a:b].tolist(), pair_of[a:b].tolist()) for a, b in zip(starts, ends)]})
+            "score": automaton.score(pair_of, ends)})
         rows.loc[block["no_id"], "doc_id"] = pd.NA
         return rows
     return run
@@ -290,7 +298,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     buckets = max(4, size // (5 * BUCKET_ENTRIES) + 1)
     folder = scratch_path(spark, "lm-blocks")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out)
-    segments = rows.mapInPandas(_count_blocks(folder, buckets), SEGMENT)
+    segments = rows.mapInArrow(_count_blocks(folder, buckets), SEGMENT)
     totals = write_and_read(segments.groupBy("kind", "bucket").applyInPandas(_add_up, TOTALS), "lm-totals")
     sums = {r["kind"]: r for r in totals.filter("kind LIKE 'sums%'").groupBy("kind").agg(
         *[F.sum(c).alias(c) for c in ("total", "types", "ones", "twos")]).collect()}

@@ -4,8 +4,12 @@ import collections
 import math
 import random
 import re
+import tracemalloc
+import types
 
 import numpy as np
+import pyarrow as pa
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,6 +297,26 @@ def test_backoff_scores(spark, monkeypatch):
     assert backoff_lm.score(frame(spark, []), fold_is("doc_id", 5, 1)).count() == 0
 
 
+def test_backoff_blocks_open_few_texts_at_a_time(tmp_path, monkeypatch):
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: types.SimpleNamespace(partitionId=lambda: 0)))
+    texts = ["x" * 20_000] * 1500 + [None, "a b a b c"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [*range(1501), None], "text": texts, "held_out": [False] * 1502})
+    tracemalloc.start()
+    rows = [r for b in backoff_lm._count_blocks(str(tmp_path), 4)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16_000_000  # all texts take 30 MB
+    block = backoff_lm.Block.read((tmp_path / rows[0]["block"]).read_bytes())
+    assert len(block["ends"]) == 1502 and block["no_id"].tolist() == [False] * 1501 + [True]
+    # steps of "a b a b c <end>" against a walk that takes an arc or fails to the empty state
+    pairs = np.arange(len(block["heads"])) % 3
+    counts, ones = np.full(len(block["words"]), 5), np.ones(len(block["words"]))
+    automaton = backoff_lm.Automaton(block, counts, ones, 3 * ones, pairs, {"tokens": 50, "types": 9, "word_discount": 0.5, "pair_discount": 0.4})
+    single, left = (5 - 0.5) / 50, 1 - (3 - 0.4) / 5
+    walk = [math.log10((2 - 0.4) / 5 + left * single) if pairs[p] == 2 else math.log10(left) + math.log10(single) for p in block["pair_of"][-6:]]
+    assert automaton.score(block["pair_of"], block["ends"])[-1] == pytest.approx(sum(walk), abs=1e-9)
+
+
 def test_pipeline(spark, tmp_path):
     copy = prose(1, 150).split()
     near = " ".join(copy[:70] + ["changed"] + copy[71:])
