@@ -8,8 +8,10 @@ a bounded table. Any text with other white space is encoded as a whole.
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
+from itertools import filterfalse
 
 import numpy as np
 
@@ -17,9 +19,10 @@ from hydroflow.llm.common import claim
 
 #: Words a worker keeps; past that the table starts anew.
 KEPT_WORDS = 1_500_000
-#: Words encoded in one call of the library.
-CALL_WORDS = 64
-_ODD_SPACE = re.compile("[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n | \\Z|\n\n")
+#: Words encoded in one string, and strings in one call of the library.
+STRING_WORDS, CALL_STRINGS = 256, 32
+_ODD_SPACE = [*map(chr, (9, 11, 12, 13, *range(0x1c, 0x20), 0x85, 0xa0, 0x1680, *range(0x2000, 0x200b), 0x2028, 0x2029, 0x202f, 0x205f, 0x3000)),
+              "  ", " \n", "\n ", "\n\n"]
 _WORD_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CUT = "\x1f"
 _AFTER_WORD = frozenset(".,;:!?")
@@ -32,6 +35,7 @@ class WordTable(dict):
         super().__init__()
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype(dtype)
@@ -50,14 +54,12 @@ class WordTable(dict):
         return found
 
     def learn(self, words: set[str]) -> None:
-        """Add words that are not in the table, ``CALL_WORDS`` in a call."""
+        """Add words that are not in the table, ``STRING_WORDS`` in a string and ``CALL_STRINGS`` strings in a call."""
         if len(self) + len(words) > KEPT_WORDS:
             self.clear()
         tails = {}
         fresh = set()
-        for w in words:
-            if w in self:
-                continue
+        for w in filterfalse(self.__contains__, words):
             if len(w) > 2 and w[-1] in _AFTER_WORD and w[-2] < "\u0130" and w[-2].isalpha():
                 tails[w] = w[:-1]
                 if w[:-1] not in self:
@@ -69,31 +71,41 @@ class WordTable(dict):
             fresh.discard("\n")
             self["\n"] = self.ids("\n")
         fresh = list(fresh)
-        for i in range(0, len(fresh), CALL_WORDS):
-            self._learn_some(fresh[i:i + CALL_WORDS])
+        groups = [fresh[i:i + STRING_WORDS] for i in range(0, len(fresh), STRING_WORDS)]
+        for i in range(0, len(groups), CALL_STRINGS):
+            some = groups[i:i + CALL_STRINGS]
+            for group, found in zip(some, self._encoded([self._in_one(g) for g in some])):
+                self._learn_some(group, found)
         for w, stem in tails.items():
             self[w] = self[stem] + self[w[-1]]
 
-    def _learn_some(self, words: list[str]) -> None:
-        """Encode words in one string and cut the ids by the bytes that each id stands for."""
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, without the places in it that the library's other calls look up as well."""
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _in_one(self, words: list[str]) -> str:
+        if self.lower_case_words:
+            return " ".join(words)
+        # a word of a line's start gets the line end in front, which is one id of its own
+        return "".join([w if w[0] == " " else "\n" + w for w in words])
+
+    def _learn_some(self, words: list[str], ids: np.ndarray) -> None:
+        """Cut the ids of words in one string by the bytes that each id stands for."""
         if self.lower_case_words:
-            text = " ".join(words)
             lengths = [len(unicodedata.normalize("NFC", w).lower().encode()) for w in words]
-        else:  # a word of a line's start gets the line end in front, which is one id of its own
-            text = "".join(w if w[0] == " " else "\n" + w for w in words)
+        else:
             lengths = [len(w.encode()) + (w[0] != " ") for w in words]
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
         ends = np.cumsum(self.n_bytes[ids])
         wanted = np.cumsum(lengths)
         at = np.searchsorted(ends, wanted)
         if len(ends) == 0 or at[-1] != len(ids) - 1 or (ends[at] != wanted).any():
-            for w in words:
-                self[w] = self.ids(w)
+            for w, found in zip(words, self._encoded(words)):
+                self[w] = found.tobytes()
             return
-        start = 0
-        for w, stop in zip(words, (at + 1).tolist()):
-            lead = 0 if self.lower_case_words or w[0] == " " else 1
-            self[w] = ids[start + lead:stop].tobytes()
+        data, width, start = ids.tobytes(), self.dtype.itemsize, 0
+        for w, stop in zip(words, ((at + 1) * width).tolist()):
+            lead = 0 if self.lower_case_words or w[0] == " " else width
+            self[w] = data[start + lead:stop]
             start = stop
 
     def cut(self, text: str) -> list[str] | None:
@@ -104,7 +116,7 @@ class WordTable(dict):
                 if any(c in text for c in "\x1c\x1d\x1e\x1f"):
                     found = [w for w in _WORD_SPACE.split(text) if w]
             return found
-        if _ODD_SPACE.search(text):
+        if text[-1:] == " " or any([c in text for c in _ODD_SPACE]):
             return None
         if "\n" in text:
             if text[0] == "\n" or text[-1] == "\n":

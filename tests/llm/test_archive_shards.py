@@ -102,6 +102,24 @@ def test_word_table_equals_whole_texts(name, lower):
         assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name, lower", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_word_table_learns_many_words_in_a_call(name, lower):
+    table = WordTable(public_tokenizers.path(name), "<u4", lower)
+    real, calls = table.tokenizer, []
+
+    class Counting:
+        def __getattr__(self, call):
+            calls.append(call)
+            return getattr(real, call)
+
+    table.tokenizer = Counting()
+    texts = [" ".join(f"{'xyz'[i % 3]}{i * 7919}q" for i in range(9000)).strip(), "odd <|endoftext|> \u0130stanbul, e\u0301te."]
+    found = table.encode_many(texts)
+    assert len(calls) < 20  # 64 words in a call made 140 and more
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == real.encode(text, add_special_tokens=False).ids
+
+
 def test_wavelet_file():
     rng = np.random.default_rng(1)
     for n, most in ((1, 1), (1000, 50257), (700_000, 300)):
