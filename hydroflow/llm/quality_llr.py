@@ -52,8 +52,9 @@ def with_lists(docs: DataFrame) -> DataFrame:
     others = sum((size - F.octet_length(F.replace("text", F.lit(c), F.lit(""))) for c in SIGNS if c not in SYMBOLS), F.lit(0))
     symbols = F.expr("(octet_length(spaced) - octet_length(text)) div 2") - others
     lines = F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(GAPS)) != "")
-    return rows.withColumns({"n_symbols": symbols.cast("long"), "words": _words(F.col("text")), "tokens": _words(F.col("spaced")),
-                             "lines": lines}).drop("spaced")
+    words = _words(F.col("text"))
+    tokens = F.when(F.col("spaced") == F.col("text"), words).otherwise(_words(F.col("spaced")))  # most texts have no sign
+    return rows.withColumns({"n_symbols": symbols.cast("long"), "words": words, "tokens": tokens, "lines": lines}).drop("spaced")
 
 
 def base_columns(rows: DataFrame) -> DataFrame:
@@ -84,6 +85,18 @@ def grams(tokens: str = "tokens") -> Column:
                transform(sequence(1, size({tokens}) - 1), i -> cast(xxhash64({tokens}[i - 1], {tokens}[i]) & {mask} as int))))""")
 
 
+def gram_rows(rows: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """The other columns and ``bucket``, a row per unigram and bigram of a text.
+
+    A text is opened into its tokens, each beside the next one, and hashed there: no step runs a function per array element.
+    """
+    mask = BUCKETS - 1
+    others = [f"`{c}`" for c in rows.columns if c != tokens]
+    pairs = rows.selectExpr(*others, f"inline(arrays_zip({tokens}, slice({tokens}, 2, greatest(size({tokens}), 1)))) AS (_token, _next)")
+    both = f"array(cast(xxhash64(_token) & {mask} as int), if(_next IS NULL, null, cast(xxhash64(_token, _next) & {mask} as int)))"
+    return pairs.selectExpr(*others, f"explode({both}) AS bucket").filter("bucket IS NOT NULL")
+
+
 def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """bucket, weight: the logarithm of trusted share over raw share, at most ``BUCKETS`` rows.
 
@@ -92,7 +105,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     known = trusted.select(F.col("doc_id").alias("known_id")).distinct().withColumn("trusted", F.lit(1))
     # Always a sort-merge join: labels grow with the documents, and a plan that changes with their size is no help.
     marked = docs.select("doc_id", "text").join(known.hint("merge"), F.col("doc_id") == F.col("known_id"), "left")
-    counts = write_and_read(with_lists(marked).select("trusted", F.explode(grams()).alias("bucket")).groupBy("bucket").agg(
+    counts = write_and_read(gram_rows(with_lists(marked).select("trusted", "tokens")).groupBy("bucket").agg(
         F.count("*").alias("raw"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("good")), "bucket-counts")
     all_raw, all_good = counts.agg(F.sum("raw"), F.sum("good")).first()
     if not all_good:

@@ -264,6 +264,17 @@ def test_decontamination_reads_names_and_dense_numbers(spark):
     assert found == {(k, k) for k in range(5)}
 
 
+def test_gram_rows_open_texts_without_a_function_per_token(spark):
+    lists = [[], ["a"], ["a", "b"], ["a", "b", "a", "b", "é"], ["x"] * 7]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(lists)], "k int, tokens array<string>")
+    opened = quality_llr.gram_rows(rows)
+    assert "lambda" not in opened._jdf.queryExecution().toString()
+    hashed = {g: spark.range(1).select(F.xxhash64(*[F.lit(x) for x in g]).bitwiseAND(quality_llr.BUCKETS - 1)).first()[0]
+              for t in lists for g in [*zip(t), *zip(t, t[1:])]}
+    want = sorted((i, hashed[g]) for i, t in enumerate(lists) for g in [*zip(t), *zip(t, t[1:])])
+    assert sorted(map(tuple, opened.collect())) == want
+
+
 def test_backoff_scores(spark, monkeypatch):
     monkeypatch.setattr(backoff_lm, "BLOCK_TOKENS", 700)
     rows = [(i, prose(i % 40, 70) + (" Extra" if i % 3 else "")) for i in range(90)] + [(200, None), (201, ""), (202, "unheard of ÉTÉ"), (None, "no id here"), (3, "twice")]
