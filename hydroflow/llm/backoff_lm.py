@@ -8,7 +8,8 @@ gives what is discounted from words to all unknown words as one class. Each stat
 Work. Documents are cut into blocks. A block's words and bigrams are counted where it is read, its texts are
 kept as word numbers in a file of the shared folder, and its counts go out in packed arrays, one per block and
 bucket of hashes; a bucket adds up the counts of all blocks and answers each block with the totals of just the words and bigrams
-that it holds. A block then builds its part of the automaton, weighs each of its bigrams once, as the step from the first word's
+that it holds. Of the blocks that hold a kept bigram, one is told that it owns it; a block sums up the bigrams that it owns by
+their first words, and buckets of words add these sums up, so first words are not sent along with the bigrams. A block then builds its part of the automaton, weighs each of its bigrams once, as the step from the first word's
 state on the second word, and adds up the steps of each text from left to right. What moves is one entry per block and
 distinct bigram, so a word that makes up a third of all text is one entry per block, and counts cover all training text.
 
@@ -58,20 +59,18 @@ def _bucket_of(x: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(x) % np.uint64(buckets)).astype(np.int64)
 
 
-SEGMENT = "block string, bucket int, kind string, keys binary, counts binary, heads binary, head_at binary"
-SEGMENT_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("counts", pa.binary()),
-                           ("heads", pa.binary()), ("head_at", pa.binary())])
+SEGMENT = "block string, bucket int, kind string, keys binary, counts binary"
+SEGMENT_ARROW = pa.schema([("block", pa.string()), ("bucket", pa.int32()), ("kind", pa.string()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
-def _segments(block: str, kind: str, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int, heads: np.ndarray | None = None):
-    """One row per bucket; keys rise within it. ``heads``: hashes of the bigrams' first words."""
+def _segments(block: str, kind: str, bucket: np.ndarray, keys: np.ndarray, counts: np.ndarray, buckets: int):
+    """One row per bucket; keys rise within it."""
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
     for q in range(buckets):
         at = by[edges[q]:edges[q + 1]]
         if len(at):
-            own, index = np.unique(heads[at], return_inverse=True) if heads is not None else (np.zeros(0, np.uint64), np.zeros(0, int))
-            yield block, q, kind, squeezed(keys[at]), small(counts[at]), squeezed(own), small(index)
+            yield block, q, kind, squeezed(keys[at]), small(counts[at])
 
 
 def _pairs(ids: np.ndarray, ends: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,13 +102,13 @@ class Block:
         rows = list(_segments(block, "word", _bucket_of(self.words[by], buckets), self.words[by], self.word_counts[by], buckets))
         keys = _pair_keys(self.words, self.heads, self.tails)
         by = np.argsort(keys)
-        rows += _segments(block, "pair", _pair_bucket(self.words, self.heads, self.tails, buckets)[by], keys[by], self.pair_counts[by], buckets, self.words[self.heads[by]])
-        return pd.DataFrame(rows, columns=["block", "bucket", "kind", "keys", "counts", "heads", "head_at"])
+        rows += _segments(block, "pair", _pair_bucket(self.words, self.heads, self.tails, buckets)[by], keys[by], self.pair_counts[by], buckets)
+        return pd.DataFrame(rows, columns=["block", "bucket", "kind", "keys", "counts"])
 
     def file(self) -> bytes:
         """Words, and the texts as numbers of words."""
         out = io.BytesIO()
-        np.savez(out, words=self.words, ids=np.frombuffer(small(self.ids), np.uint8), ends=self.ends, held_out=np.array(self.held_out, bool),
+        np.savez(out, words=np.frombuffer(squeezed(self.words[:-1]), np.uint8), ids=np.frombuffer(small(self.ids), np.uint8), ends=self.ends, held_out=np.array(self.held_out, bool),
                  doc_ids=np.array([d or 0 for d in self.doc_ids], np.int64), no_id=np.array([d is None for d in self.doc_ids], bool))
         return zstandard.ZstdCompressor(level=1).compress(out.getvalue())
 
@@ -117,7 +116,7 @@ class Block:
     def read(data: bytes) -> dict[str, np.ndarray]:
         found = np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(data)))
         found = {k: found[k] for k in found.files}
-        found["ids"] = unsmall(found["ids"].tobytes())
+        found["words"], found["ids"] = np.append(unsqueezed(found["words"].tobytes()), BEGIN), unsmall(found["ids"].tobytes())
         return found | dict(zip(("heads", "tails", "pair_of"), _pairs(found["ids"], found["ends"], len(found["words"]) - 1)))
 
 
@@ -159,61 +158,65 @@ def _count_blocks(folder: str, buckets: int):
 def _add_up(frame: pd.DataFrame) -> pd.DataFrame:
     """Totals of a bucket's words or bigrams: answers to the blocks, and sums that the model needs.
 
-    Row kinds: ``word``/``pair`` answers a block with the totals of its own keys in their order (words
-    repeat their keys, by which kept sums are asked for); ``kept`` holds, per first
-    word, how often kept bigrams occur and how many there are; ``sums`` holds counts of counts.
+    Row kinds: ``word``/``pair`` answers a block with the totals of its own keys in their order, and with a bit for
+    each kept bigram that it owns; ``sums`` holds counts of counts.
     """
     kind, bucket = frame["kind"].iloc[0], int(frame["bucket"].iloc[0])
     keys = [unsqueezed(b) for b in frame["keys"]]
-    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    distinct, first, at = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     totals = np.zeros(len(distinct), np.int64)
     np.add.at(totals, at, np.concatenate([unsmall(b) for b in frame["counts"]]))
+    owns = np.zeros(len(at), bool)
+    if kind == "pair":
+        owns[first[totals >= LEAST_COUNT]] = True
     rows, start = [], 0
     for block, k in zip(frame["block"], keys):
-        rows.append((kind, block, bucket, squeezed(k) if kind == "word" else b"", small(totals[at[start:start + len(k)]]), b"", 0, 0, 0, 0))
+        own = slice(start, start + len(k))
+        rows.append((kind, block, bucket, small(totals[at[own]]), np.packbits(owns[own]).tobytes() if kind == "pair" else b"", 0, 0, 0, 0))
         start += len(k)
     words = totals[distinct != BEGIN] if kind == "word" else totals
-    rows.append(("sums " + kind, "", bucket, b"", b"", b"", int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())))
-    if kind == "pair":
-        heads = np.empty(len(distinct), np.uint64)
-        heads[at] = np.concatenate([unsqueezed(h)[unsmall(i)] for h, i in zip(frame["heads"], frame["head_at"])])
-        kept = totals >= LEAST_COUNT
-        own, index = np.unique(heads[kept], return_inverse=True)
-        rows.append(("kept", "", bucket, squeezed(own), small(np.bincount(index, minlength=len(own))),
-                     np.bincount(index, weights=totals[kept], minlength=len(own)).astype("<i8").tobytes(), 0, 0, 0, 0))
-    return pd.DataFrame(rows, columns=["kind", "block", "bucket", "keys", "counts", "sums", "total", "types", "ones", "twos"])
+    rows.append(("sums " + kind, "", bucket, b"", b"", int(words.sum()), int((words > 0).sum()), int((words == 1).sum()), int((words == 2).sum())))
+    return pd.DataFrame(rows, columns=["kind", "block", "bucket", "counts", "sums", "total", "types", "ones", "twos"])
 
 
-TOTALS = "kind string, block string, bucket int, keys binary, counts binary, sums binary, total long, types long, ones long, twos long"
+TOTALS = "kind string, block string, bucket int, counts binary, sums binary, total long, types long, ones long, twos long"
 
 
-def _spread_kept(buckets: int):
-    """Parts of the kept sums, by the buckets of words."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for keys, counts, sums in zip(batch["keys"], batch["counts"], batch["sums"]):
-                k, n, s = unsqueezed(keys), unsmall(counts), np.frombuffer(sums, "<i8")
-                bucket = _bucket_of(k, buckets)
-                rows = [("", q, "kept", squeezed(k[m]), small(n[m]), s[m].tobytes()) for q in range(buckets) if (m := bucket == q).any()]
-                yield pd.DataFrame(rows, columns=["block", "bucket", "kind", "keys", "counts", "sums"])
+def _kept_parts(folder: str, buckets: int):
+    """Per bucket of words: a block's words, and number and sum of the kept bigrams it owns that begin with each of them."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        name = frame["block"].iloc[0]
+        block = Block.read(SharedFolder(folder).read(name))
+        words, heads = block["words"], block["heads"]
+        by_key, bucket = _pair_order(block, buckets)
+        totals, owned = (_aligned(frame, bucket, column, "pair") for column in ("counts", "owns"))
+        own = np.flatnonzero(owned)
+        n = np.bincount(heads[by_key[own]], minlength=len(words))
+        s = np.bincount(heads[by_key[own]], weights=totals[own], minlength=len(words)).astype("<i8")
+        by = np.argsort(words)
+        bucket = _bucket_of(words[by], buckets)
+        at = np.argsort(bucket, kind="stable")
+        edges, rows = np.searchsorted(bucket[at], np.arange(buckets + 1)), []
+        for q in range(buckets):
+            if edges[q] < edges[q + 1]:
+                mine = by[at[edges[q]:edges[q + 1]]]
+                rows.append((name, q, squeezed(words[mine]), small(n[mine]), s[mine].tobytes()))
+        return pd.DataFrame(rows, columns=["block", "bucket", "keys", "counts", "sums"])
     return run
 
 
-def _answer_kept(frame: pd.DataFrame) -> pd.DataFrame:
-    """Per block and bucket of words: sum and number of the kept bigrams that begin with each of the block's words."""
-    kept, asked = frame[frame["kind"] == "kept"], frame[frame["kind"] == "word"]
-    rows = []
-    if len(kept):
-        keys = np.concatenate([unsqueezed(b) for b in kept["keys"]])
-        distinct, at = np.unique(keys, return_inverse=True)
-        n = np.bincount(at, weights=np.concatenate([unsmall(b) for b in kept["counts"]]))
-        s = np.bincount(at, weights=np.concatenate([np.frombuffer(b, "<i8") for b in kept["sums"]]))
-        for block, b in zip(asked["block"], asked["keys"]):
-            own = unsqueezed(b)
-            i = np.minimum(np.searchsorted(distinct, own), len(distinct) - 1)
-            hit = distinct[i] == own
-            rows.append(("kept", block, int(frame["bucket"].iloc[0]), b"", small(np.where(hit, n[i], 0)), np.where(hit, s[i], 0).astype("<i8").tobytes()))
-    return pd.DataFrame(rows, columns=["kind", "block", "bucket", "keys", "counts", "sums"])
+def _add_up_kept(frame: pd.DataFrame) -> pd.DataFrame:
+    """Answers to the blocks of a bucket of words: number and sum of the kept bigrams that begin with each of a block's words."""
+    keys = [unsqueezed(b) for b in frame["keys"]]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(at, weights=np.concatenate([unsmall(b) for b in frame["counts"]])).astype(np.int64)
+    s = np.bincount(at, weights=np.concatenate([np.frombuffer(b, "<i8") for b in frame["sums"]])).astype("<i8")
+    rows, start = [], 0
+    for block, k in zip(frame["block"], keys):
+        mine = at[start:start + len(k)]
+        rows.append(("kept", block, int(frame["bucket"].iloc[0]), small(n[mine]), s[mine].tobytes()))
+        start += len(k)
+    return pd.DataFrame(rows, columns=["kind", "block", "bucket", "counts", "sums"])
 
 
 class Automaton:
@@ -252,15 +255,24 @@ def _aligned(rows: pd.DataFrame, bucket: np.ndarray, column: str, kind: str) ->
     by = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[by], np.arange(int(bucket.max()) + 2)) if len(bucket) else np.zeros(1, int)
     for r in rows[rows["kind"] == kind].itertuples():
-        values = unsmall(r.counts) if column == "counts" else np.frombuffer(r.sums, "<i8")
-        out[by[edges[r.bucket]:edges[r.bucket + 1]]] = values
+        at = by[edges[r.bucket]:edges[r.bucket + 1]]
+        if column == "owns":
+            out[at] = np.unpackbits(np.frombuffer(r.sums, np.uint8), count=len(at))
+        else:
+            out[at] = unsmall(r.counts) if column == "counts" else np.frombuffer(r.sums, "<i8")
     return out
 
 
+def _pair_order(block: dict[str, np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which a block sent its bigrams, and their buckets in it."""
+    by_key = np.argsort(_pair_keys(block["words"], block["heads"], block["tails"]))
+    return by_key, _pair_bucket(block["words"], block["heads"], block["tails"], buckets)[by_key]
+
+
 def _score_block(folder: str, buckets: int, model: dict):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         block = Block.read(SharedFolder(folder).read(frame["block"].iloc[0]))
-        words, keys = block["words"], _pair_keys(block["words"], block["heads"], block["tails"])
+        words = block["words"]
         by = np.argsort(words)
         bucket = _bucket_of(words[by], buckets)
 
@@ -273,8 +285,8 @@ def _score_block(folder: str, buckets: int, model: dict):
             return in_order(by, _aligned(frame, bucket, column, kind))
 
         counts, kept_n, kept_sum = per_word("counts", "word"), per_word("counts", "kept"), per_word("sums", "kept")
-        by_key = np.argsort(keys)
-        pairs = in_order(by_key, _aligned(frame, _pair_bucket(words, block["heads"], block["tails"], buckets)[by_key], "counts", "pair"))
+        by_key, pair_bucket = _pair_order(block, buckets)
+        pairs = in_order(by_key, _aligned(frame, pair_bucket, "counts", "pair"))
         automaton = Automaton(block, counts, kept_n, kept_sum, pairs, model)
         ids, pair_of, ends = block["ids"], block["pair_of"], block["ends"]
         starts = np.concatenate([[0], ends[:-1]])
@@ -309,13 +321,11 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     model = {"tokens": word["total"], "types": word["types"],
              "word_discount": min(0.9, max(0.1, word["ones"] / max(1, word["types"]))),
              "pair_discount": min(0.95, max(0.1, pair["ones"] / max(1, pair["ones"] + 2 * pair["twos"])))}
-    kept = totals.filter("kind = 'kept'").select("keys", "counts", "sums").mapInPandas(
-        _spread_kept(buckets), "block string, bucket int, kind string, keys binary, counts binary, sums binary")
-    asked = totals.filter("kind = 'word'").select("block", "bucket", "kind", "keys", "counts", "sums")
-    answers = kept.unionByName(asked).groupBy("bucket").applyInPandas(
-        _answer_kept, "kind string, block string, bucket int, keys binary, counts binary, sums binary")
-    told = totals.filter("kind IN ('word', 'pair')").select("kind", "block", "bucket", "counts", "sums").unionByName(
-        answers.select("kind", "block", "bucket", "counts", "sums"))
+    told = totals.filter("kind IN ('word', 'pair')").select("kind", "block", "bucket", "counts", "sums")
+    parts = told.filter("kind = 'pair'").groupBy("block").applyInPandas(
+        _kept_parts(folder, buckets), "block string, bucket int, keys binary, counts binary, sums binary")
+    kept = parts.groupBy("bucket").applyInPandas(_add_up_kept, "kind string, block string, bucket int, counts binary, sums binary")
+    told = told.withColumn("sums", F.lit(None).cast("binary")).unionByName(kept)
     names = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return told.groupBy("block").applyInPandas(_score_block(folder, buckets, model), names)
 

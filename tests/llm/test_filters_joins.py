@@ -8,6 +8,7 @@ import tracemalloc
 import types
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyspark
 import pytest
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hydroflow.llm import backoff_lm, decontamination, ngram_join, quality_llr, quality_qda, toxicity
-from hydroflow.llm.common import fold_is
+from hydroflow.llm.common import fold_is, small, squeezed, unsmall, unsqueezed
 from hydroflow.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -328,6 +329,28 @@ def test_backoff_blocks_open_few_texts_at_a_time(tmp_path, monkeypatch):
     assert automaton.score(block["pair_of"], block["ends"])[-1] == pytest.approx(sum(walk), abs=1e-9)
 
 
+def test_backoff_blocks_send_bigrams_without_their_first_words():
+    rng = np.random.default_rng(9)
+    block = backoff_lm.Block([1, 2], [False, True], [rng.integers(3, 1 << 62, 3_000, np.uint64)[rng.integers(0, 3_000, 20_000)] for _ in range(2)])
+    sent = block.segments("b", 64)
+    for kind, entries in (("word", len(block.words)), ("pair", len(block.heads))):
+        rows = sent[sent["kind"] == kind]
+        assert sum(len(v) for c in rows.columns for v in rows[c] if isinstance(v, bytes)) == 12 * entries  # a key and a count each
+    assert sorted(np.concatenate([unsqueezed(b) for b in sent[sent["kind"] == "pair"]["keys"]])) == sorted(backoff_lm._pair_keys(block.words, block.heads, block.tails))
+
+
+def test_backoff_kept_bigrams_have_one_owner():
+    keys = [np.array(k, np.uint64) for k in ([5, 7, 9], [5, 9, 11], [9, 12])]
+    counts = [np.array(c) for c in ([1, 1, 0], [1, 3, 1], [2, 0])]
+    frame = pd.DataFrame({"kind": "pair", "block": ["a", "b", "c"], "bucket": 0, "keys": list(map(squeezed, keys)), "counts": list(map(small, counts))})
+    found = backoff_lm._add_up(frame)
+    answers = found[found["kind"] == "pair"]
+    assert [unsmall(b).tolist() for b in answers["counts"]] == [[2, 1, 5], [2, 5, 1], [5, 0]]
+    owned = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(k)).astype(bool) for b, k in zip(answers["sums"], keys)]
+    assert sorted(np.concatenate([k[o] for k, o in zip(keys, owned)]).tolist()) == [5, 9]
+    assert found[found["kind"] == "sums pair"][["total", "types", "ones", "twos"]].values.tolist() == [[9, 4, 2, 1]]
+
+
 def test_pipeline(spark, tmp_path):
     copy = prose(1, 150).split()
     near = " ".join(copy[:70] + ["changed"] + copy[71:])
