@@ -90,6 +90,38 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, chunk, quick):
     assert sorted(((r[0] if r[0] is not None else -1, r[1], r[2]) for r in found), key=str) == plain_components(rows)
 
 
+def test_shingles_of_pieces_and_long_words(monkeypatch):
+    texts = [None, "", " ", "a", "a b", "A  B", "a b c d e f a b c d e f", "é É\x0b\x1c q \x85 z", "x" * 700 + " y " + "z" * 300, "y " * 500, " " * 300 + "q",
+             "ab ba abba baab " * 9] + [prose(k, 50) for k in range(20)]
+
+    def plain(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    whole = list(ngram_join.shingle_sets(texts))
+    assert [len(s) for s in whole] == [len(plain(t)) for t in texts]
+    assert len(np.unique(np.concatenate(whole))) == len(set().union(*map(plain, texts)))
+    monkeypatch.setattr(ngram_join, "PIECE_BYTES", 64)  # words are cut off nowhere, and hashes don't depend on where texts stand
+    for pieces in (list(ngram_join.shingle_sets(texts)), [ngram_join.shingles(t) for t in texts]):
+        assert all((a == b).all() for a, b in zip(pieces, whole, strict=True))
+
+
+@pytest.mark.parametrize("chunk", [1000, 25])
+def test_sets_with_many_common_tokens_meet_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(ngram_join, "CHUNK_SHINGLES", chunk)
+    keys = {1: range(6), 2: range(6), 3: [*range(1, 6), 90], 4: [80, 81, 82, 83, 84, 85], 5: [80, 81, 82, 83, 84, 95], 6: range(100, 106)}
+    vertices = spark.createDataFrame([(k, 10 + k, 10, list(v)) for k, v in keys.items()], "vertex long, row_key long, n long, keys array<long>")
+    members = ngram_join._quick_members(vertices).collect()
+    if chunk == 1000:  # six keys each, but at most two bunches around a set of the three that are alike
+        assert len(members) <= 2 + 5 and {r["row_key"] for r in members} == {11, 12, 13, 14, 15}
+    # the complete search loses no pair, however small chunks are
+    rows = [(t, 10 + k, k, k, 10) for k, v in keys.items() for t in v]
+    found = ngram_join._bunches(spark.createDataFrame(rows, "token long, row_key long, vertex long, class long, n long"), in_pairs=True).collect()
+    met = {tuple(sorted((a["vertex"], b["vertex"]))) for a in found for b in found if a["bunch"] == b["bunch"] and a["vertex"] != b["vertex"]
+           and (a["stored"] and b["running"] or b["stored"] and a["running"])}
+    assert met >= {(1, 2), (1, 3), (2, 3), (4, 5)}
+
+
 def test_near_copies_of_nothing(spark):
     assert ngram_join.near_copies(frame(spark, [])).count() == 0
 
