@@ -90,6 +90,14 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, chunk, quick):
     assert sorted(((r[0] if r[0] is not None else -1, r[1], r[2]) for r in found), key=str) == plain_components(rows)
 
 
+def test_near_copies_let_shuffle_files_go(spark, monkeypatch):
+    write, seen, before = ngram_join.write_and_read, [], spark.conf.get(ngram_join.LET_GO, None)
+    monkeypatch.setattr(ngram_join, "write_and_read", lambda *a: (seen.append(spark.conf.get(ngram_join.LET_GO)), write(*a))[1])
+    found = ngram_join.near_copies(frame(spark, [(1, "a b c d e f"), (2, "A b c d e f"), (3, None)]))
+    assert len(seen) > 5 and set(seen) == {"true"} and spark.conf.get(ngram_join.LET_GO, None) == before
+    assert sorted(map(tuple, found.collect())) == [(1, 2, 1), (2, 2, 1), (3, 0, 3)]
+
+
 def test_shingles_of_pieces_and_long_words(monkeypatch):
     texts = [None, "", " ", "a", "a b", "A  B", "a b c d e f a b c d e f", "é É\x0b\x1c q \x85 z", "x" * 700 + " y " + "z" * 300, "y " * 500, " " * 300 + "q",
              "ab ba abba baab " * 9] + [prose(k, 50) for k in range(20)]
