@@ -373,6 +373,28 @@ def document_windows(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> Da
         run, "hash long, doc_id long, doc_at int, fillers array<string>")
 
 
+def passages(rows: DataFrame) -> DataFrame:
+    """doc_id, item_id, shift and the first and last shift of every passage that the shift is in.
+
+    A passage is where windows lie about as far apart as in the item: all shifts of a pair that are up to ``SHIFT`` from some
+    number, or all of its shifts. Numbers that hold the same shifts are one passage, so windows that lie as in the item are judged once.
+    """
+    pair = ["doc_id", "item_id"]
+    shifts = rows.select(*pair, "shift").distinct()
+    about = shifts.withColumn("about", F.explode(F.sequence(F.col("shift") - SHIFT, F.col("shift") + SHIFT)))
+    near = about.groupBy(*pair, "about").agg(F.sort_array(F.collect_list("shift")).alias("held")).select(*pair, "held").distinct()
+    near = near.select(*pair, F.explode("held").alias("shift"), F.array_min("held").alias("first"), F.array_max("held").alias("last"))
+    whole = shifts.groupBy(*pair).agg(F.min("shift").alias("first"), F.max("shift").alias("last")).filter(F.col("last") - F.col("first") > 2 * SHIFT)
+    return near.unionByName(shifts.join(whole, pair))
+
+
+def _covered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The item's windows that rows cover, by keys: 64 of them are the bits of one number."""
+    rows = rows.withColumn("window", F.explode(F.sequence("low", "high")))
+    return rows.groupBy(*keys, F.expr("window div 64").alias("part")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(window % 64 as int))")).alias("bits"), F.max("n_windows").alias("n_windows"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, windows found and the item's windows, for every document that holds a benchmark item.
 
@@ -383,25 +405,24 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     sizes = sorted(r["size"] for r in known.filter("size > 0").select("size").distinct().collect())
     found = document_windows(docs, bit_table(known), sizes).join(known, "hash").filter(F.size("fillers") == F.size("item_fillers"))
     pairs = F.arrays_zip(F.col("item_fillers").alias("i"), F.col("fillers").alias("d"))
-    # A passage is where windows lie about as far apart as in the item; the null passage is the whole document.
-    shift = F.col("doc_at") - F.col("item_at")
-    passages = F.concat(F.array(F.lit(None).cast("int")), F.sequence(shift - SHIFT, shift + SHIFT))
     # written once, so that texts are not gone through again when a shuffle is planned
-    rows = write_and_read(found.select("hash", "doc_id", "item_id", "doc_at", "item_at", "low", "high", "n_windows", passages.alias("passages"), pairs.alias("pairs")),
-                          "template-matches").repartition("doc_id", "item_id")
-    spread = rows.withColumn("passage", F.explode("passages")).withColumn("p", F.explode_outer("pairs")).select(
-        "hash", "doc_id", "item_id", "passage", "doc_at", "item_at", "low", "high", "n_windows", F.col("p.i").alias("i"), F.col("p.d").alias("d"))
-    here = ["doc_id", "item_id", "passage"]
+    rows = write_and_read(found.select("hash", "doc_id", "item_id", "doc_at", "item_at", (F.col("doc_at") - F.col("item_at")).alias("shift"),
+                                       "low", "high", "n_windows", pairs.alias("pairs")), "template-matches")
+    places, here = passages(rows), ["doc_id", "item_id", "first", "last"]
+    # Windows without slots have nothing to judge: what they cover is summed up before they go to their passages.
+    plain = _covered(rows.filter(F.size("pairs") == 0), ["doc_id", "item_id", "shift"]).join(places, ["doc_id", "item_id", "shift"]).drop("shift")
+    spread = rows.filter(F.size("pairs") > 0).join(places, ["doc_id", "item_id", "shift"]).withColumn("p", F.explode("pairs")).select(
+        "hash", *here, "doc_at", "item_at", "low", "high", "n_windows", F.col("p.i").alias("i"), F.col("p.d").alias("d"))
     spread = spread.withColumn("n", F.count("*").over(Window.partitionBy(*here, "i", "d")))
     # A filler of the item stands for the one that most of a passage's windows have, and a name of the document for one name.
     forth = F.max(F.struct("n", "d")).over(Window.partitionBy(*here, "i"))["d"]
     back = F.max(F.struct("n", "i")).over(Window.partitionBy(*here, "d"))["i"]
     spread = spread.withColumn("forth", forth).withColumn("back", back)
-    alike = F.col("i").isNull() | (F.col("d") == F.col("forth")) & ((F.col("i") == F.col("back")) | ~F.col("i").startswith(NAME))
+    alike = (F.col("d") == F.col("forth")) & ((F.col("i") == F.col("back")) | ~F.col("i").startswith(NAME))
     met = spread.withColumn("alike", alike).groupBy(*here, "doc_at", "item_at", "hash", "low", "high").agg(
         F.min("alike").alias("alike"), F.max("n_windows").alias("n_windows")).filter("alike")
-    met = met.withColumn("window", F.explode(F.sequence("low", "high")))
-    counts = met.groupBy(*here).agg(F.countDistinct("window").alias("found"), F.max("n_windows").alias("n_windows"))
+    counts = plain.unionByName(_covered(met, here)).groupBy(*here, "part").agg(F.bit_or("bits").alias("bits"), F.max("n_windows").alias("n_windows"))
+    counts = counts.groupBy(*here).agg(F.sum(F.bit_count("bits")).alias("found"), F.max("n_windows").alias("n_windows"))
     counts = counts.groupBy("doc_id", "item_id").agg(F.max("found").alias("found"), F.max("n_windows").alias("n_windows"))
     enough = (F.col("found") >= LEAST_WINDOWS) | (F.col("found") >= LEAST_SHARE * F.col("n_windows"))
     return counts.filter(enough).select("doc_id", "item_id", F.col("found").cast("long").alias("windows_found"), F.col("n_windows").cast("long").alias("n_windows"))

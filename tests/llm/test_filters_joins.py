@@ -291,6 +291,29 @@ def test_decontamination_judges_each_passage(spark):
     assert set(found) == {(1, 1), (2, 1), (3, 1), (5, 1), (6, 2), (7, 2)}
 
 
+def test_decontamination_judges_windows_at_one_place_once(spark):
+    """A passage that many documents hold goes to one passage per document, not to each number about its place."""
+    rows = [(d, 7, 40 * d) for d in range(1, 30) for _ in range(20)] + [(50, 7, s) for s in (0, 3, 10, 90)] + [(51, 7, s) for s in (5, 9)]
+    found = decontamination.passages(spark.createDataFrame(rows, "doc_id long, item_id long, shift int")).collect()
+    assert len(found) == len(set(found))
+    places = collections.defaultdict(set)
+    for r in found:
+        places[r["doc_id"], r["first"], r["last"]].add(r["shift"])
+    assert {k: v for k, v in places.items() if k[0] < 50} == {(d, 40 * d, 40 * d): {40 * d} for d in range(1, 30)}
+    assert {k[1:]: v for k, v in places.items() if k[0] == 50} == {
+        (0, 0): {0}, (0, 3): {0, 3}, (3, 3): {3}, (3, 10): {3, 10}, (10, 10): {10}, (90, 90): {90}, (0, 90): {0, 3, 10, 90}}
+    assert {k[1:]: v for k, v in places.items() if k[0] == 51} == {(5, 5): {5}, (5, 9): {5, 9}, (9, 9): {9}}
+
+
+def test_decontamination_counts_windows_of_a_long_item(spark):
+    text = prose(31, 200).lower()
+    items = spark.createDataFrame([(1, text)], "item_id long, text string")
+    words = text.split()
+    rows = [(1, text), (2, " ".join(words[:150])), (3, " ".join(words[60:80])), (4, text + " " + text), (4, text)]
+    found = {r["doc_id"]: (r["windows_found"], r["n_windows"]) for r in decontamination.contaminated(frame(spark, rows), items).collect()}
+    assert found == {1: (193, 193), 2: (143, 193), 3: (13, 193), 4: (193, 193)}
+
+
 def test_decontamination_reads_names_and_dense_numbers(spark):
     tom = "Tom has 5 apples. Tom eats 3. How many apples does Tom have?"
     begins = "Tom bought 5 red apples and some pears. Tom ate 3 of them at noon. How many are left now?"
