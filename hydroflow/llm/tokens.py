@@ -12,6 +12,7 @@ import os
 import re
 import unicodedata
 from itertools import filterfalse
+from operator import add, itemgetter
 
 import numpy as np
 
@@ -26,6 +27,7 @@ _ODD_SPACE = [*map(chr, (9, 11, 12, 13, *range(0x1c, 0x20), 0x85, 0xa0, 0x1680,
 _WORD_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CUT = "\x1f"
 _AFTER_WORD = frozenset(".,;:!?")
+_LAST = itemgetter(-1)
 
 
 class WordTable(dict):
@@ -54,59 +56,65 @@ class WordTable(dict):
         return found
 
     def learn(self, words: set[str]) -> None:
-        """Add words that are not in the table, ``STRING_WORDS`` in a string and ``CALL_STRINGS`` strings in a call."""
+        """Add words, ``STRING_WORDS`` in a string and ``CALL_STRINGS`` strings in a call; those in the table stay as they are."""
         if len(self) + len(words) > KEPT_WORDS:
             self.clear()
-        tails = {}
-        fresh = set()
+        tails, fresh = {}, set()
         for w in filterfalse(self.__contains__, words):
-            if len(w) > 2 and w[-1] in _AFTER_WORD and w[-2] < "\u0130" and w[-2].isalpha():
+            if w[-1:] in _AFTER_WORD and len(w) > 2 and w[-2] < "\u0130" and w[-2].isalpha():
                 tails[w] = w[:-1]
-                if w[:-1] not in self:
-                    fresh.add(w[:-1])
             else:
                 fresh.add(w)
+        fresh.update(filterfalse(self.__contains__, tails.values()))
         fresh.discard("")
         if "\n" in fresh:
             fresh.discard("\n")
             self["\n"] = self.ids("\n")
-        fresh = list(fresh)
-        groups = [fresh[i:i + STRING_WORDS] for i in range(0, len(fresh), STRING_WORDS)]
-        for i in range(0, len(groups), CALL_STRINGS):
-            some = groups[i:i + CALL_STRINGS]
-            for group, found in zip(some, self._encoded([self._in_one(g) for g in some])):
-                self._learn_some(group, found)
-        for w, stem in tails.items():
-            self[w] = self[stem] + self[w[-1]]
+        # words that begin alike go together, and those whose characters are bytes
+        kinds = [], [], [], []
+        for w in fresh:
+            kinds[2 * w.isascii() + (w[0] == " ")].append(w)
+        for kind in kinds:
+            groups = [kind[i:i + STRING_WORDS] for i in range(0, len(kind), STRING_WORDS)]
+            for i in range(0, len(groups), CALL_STRINGS):
+                some = groups[i:i + CALL_STRINGS]
+                texts = [self._in_one(g) for g in some]
+                for group, text, found in zip(some, texts, self._encoded(texts)):
+                    self._learn_some(group, text, found)
+        get = self.__getitem__
+        self.update(zip(tails, map(add, map(get, tails.values()), map(get, map(_LAST, tails)))))
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without the places in it that the library's other calls look up as well."""
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _in_one(self, words: list[str]) -> str:
+        """Words in one string, all of them with a space in front or all without."""
         if self.lower_case_words:
             return " ".join(words)
-        # a word of a line's start gets the line end in front, which is one id of its own
-        return "".join([w if w[0] == " " else "\n" + w for w in words])
-
-    def _learn_some(self, words: list[str], ids: np.ndarray) -> None:
-        """Cut the ids of words in one string by the bytes that each id stands for."""
-        if self.lower_case_words:
+        # words of a line's start get the line end in front, which is one id of its own
+        return "".join(words) if words[0][0] == " " else "\n" + "\n".join(words)
+
+    def _learn_some(self, words: list[str], text: str, ids: np.ndarray) -> None:
+        """Cut the ids of words in one string, the text, by the bytes that each id stands for."""
+        lead = 0 if self.lower_case_words or words[0][0] == " " else 1
+        if text.isascii():
+            lengths = list(map(len, words))
+        elif self.lower_case_words:
             lengths = [len(unicodedata.normalize("NFC", w).lower().encode()) for w in words]
         else:
-            lengths = [len(w.encode()) + (w[0] != " ") for w in words]
+            lengths = [len(w.encode()) for w in words]
         ends = np.cumsum(self.n_bytes[ids])
-        wanted = np.cumsum(lengths)
+        wanted = np.cumsum(np.array(lengths) + lead)
         at = np.searchsorted(ends, wanted)
         if len(ends) == 0 or at[-1] != len(ids) - 1 or (ends[at] != wanted).any():
             for w, found in zip(words, self._encoded(words)):
                 self[w] = found.tobytes()
             return
-        data, width, start = ids.tobytes(), self.dtype.itemsize, 0
-        for w, stop in zip(words, ((at + 1) * width).tolist()):
-            lead = 0 if self.lower_case_words or w[0] == " " else width
-            self[w] = data[start + lead:stop]
-            start = stop
+        data, width = ids.tobytes(), self.dtype.itemsize
+        stops = (at + 1) * width
+        starts = np.concatenate([[0], stops[:-1]]) + lead * width
+        self.update(zip(words, map(data.__getitem__, map(slice, starts.tolist(), stops.tolist()))))
 
     def cut(self, text: str) -> list[str] | None:
         """Words of a text whose ids in a row are the text's ids; None if it has to be encoded whole."""
@@ -127,13 +135,18 @@ class WordTable(dict):
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of ``dtype``."""
         cut = [self.cut(t) if t else [] for t in texts]
-        words = set()
+        found, gaps, words = [], [], set()
         for c in cut:
-            if c:
-                words.update(c)
+            f = list(map(self.get, c or ()))
+            g = [i for i, ids in enumerate(f) if ids is None] if None in f else []
+            words.update([c[i] for i in g])
+            found.append(f)
+            gaps.append(g)
         self.learn(words)
-        get = self.__getitem__
-        return [self.ids(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        for c, f, g in zip(cut, found, gaps):
+            for i in g:
+                f[i] = self[c[i]]
+        return [self.ids(t) if c is None else b"".join(f) for t, c, f in zip(texts, cut, found)]
 
 
 _TABLES: dict[tuple, WordTable] = {}

@@ -148,8 +148,8 @@ class WaveletShard:
             blocks = [self._unpacked(p, b) for b in range(self.per_plane)]
             bit = (np.concatenate(blocks) if blocks else np.zeros(0, np.uint8)).view(bool)
             whole = np.empty_like(out)
-            whole[~bit] = out[:self.zeros[p]]
-            whole[bit] = out[self.zeros[p]:] | out.dtype.type(1 << (self.bits - 1 - p))
+            whole[np.flatnonzero(~bit)] = out[:self.zeros[p]]
+            whole[np.flatnonzero(bit)] = out[self.zeros[p]:] | out.dtype.type(1 << (self.bits - 1 - p))
             out = whole
         return out
 

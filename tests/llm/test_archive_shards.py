@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from hydroflow.llm import kd_sharding, packing, warc_archive, wavelet
+from hydroflow.llm import kd_sharding, packing, tokens, warc_archive, wavelet
 from hydroflow.llm.common import scratch_path
 from hydroflow.llm.tokens import WordTable
 
@@ -216,6 +216,22 @@ def test_all_rows_equal(spark):
     assert sorted(r["shard"] for r in found) == [k for k in range(4) for _ in range(16)]
 
 
+def test_word_table_takes_known_words_once_and_keeps_them_when_it_starts_anew(monkeypatch):
+    """Words that the table has are not gone through to be learned; what was found for them stays when the table is cleared."""
+    table = WordTable(public_tokenizers.path("byte_bpe_50k.json"), "<u4", False)
+    first = ["a few words, known before\nand after."]
+    known, asked, learn = table.encode_many(first), [], table.learn
+    monkeypatch.setattr(table, "learn", lambda words: (asked.append(set(words)), learn(words)))
+    assert table.encode_many(first) == known and not asked[-1]
+    texts = [first[0] + " New\u00e9 ones.", "after that", first[0]]
+    monkeypatch.setattr(tokens, "KEPT_WORDS", len(table) + 1)
+    found = table.encode_many(texts)
+    assert asked[-1] == {" New\u00e9", " ones.", "after", " that"}
+    assert len(table) < 9 and found[2] == known[0]
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == table.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_a_worker_holds_one_bounded_word_table():
     from hydroflow.llm import common
 
